@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
     """Cut record batches so that ``column`` (string or binary) holds about ``most`` bytes in each, one row at least."""
     for batch in batches:
         i = batch.schema.get_field_index(column)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for k, n in enumerate(lengths.tolist()):
             if held and held + n > most:
