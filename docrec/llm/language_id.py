@@ -1,16 +1,16 @@
-"""Language identification: multinomial naive Bayes over hashed character n-grams.
+"""Language identification: multinomial naive Bayes over hashed character trigrams.
 
-Training counts n-gram hashes of all labelled texts in a distributed job: tasks count into a dense array for each batch
+Training counts trigram hashes of all labelled texts in a distributed job: tasks count into a dense array for each batch
 of languages and send out non-zero cells only, which Spark sums. The model, a matrix of log probabilities with one
 column a language, has ``buckets x languages`` cells whatever the corpus and goes to the tasks as a broadcast variable.
-Scoring gathers the rows of a batch's n-grams at once and sums them by document with numpy.
+Scoring gathers the rows of a batch's trigrams at once and sums them by document with numpy.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,45 +20,37 @@ from pyspark.sql import functions as F
 from docrec.llm.common import slices, table
 
 BUCKETS = 1 << 15
-ORDERS = (2, 3)
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    log_p: np.ndarray  # (buckets, languages), float32
+    log_p: np.ndarray  # (buckets, languages)
     prior: np.ndarray  # (languages,)
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
 def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of lower-cased code points of all texts, one after another, and the row of each.
+    """The hashed trigram around each letter of all texts, one text after another, and how many each text has.
 
-    Runs of characters that are no letters count as one space; each text begins and ends with a space.
+    Texts are lower-cased, and runs of characters that are no letters count as one space, so a letter's neighbours are
+    letters of its word or the space at its ends.
     """
-    spaced = [" ".join(WORDS(t.lower())) if t else "" for t in texts]
-    joined = "  " + "  ".join(spaced) + "  "  # n-grams never see two texts: a pair of spaces is dropped below
-    c = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64)
-    ends = np.cumsum([len(s) + 2 for s in spaced]) + 2
-    rows = np.searchsorted(ends, np.arange(len(c)), "right")
-    gap = (c[:-1] == 32) & (c[1:] == 32)
-    out, at = [], []
-    for n in ORDERS:
-        m = len(c) - n + 1
-        if m <= 0:
-            continue
-        h, bad = np.full(m, n, np.uint64), np.zeros(m, bool)
-        for k in range(n):
-            h = (h ^ c[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            if k:
-                bad |= gap[k - 1 : k - 1 + m]
-        out.append((h[~bad] >> np.uint64(7)).astype(np.int64) % buckets)
-        at.append(np.minimum(rows[:m][~bad], len(texts) - 1))
-    return (np.concatenate(out), np.concatenate(at)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-WORDS = re.compile(r"[^\W\d_]+").findall
+    lower = [(t or "").lower() for t in texts]
+    c = np.frombuffer(" ".join(["", *lower, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    letter = letters()[c]
+    starts = np.cumsum([1, *(len(t) + 1 for t in lower)])[:-1]
+    n = np.diff(np.concatenate(([0], np.cumsum(letter)))[[*starts, len(c)]])
+    c[~letter] = 32
+    at = np.flatnonzero(letter)
+    key = (c[at - 1] << 42) | (c[at] << 21) | c[at + 1]
+    h = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % buckets, n
 
 
 def held_out(id_col: Column, folds: int = 4, fold: int = 2) -> Column:
@@ -72,7 +64,8 @@ def trained(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buc
         cells: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text"):
             langs = batch.column("lang").to_pylist()
-            f, rows = features(batch.column("text").to_pylist(), buckets)
+            f, n = features(batch.column("text").to_pylist(), buckets)
+            rows = np.repeat(np.arange(len(langs)), n)
             for lang in set(langs):
                 own = np.array([x == lang for x in langs])
                 got = np.bincount(f[own[rows]], minlength=buckets)
@@ -91,21 +84,22 @@ def trained(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buc
     smoothed = counts + smoothing
     log_p = np.log(smoothed / smoothed.sum(axis=0))
     prior = np.log(np.maximum(counts.sum(axis=0), 1) / max(counts.sum(), 1)) if languages else np.zeros(0)
-    return Model(languages, log_p.astype(np.float32), prior)
+    return Model(languages, log_p, prior)
 
 
 def scored(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """Language and score of each text. The score is the posterior of the chosen language with the evidence tempered to the square root of its length, so that it does not saturate on long texts."""
-    f, rows = features(texts, len(model.log_p))
-    n = np.bincount(rows, minlength=len(texts))
-    total = np.stack([np.bincount(rows, weights=model.log_p[f, k], minlength=len(texts)) for k in range(len(model.languages))], axis=1)
-    evidence = total + model.prior
+    f, n = features(texts, len(model.log_p))
+    evidence = np.zeros((len(texts), len(model.languages)))
+    some = n > 0
+    if some.any():
+        evidence[some] = np.add.reduceat(model.log_p[f], (np.cumsum(n) - n)[some], axis=0)
+    evidence += model.prior
     best = evidence.argmax(axis=1)
     tempered = evidence / np.sqrt(np.maximum(n, 1))[:, None]
     odds = np.exp(tempered - tempered.max(axis=1, keepdims=True))
-    score = odds[np.arange(len(texts)), best] / odds.sum(axis=1)
-    none = [not t or not LETTER.search(t) for t in texts]
-    return ["und" if z else model.languages[k] for z, k in zip(none, best)], np.where(none, 0.0, score)
+    score = (odds[np.arange(len(texts)), best] / odds.sum(axis=1)).round(6)
+    return [model.languages[k] if z else "und" for z, k in zip(some, best)], np.where(some, score, 0.0)
 
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

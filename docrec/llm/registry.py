@@ -1,10 +1,14 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from docrec.llm import exact_dedup
+from docrec.llm import exact_dedup, language_id, mixing, packing
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
+    "op5_mixing": mixing.query,
+    "op9_packing": packing.query,
+    "op10_language_id": language_id.query,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op5_mixing": mixing.ORACLE,
 }
