@@ -1,12 +1,13 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from docrec.llm import exact_dedup, language_id, mixing, near_dedup, packing, sharding
+from docrec.llm import exact_dedup, language_id, mixing, near_dedup, packing, sharding, suffix_dedup
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
     "op5_mixing": mixing.query,
     "op6_near_dedup": near_dedup.query,
     "op7_sharding": sharding.query,
+    "op8_suffix_dedup": suffix_dedup.query,
     "op9_packing": packing.query,
     "op10_language_id": language_id.query,
 }
