@@ -1,8 +1,9 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from docrec.llm import exact_dedup, language_id, mixing, near_dedup, packing, sharding, suffix_dedup
+from docrec.llm import exact_dedup, language_id, media, mixing, near_dedup, packing, sharding, suffix_dedup
 
 QUERIES = {
+    "op1_flac_media": media.query,
     "op2_exact_dedup": exact_dedup.query,
     "op5_mixing": mixing.query,
     "op6_near_dedup": near_dedup.query,
