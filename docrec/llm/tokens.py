@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,9 +23,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPLIT_PLAIN = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧₠-₿]")
 SEPARATORS = re.compile("[\x1c-\x1f]")
-#: White space other than single spaces and line ends between words.
-UNEVEN = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
-CACHED_WORDS = 300_000
+#: Of PLAIN, all but white space other than space and line end, and control characters.
+NOT_SIMPLE = re.compile("[^\n\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧₠-₿]")
+CACHED_WORDS = 500_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -51,38 +52,55 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        symbols, added = byte_symbols(), {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-        bpe = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.added = re.compile("|".join(map(re.escape, added))) if added else re.compile(r"(?!)")
-        self.split, self.split_plain = regex.compile(SPLIT), re.compile(SPLIT_PLAIN)
-        self.word = Words(lambda w: np.array(bpe.encode_ordinary(w), "<u4").tobytes())
-        self.first = Words(lambda chunk: b"".join(map(self.word.__getitem__, self.split_plain.findall(chunk))))
-        self.later = Words(self._later)
-
-    def _later(self, chunk: str) -> bytes:
-        """Of what follows a space. A word and one mark behind it, the usual new chunk, need no pattern."""
-        if chunk[-1] in ".,;:" and chunk[:-1].isalpha():
-            return self.word[f" {chunk[:-1]}"] + self.word[chunk[-1]]
-        return self.first[f" {chunk}"]
+        symbols, self.added = byte_symbols(), [t["content"] for t in spec.get("added_tokens", [])]
+        ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
+        self.encode = encode = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.split, self.split_plain = regex.compile(SPLIT).findall, re.compile(SPLIT_PLAIN).findall
+        self.word = Words(lambda w: array("I", encode(w)).tobytes())
+        self.mark = {c: self.word[c] for c in ".,;:!?"}
+        self.opens = np.zeros(max(ranks.values()) + 1, bool)  # ids that begin with a space or a line end
+        self.opens[[i for token, i in ranks.items() if token[:1] in b" \n"]] = True
+        self.chunk: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if self.added.search(text) or SEPARATORS.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        for cache in (self.word, self.first, self.later):
+        for cache in (self.word, self.chunk):
             if len(cache) > CACHED_WORDS:
                 cache.clear()
-        if NOT_PLAIN.search(text):
-            return b"".join(map(self.word.__getitem__, self.split.findall(text)))
-        if UNEVEN.search(text) or not text:
-            return b"".join(map(self.word.__getitem__, self.split_plain.findall(text)))
-        parts, later, line_end = [], self.later.__getitem__, self.word["\n"]
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            parts.append(self.first[head])
-            parts.extend(map(later, rest))
-            parts.append(line_end)
-        return b"".join(parts[:-1])
+        if any(t in text for t in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if NOT_SIMPLE.search(text) or not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", " \n", "\n ")):
+            if SEPARATORS.search(text):
+                return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return b"".join(map(self.word.__getitem__, (self.split if NOT_PLAIN.search(text) else self.split_plain)(text)))
+        # single spaces and line ends only: chunks, each with the space or line end before it, do not touch each other
+        head, *keys = text.replace("\n", " \n").split(" ")
+        return b"".join([*map(self.word.__getitem__, self.split_plain(head)), *self._chunks(keys)])
+
+    def _chunks(self, keys: list[str]) -> list[bytes]:
+        """Ids of all chunks; those not seen before are encoded in one go and told apart by the space or line end that opens each."""
+        get, mark = self.chunk.get, self.mark
+        values = list(map(get, keys))
+        new = []
+        for i, value in enumerate(values):
+            if value is None:
+                key = keys[i]
+                if key[-1] in mark and (value := get(key[:-1])):
+                    values[i] = value + mark[key[-1]]
+                else:
+                    new.append(i)
+        if new:
+            ids_ = array("I", self.encode("".join([k if k[0] == "\n" else f" {k}" for k in map(keys.__getitem__, new)])))
+            at = (4 * np.flatnonzero(self.opens[np.frombuffer(ids_, np.uint32)])).tolist()
+            if len(at) != len(new):
+                raise ValueError("chunks and their ids do not match")
+            data = ids_.tobytes()
+            for i, a, b in zip(new, at, [*at[1:], len(data)]):
+                values[i], key = data[a:b], keys[i]
+                if key.isalpha():
+                    self.chunk[key] = data[a:b]
+                elif key[-1] in mark and key[:-1].isalpha():
+                    self.chunk[key[:-1]] = data[a : b - 4]
+        return values
 
 
 @lru_cache(maxsize=2)
