@@ -1,10 +1,12 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from docrec.llm import exact_dedup, language_id, media, mixing, near_dedup, packing, sharding, suffix_dedup
+from docrec.llm import exact_dedup, html_extraction, language_id, media, mixing, near_dedup, packing, sharding, suffix_dedup, tool_calls
 
 QUERIES = {
     "op1_flac_media": media.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_html_extraction": html_extraction.query,
+    "op4_tool_calls": tool_calls.query,
     "op5_mixing": mixing.query,
     "op6_near_dedup": near_dedup.query,
     "op7_sharding": sharding.query,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op4_tool_calls": tool_calls.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op6_near_dedup": near_dedup.ORACLE,
 }
