@@ -1,4 +1,5 @@
 """Every registered query of the extraction engine and its DuckDB twin."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from docrec.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
