@@ -1,5 +1,6 @@
 """Every registered query of the extraction engine and its DuckDB twin."""
 
+from docrec.plans import more_queries  # noqa: F401  (registers its queries)
 from docrec.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

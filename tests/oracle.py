@@ -3,12 +3,13 @@
 import os
 
 import duckdb
+import pandas as pd
 
 
 def text(v) -> str:
     if hasattr(v, "__iter__") and not isinstance(v, str):
         return str(list(v))
-    if v is None or v != v:
+    if pd.isna(v):
         return "<null>"
     return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
