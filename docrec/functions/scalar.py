@@ -15,6 +15,11 @@ def nonblank(c: Column) -> Column:
     return F.nullif(F.trim(c.cast("string")), F.lit(""))
 
 
+def to_string(c: Column) -> Column:
+    """Trimmed text; null is empty."""
+    return F.coalesce(F.trim(c.cast("string")), F.lit(""))
+
+
 def normalize_key(c: Column) -> Column:
     """Trimmed, lower-case, white space collapsed; null counts as empty."""
     return F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"\s+", " ")

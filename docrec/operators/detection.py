@@ -94,3 +94,19 @@ def signature_text(pages: DataFrame, first: int = 3) -> DataFrame:
     """The text of a document's first pages."""
     own = pages.where(F.col("page_no") <= first)
     return own.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_no", "text")))["text"], "\n").alias("text"))
+
+
+def detect_builtin(first_page: Column, keywords: dict[str, str], heuristics: list[tuple[str, list[tuple[str, ...]]]], words: int = 500) -> Column:
+    """The format of a document's first page, by its first ``words`` words: configured keywords in the order of format names, then heuristics, each a list of alternatives of which all words must occur."""
+    top = F.upper(F.array_join(F.slice(F.split(F.trim(first_page), r"\s+"), 1, words), " "))
+    has = lambda ws: [F.contains(top, F.lit(w.upper())) for w in ws]
+    all_of = lambda ws: F.when(~F.array_contains(F.array(*has(ws)), False), True).otherwise(False)
+    rules = [(name, [(keywords[name],)]) for name in sorted(keywords)] + heuristics
+    return F.coalesce(*(F.when(all_of(ws), name) for name, ways in rules for ws in ways), F.lit(None).cast("string"))
+
+
+def route(learned: Column, usable: Column, builtin: Column, scanned: Column) -> Column:
+    """How a document is read: by a usable learned format, a built-in parser, a learned format without parser, as a scan, or not at all."""
+    return (
+        F.when(learned.isNotNull() & usable, "learned").when(builtin.isNotNull(), "builtin").when(learned.isNotNull(), "learned_without_parser").when(scanned, "scanned").otherwise("unknown")
+    )

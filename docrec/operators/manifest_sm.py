@@ -59,3 +59,13 @@ def splits(lines: DataFrame) -> DataFrame:
     own = lines.withColumn("split_no", F.last("split", ignorenulls=True).over(order)).withColumn("nth", F.count("split").over(order)).where("split_no > 0")
     last = lambda label: F.max_by(token_after(label), F.when(token_after(label).isNotNull(), F.struct("page_no", "line_no")))
     return own.groupBy("doc_id", "segment", "bl_number", "nth", "split_no").agg(last("CTR").alias("container_number"), last("WGT").alias("weight"), last("PACK").alias("pack_qty"), last("SEAL1").alias("seal1")).drop("nth")
+
+
+def bl_attributes(text: Column) -> dict[str, Column]:
+    """Kind of a bill's line and the first token behind its two labels."""
+    after = lambda label: F.nullif(F.regexp_extract(text, rf"{label}\s*(\S+)", 1), F.lit(""))
+    return {"bl_type": F.when(F.contains(F.upper(text), F.lit("WAYBILL")), "WAYBILL").otherwise("BL"), "board": after("Board:"), "movement": after("MOVEMENT:")}
+
+
+def default_shipowner(records: DataFrame, owner: str) -> DataFrame:
+    return records.withColumn("shipowner", F.coalesce(F.nullif(F.trim("shipowner"), F.lit("")), F.lit(owner)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docrec.functions.scalar import slug
+
 
 def template_usable(rules: Column, patterns: Column, marker: Column) -> Column:
     """Spatial rules, a marker, or at least one row pattern."""
@@ -46,3 +48,36 @@ def accept_refinement(before: DataFrame, after: DataFrame) -> DataFrame:
     """``doc_id, n_rows, gaps``: a refinement is taken if it closes a gap and keeps 95 % of the rows."""
     a = after.select("doc_id", F.col("n_rows").alias("rows_after"), F.col("gaps").alias("gaps_after"))
     return before.join(a, "doc_id").select("doc_id", ((F.col("gaps_after") < F.col("gaps")) & (F.col("rows_after") >= 0.95 * F.col("n_rows"))).alias("accepted"))
+
+
+def row_pattern_hits(lines: DataFrame, patterns: list[str]) -> DataFrame:
+    """``doc_id, text`` -> lines of each document that match any pattern."""
+    any_ = F.coalesce(*(F.when(F.regexp_like("text", F.lit(p)), True) for p in patterns), F.lit(False))
+    return lines.groupBy("doc_id").agg(F.count_if(any_).alias("hits"))
+
+
+def learning_triage(known: Column, has_rules: Column, diffs: Column) -> Column:
+    """What to do for a format: discover it, patch it if its feedback (array of arrays of differences) has any, upgrade it without spatial rules, else discover again."""
+    some = F.exists(F.coalesce(diffs, F.array()), lambda d: F.size(d) > 0)
+    return F.when(~known, "discover").when(some, "patch").when(~has_rules, "upgrade").otherwise("discover")
+
+
+def lookup(registry: DataFrame, names: DataFrame) -> DataFrame:
+    """``wanted`` -> the registered format with that name or slug."""
+    own = registry.select("name", slug(F.col("name")).alias("_slug"))
+    by_name = names.join(own, F.col("wanted") == F.col("name")).select("wanted", "name", F.lit(0).alias("how"))
+    by_slug = names.join(own, slug(F.col("wanted")) == F.col("_slug")).select("wanted", "name", F.lit(1).alias("how"))
+    return by_name.unionByName(by_slug).groupBy("wanted").agg(F.min_by("name", F.struct("how", "name")).alias("name"))
+
+
+def patch(registry: DataFrame, patches: DataFrame, columns: list[str], now: Column) -> DataFrame:
+    """``patches (name, columns)``: given values overwrite, and ``updated_at`` moves on."""
+    own = patches.select("name", F.lit(True).alias("_hit"), *(F.col(c).alias(f"_{c}") for c in columns))
+    out = registry.join(own, "name", "left")
+    return out.select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.when(F.col("_hit"), now).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in registry.columns))
+
+
+def delete(registry: DataFrame, names: DataFrame) -> DataFrame:
+    """Without the formats of which a name or slug is given (``wanted``)."""
+    gone = names.select(slug(F.col("wanted")).alias("_slug"))
+    return registry.withColumn("_slug", slug(F.col("name"))).join(gone, "_slug", "left_anti").drop("_slug")

@@ -28,3 +28,16 @@ def layout_compatible(*parts: DataFrame) -> list[DataFrame]:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.fillna("").write.mode("overwrite").csv(path, header=True, emptyValue="")
+
+
+#: The standard fields of an extraction, in order.
+STANDARD = (
+    "BL_Number", "Booking_Number", "Container_Number", "Seal_Number", "Vessel_Name", "Voyage_Number", "Date", "Port_of_Loading",
+    "Port_of_Discharge", "Shipper", "Consignee", "Notify_Party", "Gross_Weight", "Net_Weight", "Quantity", "Description",
+)
+
+
+def standard_fields(df: DataFrame) -> DataFrame:
+    """Source, Template, Page and the 16 standard fields as texts; what is not there is empty."""
+    cols = ("Source", "Template", "Page", *STANDARD)
+    return df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in cols))
