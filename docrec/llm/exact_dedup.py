@@ -86,6 +86,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for more in done[1:]:
         named = named.unionByName(more)
     groups = named.groupBy("level", "name").agg(F.max(F.struct("id", "rid")).alias("keep"), F.count("*").alias("group_size"))
+    groups = stored(groups, "dedup-groups")  # both sides of the join are then shuffled for it, and a hot group can be split
     out = named.join(groups, ["level", "name"]).select("rid", "keep", "group_size")
     return out.join(rows.select("rid", F.col("id"), "sha"), "rid").select(
         F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
