@@ -32,7 +32,7 @@ def segmented(spark, d):
     return sm.bl_segments(sm.classify_lines(sm_lines(spark, d), BL))
 
 
-@query(f"WITH {BILL} SELECT k // 50 AS doc_id, count(*) * 9 + sum(n) * 4 AS n_lines, count(*) * 2 AS bills, count(*) AS totals, count(*) * 2 AS sections, sum(n)::BIGINT + count(*) AS splits, count(*) * 2 + sum(n) * 3 AS kv FROM bill JOIN (SELECT k, count(*) AS n FROM box GROUP BY k) USING (k) GROUP BY 1")
+@query(f"WITH {BILL} SELECT k // 50 AS doc_id, (count(*) * 9 + sum(n) * 4)::BIGINT AS n_lines, count(*) * 2 AS bills, count(*) AS totals, count(*) * 2 AS sections, sum(n)::BIGINT + count(*) AS splits, (count(*) * 2 + sum(n) * 3)::BIGINT AS kv FROM bill JOIN (SELECT k, count(*) AS n FROM box GROUP BY k) USING (k) GROUP BY 1")
 def sm1_classify_lines(spark, d):
     c = sm.classify_lines(sm_lines(spark, d), BL)
     return c.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count("bl").alias("bills"), F.count_if("is_total").alias("totals"), F.count("section").alias("sections"), F.count("split").alias("splits"), F.count_if("is_kv").alias("kv"))
@@ -54,7 +54,7 @@ def sm5_party_sections(spark, d):
     return sm.party_sections(segmented(spark, d)).drop("segment")
 
 
-@query(f"WITH {BILL} SELECT k // 50 AS doc_id, bl AS bl_number, n AS split_no, container AS container_number, packs::VARCHAR AS weight, NULL AS pack_qty, NULL AS seal1 FROM box JOIN bill USING (k)")
+@query(f"WITH {BILL} SELECT k // 50 AS doc_id, bl AS bl_number, n AS split_no, container AS container_number, packs::VARCHAR AS weight, NULL::VARCHAR AS pack_qty, NULL::VARCHAR AS seal1 FROM box JOIN bill USING (k)")
 def sm6_splits_and_sm7_key_values(spark, d):
     return sm.splits(segmented(spark, d)).drop("segment")
 
@@ -207,7 +207,7 @@ def sc9_page_estimate(spark, d):
     return fx.records(spark, d).select("doc_id", "row_no", sc.page_estimate(F.col("row_no"), F.lit(400), F.lit(9)).alias("page"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey * 1000.5 END AS n FROM part")
+@query("SELECT p_partkey, (CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey * 1000.5 END)::DOUBLE AS n FROM part")
 def sc3_lenient_float(spark, d):
     (part,) = fx.tables(spark, d, "part")
     text = F.when(F.col("p_partkey") % 3 == 0, "none").otherwise(F.format_number(F.col("p_partkey") * 1000.5, 2))
