@@ -110,3 +110,22 @@ def route(learned: Column, usable: Column, builtin: Column, scanned: Column) ->
     return (
         F.when(learned.isNotNull() & usable, "learned").when(builtin.isNotNull(), "builtin").when(learned.isNotNull(), "learned_without_parser").when(scanned, "scanned").otherwise("unknown")
     )
+
+
+def sample_blocks(blocks: DataFrame, first: int = 3, most: int = 400, least: int = 100) -> DataFrame:
+    """``doc_id, page_no, block_no, carry_over, text`` -> the first blocks of each document that are not carried over, each cut to ``most`` characters, at a line end if one stands beyond ``least``."""
+    t = F.trim("text")
+    head = F.substring(t, 1, most)
+    back = F.locate("\n", F.reverse(head))
+    cut = F.when(back > 0, F.length(head) - back).otherwise(-1)
+    own = blocks.where(~F.col("carry_over") & (t != "")).withColumn("sample", F.when(F.length(t) <= most, t).when(cut > least, F.substring(t, F.lit(1), cut)).otherwise(head))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "block_no"))
+    return own.withColumn("place", place).where(F.col("place") <= first).select("doc_id", "place", "sample")
+
+
+def fingerprint(docs: DataFrame, samples: DataFrame, carriers: list[tuple[str, list[str]]]) -> DataFrame:
+    """One row per document (``doc_id, text``): carrier hint, container marker, the best bill pattern and its hits, distinct containers, and the weight scope that its samples vote for."""
+    best = F.try_element_at(marker_hits(F.col("text")), F.lit(1))
+    own = docs.select("doc_id", carrier_hint(F.col("text"), carriers).alias("hint"), container_marker(F.col("text")).alias("marker"), best["pattern"].alias("pattern"), best["hits"].alias("hits"), distinct_matches(F.col("text"), ISO).alias("containers"))
+    scope = weight_scope(samples.select("doc_id", F.col("sample").alias("text")))
+    return own.join(scope, "doc_id", "left").withColumn("scope", F.coalesce("scope", F.lit("per_bl")))

@@ -136,3 +136,24 @@ def sc8_to_string(spark, d):
     (events,) = fx.tables(spark, d, "events")
     k = F.col("event_id")
     return events.select("event_id", sc.to_string(F.when(k % 3 == 1, k.cast("string")).when(k % 3 == 2, F.concat(F.lit("  "), "event_type", F.lit(" ")))).alias("text"))
+
+
+def sampled(spark, d):
+    parts = fx.manifest_text(spark, d).select("doc_id", "page_no", F.posexplode(F.split("text", "B/L NO[.] ")).alias("block_no", "part")).where("block_no > 0")
+    text = F.regexp_replace(F.concat(F.lit("B/L NO. "), "part"), "\n$", "")
+    return de.sample_blocks(parts.select("doc_id", "page_no", "block_no", F.lit(False).alias("carry_over"), text.alias("text")), most=150, least=60)
+
+
+SAMPLE = TEXT + """, blk AS (SELECT k // 50 AS doc_id, k, 'B/L NO. ' || bl || chr(10) || 'SHIPPER ' || shipper || chr(10) || 'CONSIGNEE ' || consignee || chr(10) || 'PORT OF LOADING ' || pol || chr(10) || 'PORT OF DISCHARGE ' || pod || chr(10) || lines || chr(10) || 'WEIGHT ' || weight || ' KGS' AS t FROM bill JOIN boxlines USING (k)),
+cutat AS (SELECT *, CASE WHEN strpos(reverse(t[:150]), chr(10)) > 0 THEN 150 - strpos(reverse(t[:150]), chr(10)) ELSE -1 END AS c FROM blk),
+sample AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k)::INT AS place, CASE WHEN length(t) <= 150 THEN t WHEN c > 60 THEN t[:c] ELSE t[:150] END AS sample FROM cutat QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) <= 3)"""
+
+
+@query(f"WITH {SAMPLE} SELECT doc_id, place, sample FROM sample")
+def det8_sample_blocks(spark, d):
+    return sampled(spark, d)
+
+
+@query(f"WITH {SAMPLE}, doc AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS text FROM page GROUP BY doc_id), n AS (SELECT k // 50 AS doc_id, count(*)::INT AS containers FROM box GROUP BY 1) SELECT doc_id, CASE WHEN contains(upper(text[:2000]), 'MEDU') THEN 'm' ELSE '' END AS hint, CASE WHEN containers >= 3 THEN '(CN)' ELSE '' END AS marker, containers FROM doc JOIN n USING (doc_id)")
+def det9_fingerprint(spark, d):
+    return de.fingerprint(doc_texts(spark, d), sampled(spark, d), [("m", ["MEDU"])]).select("doc_id", "hint", "marker", "containers")
