@@ -100,7 +100,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = rows.join(classes.select(F.col("first").alias("rid")), "rid", "left_semi")
 
     values = own.select("key", "n", F.explode("hashes").alias("v"))
-    counts = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    counts = stored(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "near-counts")  # so that a hot value's join can be split
     company = values.join(counts, "v").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))
     listed = F.when(F.col("n") < k, F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")).otherwise(k - agree + 1) - (F.least("n", F.lit(k)) - F.size("shared"))
     rare = company.withColumn("listed", listed.cast("int")).where("listed > 0").select("key", F.explode(F.slice("shared", 1, F.col("listed"))).alias("s"))
