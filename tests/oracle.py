@@ -1,6 +1,7 @@
 """Compares a query with its DuckDB twin: rows as multisets of texts, columns by name."""
 
 import os
+from numbers import Number
 
 import duckdb
 import pandas as pd
@@ -11,7 +12,7 @@ def text(v) -> str:
         return str(list(v))
     if pd.isna(v):
         return "<null>"
-    return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return repr(float(v)) if isinstance(v, Number) and not isinstance(v, bool) else str(v)
 
 
 def rows(df) -> list[tuple[str, ...]]:
