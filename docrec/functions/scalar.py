@@ -69,15 +69,15 @@ def page_estimate(row_no: Column, rows: Column, pages: Column) -> Column:
 
 
 def clean_number(c: Column) -> Column:
-    """The first run of digits after look-alike letters are read as digits."""
-    return F.regexp_extract(F.translate(c, "OolISB", "001158"), r"[0-9]+", 0)
+    """The first number, with its spaces, points and commas, after look-alike letters are read as digits."""
+    return F.trim(F.regexp_extract(F.translate(c, "OolISB", "001158"), r"[0-9][0-9\s.,]*", 0))
 
 
 def post_process(kind: Column, c: Column) -> Column:
     """Strip marks at the ends; for numbers and dates the first match in the value, else the value."""
     v = F.btrim(c, F.lit(" :;-|"))
-    pattern = lambda p: F.coalesce(F.nullif(F.regexp_extract(v, p, 0), F.lit("")), v)
-    return F.when(kind == "number", pattern(r"[0-9][0-9.,]*")).when(kind == "date", pattern(r"[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{2,4}")).otherwise(v)
+    pattern = lambda p: F.coalesce(F.nullif(F.trim(F.regexp_extract(v, p, 0)), F.lit("")), v)
+    return F.when(kind == "number", pattern(r"[0-9][0-9\s.,]*")).when(kind == "date", pattern(r"[0-9]{1,2}[\-/.\s][A-Za-z0-9]{1,9}[\-/.\s][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}")).otherwise(v)
 
 
 def split_date(c: Column, months: list[str]) -> tuple[Column, Column, Column]:
@@ -105,3 +105,13 @@ def fuzz_ratio(a: Column, b: Column) -> Column:
 
     lcs = F.element_at(F.aggregate(ca, zero, row), -1)
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.when(F.length(a) == F.length(b), 100.0).otherwise(0.0)).otherwise(200.0 * lcs / (F.length(a) + F.length(b)))
+
+
+def largest_number(field: Column, nearby: Column) -> Column:
+    """``nearby``: array of structs with ``text``, in reading order -> struct ``value, anchor``: for weights, volumes and package counts the largest number as it is written, and the word before it; null for other fields or without a number."""
+    number = r"[0-9]{1,3}(?:[ ,.][0-9]{3})*(?:[.,][0-9]{1,3})?"
+    raw = lambda w: F.regexp_extract(w["text"], f"^(?:{number})$|{number}", 0)
+    read = lambda t: F.regexp_replace(F.regexp_replace(t, "[ ,]", ""), r"\.+$", "").try_cast("double")
+    numbers = F.transform(nearby, lambda w, i: F.struct(read(raw(w)).alias("n"), raw(w).alias("value"), F.coalesce(F.get(nearby, i - 1)["text"], F.lit("")).alias("anchor")))
+    best = F.array_max(F.filter(numbers, lambda s: s["n"].isNotNull()))
+    return F.when(field.isin("weight", "volume", "pack_qty") & best.isNotNull(), F.struct(best["value"].alias("value"), best["anchor"].alias("anchor")))

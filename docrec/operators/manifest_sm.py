@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Section labels of the parties.
 SECTIONS = {"SH:": "shipper", "CN:": "consignee", "N:": "notify", "FE:": "freight_forwarder"}
+#: Words of lines that are no cargo description.
+NOT_DESCRIPTION = ("SPLIT", "CTR:", "SEAL", "TARE:", "SZTP:", "PACK:", "WGT:", "VOL:", "SHP", "STAT:", "FREE", "FREIGHT", "STOWED", "GOODS", "BESC", "FCL", "SHIPPED")
 CLOSED = ""
 
 
@@ -69,3 +71,14 @@ def bl_attributes(text: Column) -> dict[str, Column]:
 
 def default_shipowner(records: DataFrame, owner: str) -> DataFrame:
     return records.withColumn("shipowner", F.coalesce(F.nullif(F.trim("shipowner"), F.lit("")), F.lit(owner)))
+
+
+def description_lines(lines: DataFrame) -> DataFrame:
+    """``doc_id, segment, page_no, line_no, split`` and two columns of each line, ``mid`` (its cargo column) and ``right`` (the description area) -> per split (0 goes) its description: what stands right on lines without a keyword, from the bill's first split up to the end of this one."""
+    order = Window.partitionBy("doc_id", "segment").orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    own = lines.withColumns({"nth": F.count("split").over(order), "split_no": F.last("split", ignorenulls=True).over(order)}).where("nth > 0")
+    words = ~F.coalesce(*(F.when(F.contains(F.upper("mid"), F.lit(w)), True) for w in NOT_DESCRIPTION), F.lit(False))
+    said = F.when((F.trim("mid") != "") & words & (F.trim("right") != ""), F.struct("page_no", "line_no", F.trim("right").alias("t"), "nth"))
+    bills = own.groupBy("doc_id", "segment").agg(F.array_sort(F.collect_list(said)).alias("said"), F.collect_set(F.when(F.col("split_no") > 0, F.struct("nth", "split_no"))).alias("splits"))
+    each = bills.select("doc_id", "segment", "said", F.explode("splits").alias("s"))
+    return each.select("doc_id", "segment", F.col("s.nth").alias("nth"), F.col("s.split_no").alias("split_no"), F.array_join(F.filter("said", lambda x: x["nth"] <= F.col("s.nth"))["t"], " ").alias("description"))

@@ -112,8 +112,8 @@ def tpl7_detect_table_rows(spark, d):
     return bt.table_rows(tokens(spark, d), (0, 0, 400, 200), 20, 10)
 
 
-@query(f"""WITH {WORDS}, t AS (SELECT *, 30 + word_no % 70 AS conf FROM word WHERE regexp_matches(text, '^[\\p{{L}}]{{4,}}$')), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY conf DESC, length(text) DESC, top, word_no) AS place FROM t),
-o AS (SELECT * FROM f WHERE place <= 24 QUALIFY row_number() OVER (PARTITION BY doc_id, page_no, lower(text) ORDER BY place) = 1), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY place)::INT AS rank FROM o) SELECT doc_id, page_no, rank, text, x0 / 600 AS x, top / 800 AS y FROM k WHERE rank <= 8""")
+@query(f"""WITH {WORDS}, t AS (SELECT *, 30 + word_no % 70 AS conf FROM word WHERE length(text) >= 4 AND regexp_matches(text, '[A-Za-z]')), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY conf DESC, length(text) DESC, top, word_no) AS place FROM t),
+o AS (SELECT * FROM f WHERE place <= 24 QUALIFY row_number() OVER (PARTITION BY doc_id, page_no, lower(text) ORDER BY place) = 1), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY place)::INT AS rank FROM o) SELECT doc_id, page_no, rank, text, (x0 + (x1 - x0) / 2) / 600 AS x, (top + 5.5) / 800 AS y FROM k WHERE rank <= 8""")
 def tpl1_build_anchors(spark, d):
     t = tokens(spark, d)
     dims = t.select("doc_id", "page_no").distinct().select("*", F.lit(600).alias("width"), F.lit(800).alias("height"))

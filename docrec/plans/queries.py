@@ -668,7 +668,7 @@ def sc6_trim_number_format(spark, d):
     return line.select("l_orderkey", "l_linenumber", "l_partkey", sc.trim_number(q, 3).alias("n"))
 
 
-@query("SELECT p_partkey, regexp_extract(translate(p_name || ' O1l S', 'OolISB', '001158'), '[0-9]+') AS digits FROM part")
+@query("SELECT p_partkey, trim(regexp_extract(translate(p_name || ' O1l S', 'OolISB', '001158'), '[0-9][0-9\\s.,]*')) AS digits FROM part")
 def tpl11_clean_number(spark, d):
     (part,) = fx.tables(spark, d, "part")
     return part.select("p_partkey", sc.clean_number(F.concat("p_name", F.lit(" O1l S"))).alias("digits"))
