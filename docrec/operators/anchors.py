@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docrec.functions.scalar import fuzz_ratio
+from docrec.functions.scalar import fuzz_ratio, ratio_bound
 from docrec.operators.geometry import derive_geometry
 from docrec.sources.pages import PAGE
 
@@ -37,7 +37,7 @@ def similar_words(words: DataFrame, label: str, threshold: float) -> DataFrame:
     target, n = F.lit(label.upper()), len(label)
     texts = words.select(F.upper("text").alias("t")).distinct()
     close = 200 * F.least(F.length("t"), F.lit(n)) / (F.length("t") + n) >= threshold
-    return texts.where(close).withColumn("score", fuzz_ratio(F.col("t"), target)).where(F.col("score") >= threshold)
+    return texts.where(close & (ratio_bound(F.col("t"), target) >= threshold)).withColumn("score", fuzz_ratio(F.col("t"), target)).where(F.col("score") >= threshold)
 
 
 def find_label_fuzzy(words: DataFrame, label: str, threshold: float = 85.0) -> DataFrame:
