@@ -57,16 +57,16 @@ def test_numbers_and_dates_in_values(spark):
 
 
 def test_rule_dispatch_takes_the_anchor_cascade_and_cuts(spark):
-    lines = words_of(spark, "Port of Loading RIGA NOTIFY LATVIA via me", "Consignee", "ACME & SONS STOP here", "CONSIGNEEX")
+    lines = words_of(spark, "Port of Loading RIGA NOTIFY LATVIA behind me", "Consignee", "ACME & SONS STOP here", "CONSIGNEEX")
     found = lambda df: {r.field: r.value for r in df.collect()}
     template = [
-        {"field_name": "pol", "anchor_text": ["port", "of", "loading"], "stop_at": ["VIA"]},
+        {"field_name": "pol", "anchor_text": ["port", "of", "loading"], "stop_at": ["BEHIND"]},
         {"field_name": "consignee", "anchor_text": ["CONSIGNEE"], "direction": "below", "max_distance": 25, "x_tolerance": 200, "stop_at": ["zzz", "Stop"]},
         {"field_name": "longest", "anchor_text": ["of", "Consignes"], "direction": "below", "max_distance": 25, "x_tolerance": 40, "max_words": 1},
         {"field_name": "sideways", "anchor_text": ["CONSIGNEE"], "direction": "diagonal"},
     ]
     assert found(ru.apply_template_rules(lines, template)) == {"pol": "RIGA LATVIA", "consignee": "ACME & SONS", "longest": "ACME"}
-    assert found(ru.apply_config_rules(lines, {"a": {"regex": "acme (.*?) STOP"}, "b": {"fuzzy_label": "consignex"}, "c": {"bbox": [0, 20, 1, 30]}})) == {"a": "& SONS", "b": "ACME & SONS STOP here"}
+    assert found(ru.apply_config_rules(lines, {"a": {"regex": "acme (.*?) STOP"}, "b": {"fuzzy_label": "consigneeq"}, "c": {"bbox": [0, 20, 1, 30]}})) == {"a": "& SONS", "b": "ACME & SONS STOP here"}
     assert found(ru.apply_template_rules(lines, [])) == found(ru.apply_config_rules(lines, {})) == found(ru.apply_template_rules(lines.limit(0), template)) == {}
 
 
