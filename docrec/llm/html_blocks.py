@@ -15,7 +15,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<broken>/?)(?P<name>[a-zA-Z][^\s/>]*)[^>]*>", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\b(hidden)\b""", re.I)
+ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -119,13 +119,13 @@ def blocks(page: str) -> list[Block]:
                 pop_to(CLOSES[tag], frozenset(("ul", "ol", "dl", "table", "select", "menu")))
         names: list[str] = []
         hidden = False
-        for name, value, alone in ATTR.findall(attrs) if attrs else ():
-            value = value.strip("\"'").lower()
-            if name.lower() == "style":
+        for name, value in ATTR.findall(attrs) if attrs else ():
+            name, value = name.lower(), value.strip("\"'").lower()
+            if name == "style":
                 hidden |= "display:none" in value.replace(" ", "")
-            elif alone or name.lower() == "hidden":
+            elif name == "hidden" or name == "aria-hidden" and value.strip() == "true":
                 hidden = True
-            else:
+            elif name in ("class", "id", "role"):
                 names += NAME.findall(value)
         if hidden and tag not in VOID:
             skip, deep = tag, 1

@@ -130,6 +130,17 @@ def test_html_extraction(spark, small):
     assert html_extraction.extracted(pages.limit(0), w).count() == 0
 
 
+def test_html_only_own_attributes_hide():
+    shown = [
+        '<p><a href="/the-hidden-valley.html">x</a></p>', '<p title="Our hidden gems">x</p>', '<main aria-hidden="false"><p>x</p></main>', "<article data-hidden='false'><p>x</p></article>", "<p data-hidden>x</p>",
+        '<p title=" hidden ">x</p>', "<p class=hidden>x</p>", '<p title="style=display:none">x</p>', '<p data-style="display:none">x</p>', "<p title = hidden>x</p>", '<p "hidden">x</p>',
+    ]
+    gone = ["<p hidden>x</p>", "<p HIDDEN=''>x</p>", '<p title="a"hidden>x</p>', "<p class=a hidden id=b>x</p>", '<p style="color: red; display: none">x</p>', '<p aria-hidden="true">x</p>', "<p aria-hidden = TRUE>x</p>", "<p hidden=until-found>x</p>"]
+    assert [[b.text for b in blocks(p + "<p>y</p>")] for p in shown] == [["x", "y"]] * len(shown)
+    assert [[b.text for b in blocks(p + "<p>y</p>")] for p in gone] == [["y"]] * len(gone)
+    assert blocks('<div data-id="menu" class="Post main" title="role=nav">x</div>')[0].names == ("post", "main")
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     w = crf.Weights(rng.normal(size=(5, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
