@@ -8,10 +8,14 @@ from dataclasses import dataclass, field
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style template noscript svg math iframe object textarea select canvas video audio head title".split())
+SKIPPED = frozenset("script style template noscript svg math iframe object textarea select canvas video audio title".split())
+#: Of these, what is read up to its end tag whatever stands in it (not within the foreign ones).
+RAW = frozenset("script style textarea title".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var del button img wbr".split())
 #: Elements that a start tag of the named ones closes, if open.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSES |= dict.fromkeys(("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot", "tr", "td", "th"))
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<broken>/?)(?P<name>[a-zA-Z][^\s/>]*)[^>]*>", re.S)
@@ -33,40 +37,54 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order. Markup, comments, scripts and hidden elements leave no text; character references are decoded."""
+    """The leaf blocks of a page in order. Markup, comments, scripts and hidden elements leave no text; character references are decoded.
+
+    Hidden elements are open elements like others, so they end where HTML ends them, with or without an end tag. The head is no
+    element here: what may stand in it leaves no text by itself, and anything else ends it.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], bool]] = []  # name, words of its attributes, whether it hides
     text: list[str] = []
-    links, link_chars, at, skip, deep = 0, 0, 0, "", 0
+    links, link_chars, at, hidden_at = 0, 0, 0, -1  # hidden_at: place of the outermost hidden element in the stack
 
     def flush() -> None:
         nonlocal link_chars
         if text:
             joined = SPACE.sub(" ", "".join(text)).strip()
             if joined:
-                tags = tuple(t for t, _ in stack if t not in INLINE)
-                out.append(Block(joined, tags, tuple(n for _, own in stack for n in own), len(text), min(link_chars, len(joined)), bool(tags) and tags[-1] in ("h1", "h2", "h3", "h4", "h5", "h6")))
+                shown = stack if hidden_at < 0 else stack[:hidden_at]
+                tags = tuple(t for t, _, _ in shown if t not in INLINE)
+                out.append(Block(joined, tags, tuple(n for _, own, _ in shown for n in own), len(text), min(link_chars, len(joined)), bool(tags) and tags[-1] in ("h1", "h2", "h3", "h4", "h5", "h6")))
             text.clear()
         link_chars = 0
 
     def add(raw: str) -> None:
         nonlocal link_chars
-        if raw and not skip:
+        if raw and hidden_at < 0:
             s = html.unescape(raw) if "&" in raw else raw
             text.append(s)
             if links:
                 link_chars += len(s.strip())
 
+    def closed(k: int, end: int | None = None) -> None:
+        """The elements from place ``k`` on end, or those before ``end``."""
+        nonlocal links, hidden_at
+        del stack[k:end]
+        links = sum(t == "a" for t, _, _ in stack)
+        if hidden_at >= 0:
+            hidden_at = next((i for i, (_, _, hides) in enumerate(stack) if hides), -1)
+
     def pop_to(names: tuple[str, ...], stop: frozenset[str]) -> None:
-        nonlocal links
+        found = -1
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
+                found = k
+            elif stack[k][0] in stop or stack[k][0] in SKIPPED:
+                break
+        if found >= 0:
+            if hidden_at < 0 or found < hidden_at:
                 flush()
-                del stack[k:]
-                links = sum(t == "a" for t, _ in stack)
-                return
-            if stack[k][0] in stop:
-                return
+            closed(found)
 
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -79,40 +97,44 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m["close"] or m["broken"] == "/":
-            if skip == tag:
-                deep -= 1
-                skip = tag if deep else ""
-            elif not skip:
-                if tag in INLINE:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            del stack[k]
-                            break
-                        if stack[k][0] not in INLINE:
-                            break
-                else:
+            if tag in INLINE:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        closed(k, k + 1)
+                        break
+                    if stack[k][0] not in INLINE:
+                        break
+            else:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+                if hidden_at < 0 and tag not in SKIPPED or 0 <= k < hidden_at:
                     flush()
-                    if any(t == tag for t, _ in stack):
-                        while stack.pop()[0] != tag:
-                            pass
-                links = sum(t == "a" for t, _ in stack)
-            continue
-        if skip:
-            deep += tag == skip
+                if k >= 0:
+                    closed(k)
             continue
         attrs = m["attrs"] or ""
         if tag in SKIPPED:
             if not attrs.rstrip().endswith("/"):
-                skip, deep = tag, 1
-                if tag in ("script", "style", "textarea", "title"):  # raw text up to the end tag
+                if tag in RAW and (hidden_at < 0 or not any(t in FOREIGN for t, _, _ in stack)):
                     end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-                    at, skip = (end.end() if end else len(page)), ""
+                    at = end.end() if end else len(page)
+                else:
+                    if hidden_at < 0:
+                        hidden_at = len(stack)
+                    stack.append((tag, (), True))
             continue
+        if tag == "head":
+            continue
+        if tag == "body" and hidden_at >= 0:  # ends what the head has left open
+            k = next((k for k, (t, _, _) in enumerate(stack) if t in SKIPPED), -1)
+            if k >= 0 and not any(t == "body" for t, _, _ in stack):
+                closed(k)
         if tag == "br":
-            text.append("\n")
+            if hidden_at < 0:
+                text.append("\n")
             continue
         if tag not in INLINE:
-            flush()
+            if hidden_at < 0:
+                flush()
             if tag in ENDS_P:
                 pop_to(("p",), frozenset(("td", "th", "li", "div", "article", "section", "body", "main", "aside", "footer", "header", "nav", "form")))
             if tag in CLOSES:
@@ -127,14 +149,13 @@ def blocks(page: str) -> list[Block]:
                 hidden = True
             elif name in ("class", "id", "role"):
                 names += NAME.findall(value)
-        if hidden and tag not in VOID:
-            skip, deep = tag, 1
-            continue
         if tag not in VOID and not attrs.rstrip().endswith("/"):
             if tag == "a":
                 links += 1
-            stack.append((tag, tuple(names)))
-        elif tag == "hr":
+            if hidden and hidden_at < 0:
+                hidden_at = len(stack)
+            stack.append((tag, tuple(names), hidden))
+        elif tag == "hr" and hidden_at < 0:
             flush()
     add(page[at:])
     flush()

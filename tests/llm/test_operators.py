@@ -141,6 +141,36 @@ def test_html_only_own_attributes_hide():
     assert blocks('<div data-id="menu" class="Post main" title="role=nav">x</div>')[0].names == ("post", "main")
 
 
+def test_html_skipping_ends_where_the_element_ends():
+    cases = {
+        "<html><head><title>t</title><meta charset=utf-8><body><p>x</p><p>y</p>": ["x", "y"],
+        "<head><title>t</title><p>x</p>": ["x"],
+        "<head><title>t</title>x<p>y": ["x", "y"],
+        "<head><script>var s = '<head>';</script></head><body><p>x</p></body>": ["x"],
+        "<head><script>var s = '</head><p>no</p>';</script><style>p:after { content: '<head>' }</style></head><body><p>x</p></body>": ["x"],
+        "<head><noscript><link href=a><body><p>x</p>": ["x"],
+        "<div hidden>no<script>'<div><p hidden>'</script></div><p>x": ["x"],
+        "<div hidden><style>a:after { content: '</div>' }</style>no</div><p>x": ["x"],
+        "<ul><li>x<li hidden>no<li>y</ul><p>z": ["x", "y", "z"],
+        "<ul><li hidden><div>no<ul><li>no</ul><li>y</ul>": ["y"],
+        "<p style=display:none>no<p>x<p>y": ["x", "y"],
+        "<p hidden>no <b>no</b><div>x</div>": ["x"],
+        "<div><p hidden>no</div><p>x": ["x"],
+        "<table><tr><td hidden>no<td>x<tr hidden><td>no<td>no<tr><td>y</table>": ["x", "y"],
+        "<table><tbody hidden><tr><td>no<tbody><tr><td>x</table>": ["x"],
+        "<dl><dt hidden>no<dd>x<dd hidden>no<dt>y</dl>": ["x", "y"],
+        "<div>x<video><source src=a></div><p>y": ["x", "y"],
+        "<p>x<svg><title>no</svg> y <svg><title/><path d=a/></svg>z": ["x y z"],
+        "<p>x <span hidden>no<br>no</span>y</p>": ["x y"],
+        "<p>x<noscript><div>no</div></noscript> y</p>": ["x y"],
+        "<div hidden><div>no</div>no<hr>no</div>x": ["x"],
+        "<object><object>no</object>no</object>x": ["x"],
+    }
+    got = {page: [b.text for b in blocks(page)] for page in cases}
+    assert got == cases
+    assert [b.tags for b in blocks("<head><title>t</title><body><div hidden><nav>no</nav></div><p>x")] == [("body", "p")]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     w = crf.Weights(rng.normal(size=(5, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
