@@ -51,16 +51,23 @@ def party_sections(lines: DataFrame) -> DataFrame:
     return running.groupBy("doc_id", "segment", "bl_number").agg(*(joined(name).alias(name) for name in SECTIONS.values()))
 
 
-def token_after(label: str) -> Column:
-    return F.nullif(F.regexp_extract("text", rf"^\s*{label}:\s*(\S+)", 1), F.lit(""))
+#: The columns of the labels, and of the units of those that have one.
+KEY_VALUES = {"CTR": "container_number", "WGT": "weight", "PACK": "pack_qty", "SEAL1": "seal1", "VOL": "volume", "SEAL2": "seal2", "SEAL3": "seal3", "TARE": "tare", "SZTP": "container_type"}
+UNITS = {"WGT": "weight_unit", "PACK": "pack_unit", "VOL": "volume_unit"}
+
+
+def token_after(label: str, unit: bool = False) -> Column:
+    """The first token after a label anywhere in the line, or the one that follows it and is no label itself."""
+    return F.nullif(F.regexp_extract("text", rf"(?:^|\s){label}:\s*(\S+)" + (r"\s+(?!\S*:)(\S+)" if unit else ""), 2 if unit else 1), F.lit(""))
 
 
 def splits(lines: DataFrame) -> DataFrame:
-    """A row per container split (split 0 goes): the key-value lines behind its split line, a later line overwriting an earlier."""
+    """A row per container split (split 0 goes): the values of its key-value lines from its split line on and the units of pack, weight and volume, a later line overwriting an earlier."""
     order = Window.partitionBy("doc_id", "segment").orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
     own = lines.withColumn("split_no", F.last("split", ignorenulls=True).over(order)).withColumn("nth", F.count("split").over(order)).where("split_no > 0")
-    last = lambda label: F.max_by(token_after(label), F.when(token_after(label).isNotNull(), F.struct("page_no", "line_no")))
-    return own.groupBy("doc_id", "segment", "bl_number", "nth", "split_no").agg(last("CTR").alias("container_number"), last("WGT").alias("weight"), last("PACK").alias("pack_qty"), last("SEAL1").alias("seal1")).drop("nth")
+    last = lambda token: F.max_by(token, F.when(token.isNotNull(), F.struct("page_no", "line_no")))
+    values = [last(token_after(label)).alias(c) for label, c in KEY_VALUES.items()] + [last(token_after(label, True)).alias(c) for label, c in UNITS.items()]
+    return own.groupBy("doc_id", "segment", "bl_number", "nth", "split_no").agg(*values).drop("nth")
 
 
 def bl_attributes(text: Column) -> dict[str, Column]:

@@ -56,7 +56,24 @@ def sm5_party_sections(spark, d):
 
 @query(f"WITH {BILL} SELECT k // 50 AS doc_id, bl AS bl_number, n AS split_no, container AS container_number, packs::VARCHAR AS weight, NULL::VARCHAR AS pack_qty, NULL::VARCHAR AS seal1 FROM box JOIN bill USING (k)")
 def sm6_splits_and_sm7_key_values(spark, d):
-    return sm.splits(segmented(spark, d)).drop("segment")
+    return sm.splits(segmented(spark, d)).select("doc_id", "bl_number", "split_no", "container_number", "weight", "pack_qty", "seal1")
+
+
+def kv_lines(spark, d):
+    """Bills with all key-value lines, some with several labels; every third bill has no third seals."""
+    n, packs, k = F.col("n").cast("string"), F.col("packs").cast("string"), F.col("k")
+    texts = [
+        F.concat(F.lit("SPLIT: "), n, F.lit(" PACK: "), packs, F.lit(" CTN WGT: 1 LBS")), F.lit("VOL: 0.5 CBM"), F.concat(F.lit("VOL: "), packs), F.concat(F.lit("CTR: "), "container", F.lit(" SEAL1: A"), n), F.concat(F.lit("WGT: "), packs, F.lit(" KGS")),
+        F.concat(F.lit("TARE: "), (F.col("packs") + 2000).cast("string"), F.lit(" KGS SZTP: "), "ctype", F.lit(" SEAL2: B"), n), F.when(k % 3 == 0, "AS ABOVE").otherwise(F.concat(F.lit("SEAL3: C"), n)),
+    ]
+    held = fx.boxes(spark, d).groupBy("k").agg(F.flatten(F.array_sort(F.collect_list(F.struct("n", F.array(*texts).alias("l"))))["l"]).alias("boxes"))
+    b = fx.bills(spark, d).join(held, "k").select("k", F.posexplode(F.concat(F.array("bl", F.lit("TARE: 1")), "boxes", F.array(F.lit("B/L TOTAL"), F.lit("VOL: 9 OUT")))).alias("i", "text"))
+    return b.select(F.floor(F.col("k") / 50).alias("doc_id"), (F.col("k") % 50).cast("int").alias("page_no"), F.col("i").alias("line_no"), "text")
+
+
+@query(f"WITH {BILL} SELECT k // 50 AS doc_id, bl AS bl_number, n AS split_no, container AS container_number, packs::VARCHAR AS weight, packs::VARCHAR AS pack_qty, 'A' || n AS seal1, packs::VARCHAR AS volume, 'B' || n AS seal2, CASE WHEN k % 3 <> 0 THEN 'C' || n END AS seal3, (packs + 2000)::VARCHAR AS tare, ctype AS container_type, 'KGS' AS weight_unit, 'CTN' AS pack_unit, 'CBM' AS volume_unit FROM box JOIN bill USING (k)")
+def sm7_split_key_values(spark, d):
+    return sm.splits(sm.bl_segments(sm.classify_lines(kv_lines(spark, d), BL))).drop("segment")
 
 
 # questionnaire segments
