@@ -24,10 +24,19 @@ def distinct_matches(text: Column, pattern: str) -> Column:
     return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0)))
 
 
-def detect_signature(docs: DataFrame, formats: DataFrame, share: float = 0.6) -> DataFrame:
-    """``doc_id, text`` and ``name, signature`` -> the format of which the largest share of signature words is found (then the largest number): at least ``share`` and two, or the only one."""
-    tokens = formats.select("name", F.size("signature").alias("n"), F.explode("signature").alias("token"))
-    seen = docs.select("doc_id", F.upper("text").alias("t")).join(tokens, F.contains(F.col("t"), F.upper("token"))).groupBy("doc_id", "name", "n").agg(F.count("*").alias("found"))
+def detect_signature(docs: DataFrame, formats: DataFrame, share: float = 0.6, words: bool = True) -> DataFrame:
+    """``doc_id, text`` and ``name, signature`` -> the format of which the largest share of signature words is found (then the largest number): at least ``share`` and two, or the only one.
+
+    White space counts as one space and empty signature words do not count. A simple word (letters, digits, underscores) is found only as a whole word, unless ``words`` is false.
+    """
+    spaced = lambda c: F.upper(F.regexp_replace(c, r"\s+", " "))
+    signature = F.filter(F.transform("signature", lambda s: F.trim(spaced(s))), lambda s: s != "")
+    tokens = formats.select("name", signature.alias("signature")).select("name", F.size("signature").alias("n"), F.explode("signature").alias("token"))
+    found = F.contains(F.col("t"), F.col("token"))
+    if words:  # other characters become spaces, so that a simple word stands between two
+        found &= ~F.regexp_like("token", F.lit("^[A-Z0-9_]+$")) | F.contains(F.col("simple"), F.concat(F.lit(" "), "token", F.lit(" ")))
+    read = docs.select("doc_id", spaced(F.col("text")).alias("t"), F.concat(F.lit(" "), F.regexp_replace(F.upper("text"), "[^A-Z0-9_]+", " "), F.lit(" ")).alias("simple"))
+    seen = read.join(tokens, found).groupBy("doc_id", "name", "n").agg(F.count("*").alias("found"))
     ok = seen.withColumn("ratio", F.col("found") / F.col("n")).where(((F.col("n") > 1) & (F.col("ratio") >= share) & (F.col("found") >= 2)) | ((F.col("n") == 1) & (F.col("ratio") == 1)))
     best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("ratio"), F.desc("found"), "name"))
     return ok.withColumn("r", best).where("r = 1").select("doc_id", "name", "found")
@@ -76,18 +85,38 @@ def first_cargo_page(pages: DataFrame, pattern: str) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.coalesce(at, F.lit(1)).alias("page_no"))
 
 
+def piece_lengths(text: Column, most: int) -> Column:
+    """A text of more than ``most`` characters in pieces that end at line ends (a line of more than that is cut): their lengths. A shorter one is one piece."""
+    lines = F.transform(F.split(text, r"(?<=\n)|(?<=\r)(?!\n)"), F.length)
+    cut = F.flatten(F.transform(lines, lambda n: F.concat(F.array_repeat(F.lit(most), F.floor(n / most).cast("int")), F.when(n % most > 0, F.array(n % most)).otherwise(F.expr("cast(array() as array<int>)")))))
+    start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<int>)").alias("done"))
+
+    def step(acc: Column, n: Column) -> Column:
+        new = (acc["used"] > 0) & (acc["used"] + n > most)
+        return F.struct(F.when(new, n).otherwise(acc["used"] + n).alias("used"), F.when(new, F.array_append(acc["done"], acc["used"])).otherwise(acc["done"]).alias("done"))
+
+    return F.when(F.length(text) > most, F.aggregate(cut, start, step, lambda acc: F.array_append(acc["done"], acc["used"]))).otherwise(F.array(F.length(text)))
+
+
 def pack_chunks(pages: DataFrame, most: int = 18000) -> DataFrame:
-    """Pages packed greedily into chunks of at most ``most`` characters (a page counts its length and 2): ``doc_id, page_no, chunk_no``. Order-dependent, so one document's page lengths are folded together."""
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.expr("cast(array() as array<struct<page_no:int,chunk_no:int>>)").alias("done"))
+    """Pages packed greedily into chunks of at most ``most`` characters (a page counts its length and 2): ``doc_id, page_no, chunk_no, start, length``, the last two saying what of the page's text (from 1 on).
+
+    A page of more than ``most`` characters is split at line ends, each piece a chunk of its own. Order-dependent, so one document's page lengths are folded together.
+    """
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.expr("cast(array() as array<struct<page_no:int,chunk_no:int,start:int,length:int>>)").alias("done"))
 
     def step(acc: Column, p: Column) -> Column:
         size = p["n"] + 2
-        new = (acc["used"] > 0) & (acc["used"] + size > most)
+        new = (acc["used"] > 0) & (p["alone"] | (acc["used"] + size > most))
         chunk = acc["chunk"] + F.when(new, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), F.when(new, size).otherwise(acc["used"] + size).alias("used"), F.array_append(acc["done"], F.struct(p["page_no"].alias("page_no"), chunk.alias("chunk_no"))).alias("done"))
-
-    ordered = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", F.length("text").alias("n")))).alias("pages"))
-    return ordered.select("doc_id", F.explode(F.aggregate("pages", start, step)["done"]).alias("c")).select("doc_id", "c.page_no", "c.chunk_no")
+        used = F.when(p["alone"], most).when(new, size).otherwise(acc["used"] + size)
+        return F.struct(chunk.alias("chunk"), used.alias("used"), F.array_append(acc["done"], F.struct(p["page_no"].alias("page_no"), chunk.alias("chunk_no"), p["start"].alias("start"), p["n"].alias("length"))).alias("done"))
+
+    sized = pages.select("doc_id", "page_no", piece_lengths(F.coalesce("text", F.lit("")), most).alias("ns"))
+    before = lambda k: F.aggregate(F.slice("ns", 1, k), F.lit(0), lambda a, n: a + n)
+    pieces = F.transform("ns", lambda n, k: F.struct(F.col("page_no"), (before(k) + 1).alias("start"), n.alias("n"), (F.size("ns") > 1).alias("alone")))
+    ordered = sized.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("page_no", pieces.alias("pieces"))))["pieces"]).alias("pieces"))
+    return ordered.select("doc_id", F.explode(F.aggregate("pieces", start, step)["done"]).alias("c")).select("doc_id", "c.*")
 
 
 def signature_text(pages: DataFrame, first: int = 3) -> DataFrame:

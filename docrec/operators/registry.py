@@ -38,6 +38,17 @@ def template_coverage(rows: DataFrame, expected: DataFrame, share: float = 0.5)
     return expected.join(got, "doc_id", "left").fillna(0, ["n_rows"]).select("doc_id", "n_rows", (F.col("n_rows") >= least).alias("ok"))
 
 
+#: The fields that a template should fill.
+IMPORTANT = ("shipper", "consignee", "weight", "port_of_loading", "port_of_discharge")
+
+
+def never_filled(rows: DataFrame) -> DataFrame:
+    """``doc_id, missing``: for each document with rows, the important fields that none of them fills (an absent column fills none)."""
+    filled = lambda f: F.max(F.coalesce(F.col(f).cast("string"), F.lit("")) != "") if f in rows.columns else F.max(F.lit(False))
+    own = rows.groupBy("doc_id").agg(*(filled(f).alias(f) for f in IMPORTANT))
+    return own.select("doc_id", F.array_compact(F.array(*(F.when(~F.col(f), f) for f in IMPORTANT))).alias("missing"))
+
+
 def rank_candidates(results: DataFrame) -> DataFrame:
     """``doc_id, provider, ok, n_rows, bonus`` -> the winner of each document: fit first, then rows, then bonus, then name."""
     best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("ok"), F.desc("n_rows"), F.desc("bonus"), "provider"))

@@ -513,7 +513,7 @@ def doc_texts(spark, d):
 @query(f"WITH {DOCTEXT}, f(name, sig) AS (VALUES ('alpha', ['weight', 'nation_24', 'nation_23', 'nation_9']), ('beta', ['zimu', 'nothing', 'nation_3']), ('gamma', ['nation_99'])), t AS (SELECT name, len(sig) AS n, unnest(sig) AS token FROM f), s AS (SELECT doc_id, name, n, count(*) AS found FROM doc JOIN t ON contains(upper(text), upper(token)) GROUP BY ALL) SELECT doc_id, name, found FROM s WHERE (n > 1 AND found / n >= 0.6 AND found >= 2) OR (n = 1 AND found = 1) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY found / n DESC, found DESC, name) = 1")
 def det2_detect_signature(spark, d):
     formats = spark.createDataFrame([("alpha", ["weight", "nation_24", "nation_23", "nation_9"]), ("beta", ["zimu", "nothing", "nation_3"]), ("gamma", ["nation_99"])], "name string, signature array<string>")
-    return de.detect_signature(doc_texts(spark, d), formats)
+    return de.detect_signature(doc_texts(spark, d), formats, words=False)
 
 
 @query(f"WITH {DOCTEXT} SELECT doc_id, CASE WHEN contains(upper(text[:300]), 'NATION_1') OR contains(upper(text[:300]), 'MEDU000000001') THEN 'first' WHEN contains(upper(text[:300]), 'ZIMU') THEN 'second' ELSE '' END AS hint FROM doc")
@@ -558,7 +558,7 @@ def det11_first_cargo_page(spark, d):
 f AS (SELECT doc_id, ps, list_reduce(ns, lambda a, n: CASE WHEN a[2] > 0 AND a[2] + n + 2 > 4000 THEN list_append([a[1] + 1, n + 2] || a[3:], a[1] + 1) ELSE list_append([a[1], a[2] + n + 2] || a[3:], a[1]) END, [0, 0]) AS r FROM o)
 SELECT doc_id, unnest(ps) AS page_no, unnest(r[3:])::INT AS chunk_no FROM f""")
 def det12_pack_chunks(spark, d):
-    return de.pack_chunks(fx.manifest_text(spark, d), 4000)
+    return de.pack_chunks(fx.manifest_text(spark, d), 4000).select("doc_id", "page_no", "chunk_no")
 
 
 @query(f"WITH {TEXT} SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS text FROM page WHERE page_no <= 3 GROUP BY doc_id")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from docrec.functions import scalar as sc
-from docrec.operators import blocks, geometry, jsonrows, lookups, manifest_sm
+from docrec.operators import blocks, geometry, jsonrows, lookups, manifest_sm, registry
+from docrec.operators import detection as de
 from docrec.sources import pages
 
 
@@ -79,3 +80,32 @@ def test_all_key_values_of_a_split(spark, small):
     want = {"pack_qty": "7", "weight": "5", "weight_unit": "KGS", "volume": "3.5", "volume_unit": "CBM", "seal1": "a", "seal2": "b", "seal3": "c", "tare": "2200", "container_type": "45G1"}
     assert {k: v for k, v in first.asDict().items() if v is not None} == want and not any(second)
     check(QUERIES["sm7_split_key_values"](spark, small), ORACLES["sm7_split_key_values"], small)
+
+
+def test_oversize_pages_are_split(spark):
+    pages = [(1, 1, "abc"), (1, 2, "aaaa\nbbbb\n\ncc\n" + "d" * 23), (1, 3, "x"), (1, 4, "y" * 5), (2, 1, None), (2, 2, "z" * 10), (3, 1, "eeee\r\nfff\rgggg")]
+    got = de.pack_chunks(spark.createDataFrame(pages, "doc_id int, page_no int, text string"), 10).orderBy("doc_id", "chunk_no", "page_no", "start").collect()
+    texts, chunks = {(d, p): t or "" for d, p, t in pages}, {}
+    for r in got:
+        chunks.setdefault((r["doc_id"], r["chunk_no"]), []).append(texts[r["doc_id"], r["page_no"]][r["start"] - 1 : r["start"] - 1 + r["length"]])
+    assert [chunks[k] for k in sorted(chunks)] == [["abc"], ["aaaa\nbbbb\n"], ["\ncc\n"], ["d" * 10], ["d" * 10], ["ddd"], ["x", "y" * 5], [""], ["z" * 10], ["eeee\r\nfff\r"], ["gggg"]]
+    assert all(sum(map(len, c)) <= 10 for c in chunks.values())
+
+
+def test_simple_signature_words_are_whole(spark):
+    docs = spark.createDataFrame([(1, "EMSC sailing"), (2, "by msc,\nline"), (3, "the big  Ship co."), (4, "MSC_1")], "doc_id int, text string")
+    formats = spark.createDataFrame([("a", ["msc", " "]), ("b", ["big\nship C"])], "name string, signature array<string>")
+    assert {r["doc_id"]: r["name"] for r in de.detect_signature(docs, formats).collect()} == {2: "a", 3: "b"}
+
+
+def test_never_filled_fields(spark):
+    rows = spark.createDataFrame([(1, "s", None, "1", ""), (1, None, None, "", ""), (2, "", "c", "2", "p")], "doc_id int, shipper string, consignee string, weight string, port_of_loading string")
+    assert {r["doc_id"]: r["missing"] for r in registry.never_filled(rows).collect()} == {1: ["consignee", "port_of_loading", "port_of_discharge"], 2: ["shipper", "port_of_discharge"]}
+
+
+def test_whole_operators_equal_their_twins(spark, small):
+    from docrec.plans.registry import ORACLES, QUERIES  # needs a session
+    from tests.oracle import check
+
+    for name in ("det2_detect_signature_words", "det12_pack_chunks_split", "evl1_never_filled"):
+        check(QUERIES[name](spark, small), ORACLES[name], small)
