@@ -131,7 +131,9 @@ def query(spark, sf_dir):
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: those of which nothing can be said (no text, no letter) go."""
+    """The rows of ``docs`` whose text has a language: those of which nothing can be said (no text, no letter) have score 0 and go. Where no labelled row is there to learn from, every text with a letter stays."""
     model = trained(docs.where(~held_out(F.col("doc_id"))))
+    if not model.languages:
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
     out = predicted(docs, model, keep=tuple(docs.columns))
-    return out.where(F.col("lang_pred") != "und").select(*docs.columns)
+    return out.where("score > 0").select(*docs.columns)

@@ -402,6 +402,15 @@ def test_language_id(docs, odd, empty):
     assert {r["lang_pred"] for r in language_id.predicted(odd, none).collect()} == {"und"}
 
 
+def test_language_stage_keeps_lettered_documents(spark):
+    texts = ["plain words", None, "", " 12 ?!", "Ω", "é", "日本語"]
+    for labels in ([None] * 7, ["und"] * 7, ["en", "en", "en", "en", "und", "und", "und"]):
+        docs = spark.createDataFrame([(k, t, lang, "web") for k in range(8) for t, lang in zip(texts, labels)], "doc_id long, text string, lang string, source string")
+        kept = language_id.identified(docs)
+        assert kept.columns == docs.columns
+        assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter((k, t) for k in range(8) for t in texts if t and any(map(str.isalpha, t)))
+
+
 def test_nothing_else_imports_the_subpackage():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for top, _, files in os.walk(os.path.join(root, "docrec")):
