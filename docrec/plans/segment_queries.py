@@ -13,7 +13,9 @@ def text_of(*parts):
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-K = F.col("o_orderkey")
+def order_key():
+    """The key as a column; made on call, since a column needs a session."""
+    return F.col("o_orderkey")
 
 
 @query("""WITH h AS (SELECT o_orderkey // 10 AS doc_id, o_orderkey % 10 AS page_no, o_orderkey AS k, o_custkey AS c, o_orderkey % 4 AS m FROM orders)
@@ -21,18 +23,18 @@ SELECT doc_id, arg_min(CASE m WHEN 0 THEN 'SHIP ' || c WHEN 1 THEN 'STAR ' || c
 NULL::VARCHAR AS shipowner_company, arg_min(CASE m WHEN 2 THEN '3/4/20' || (10 + k % 80) WHEN 1 THEN '01-02-2024' END, page_no) FILTER (m IN (1, 2)) AS date_of_arrival FROM h GROUP BY doc_id""")
 def seg3_qa_recap_header(spark, d):
     (orders,) = fx.tables(spark, d, "orders")
-    c, m = F.col("o_custkey").cast("string"), K % 4
+    c, m = F.col("o_custkey").cast("string"), order_key() % 4
     qa = text_of("Nom du navire :\n SHIP ", c, " QUEL EST pavillon ? PANAMA\nQUEL EST acconier: CORP ", c, " QUEL")
     recap = text_of("m/v: STAR ", c, "\nVge : V", c, " ETA: 01-02-2024 capitaine: ABC RECAPITULATION")
-    dated = text_of("Abidjan, le 3 / 4/20", (K % 80 + 10).cast("string"), " M/V: AB Vge")
-    pages = orders.select(F.floor(K / 10).alias("doc_id"), (K % 10).alias("page_no"), F.when(m == 0, qa).when(m == 1, recap).when(m == 2, dated).alias("text"))
+    dated = text_of("Abidjan, le 3 / 4/20", (order_key() % 80 + 10).cast("string"), " M/V: AB Vge")
+    pages = orders.select(F.floor(order_key() / 10).alias("doc_id"), (order_key() % 10).alias("page_no"), F.when(m == 0, qa).when(m == 1, recap).when(m == 2, dated).alias("text"))
     return sg.header_fields(pages.withColumn("text", F.regexp_replace("text", " Vge$", "")))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'PORT ' || o_custkey || ', FRANCE' WHEN 1 THEN 'RIGA' WHEN 2 THEN 'ST. PETERSBURG, RUSSIA' END AS port_of_loading, CASE o_orderkey % 4 WHEN 0 THEN 'ABIDJAN' WHEN 1 THEN 'SAN PEDRO ' || o_custkey WHEN 2 THEN 'LOME, TOGO' END AS port_of_discharge FROM orders""")
 def seg4_refine_ports(spark, d):
     (orders,) = fx.tables(spark, d, "orders")
-    c, m = F.col("o_custkey").cast("string"), K % 4
+    c, m = F.col("o_custkey").cast("string"), order_key() % 4
     asked = text_of("Ou a-t-il pris sa cargaison ?\n PORT ", c, ", FRANCE, \n service regulier QUEL EST le port final: ABIDJAN one way QUEL")
     recap = text_of("0 RIGA / ABIDJAN 1. Le port qu'il touchera : SAN PEDRO ", c, " total QUEL")
     table = F.lit("7 de (from): ST. PETERSBURG, RUSSIA A (TO): LOME, TOGO  EXPEDITEUR x")
@@ -50,7 +52,7 @@ s AS (SELECT o.*, lower(text) AS t, coalesce(lag(a) OVER w, '') || b AS between_
 
 def ref_docs(spark, d):
     (orders,) = fx.tables(spark, d, "orders")
-    own = orders.select(K.alias("k"), F.concat(F.lit("EAIF"), F.lpad((K % 10000).cast("string"), 4, "0")).alias("ref"))
+    own = orders.select(order_key().alias("k"), F.concat(F.lit("EAIF"), F.lpad((order_key() % 10000).cast("string"), 4, "0")).alias("ref"))
     part = F.concat(F.expr(BEFORE), F.col("ref"), F.expr(BEHIND.replace("100000 + k", "cast(100000 + k as string)").replace("(cast", "cast").replace("string))", "string)")))
     return own.groupBy(F.floor(F.col("k") / 20).alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", part.alias("p"))))["p"], "").alias("text"))
 
@@ -86,7 +88,7 @@ def seg6_ref_to_desc_weight(spark, d):
 @query(f"WITH {REFS} SELECT k, {inferred('b')} AS inferred, {normal('b')} AS normalized FROM s")
 def seg8_infer_description(spark, d):
     (orders,) = fx.tables(spark, d, "orders")
-    own = orders.select(K.alias("k")).withColumn("b", F.expr(BEFORE))
+    own = orders.select(order_key().alias("k")).withColumn("b", F.expr(BEFORE))
     return own.select("k", sg.infer_description(F.col("b")).alias("inferred"), sg.normalize_description(F.col("b")).alias("normalized"))
 
 
@@ -114,11 +116,11 @@ SELECT doc_id, 'PRILLED UREA IN BULK' AS description, 100000 + o_custkey || '' A
 UNION ALL SELECT doc_id, 'Prilled urea in Bulk', '77777', NULL, NULL, 'BURKINA FASO' FROM o WHERE m = 1 UNION ALL SELECT doc_id, 'DI AMMONIUM PHOSPHATE IN BULK', NULL, NULL, NULL, NULL FROM o WHERE m = 2) SELECT * FROM r""")
 def seg10_fallback_by_description(spark, d):
     (orders,) = fx.tables(spark, d, "orders")
-    m, far = K % 4, "z" * 320
+    m, far = order_key() % 4, "z" * 320
     urea = text_of("ACRON XY sells PRILLED  UREA IN BULK ", (F.col("o_custkey") + 100000).cast("string"), " to SOBIMAP ")
     two = text_of(urea, far, " Prilled urea in Bulk 77777 for Burkina\nFaso ", far, " PRILLED UREA IN BULK 99999")
     text = F.when(m == 0, urea).when(m == 1, two).when(m == 2, "DI AMMONIUM 5 PHOSPHATE IN BULK").otherwise("EAIF1234 PRILLED UREA IN BULK")
-    return sg.by_description(orders.select(K.alias("doc_id"), text.alias("text"))).drop("pattern_no", "start")
+    return sg.by_description(orders.select(order_key().alias("doc_id"), text.alias("text"))).drop("pattern_no", "start")
 
 
 @query(f"""WITH {FIELDS}, h AS (SELECT DISTINCT doc_id, 'V' || doc_id AS vessel FROM o)
