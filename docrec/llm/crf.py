@@ -1,10 +1,12 @@
 """A linear-chain conditional random field with two labels, in numpy: training by gradient, decoding by Viterbi.
 
-Sequences of a batch are padded to the longest and worked on together, one position of every sequence at a time.
+Sequences of a batch whose lengths lie within a factor of two are padded to the longest of them and worked on together, one
+position of every sequence at a time, so padding never takes more room than the items.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,12 +34,26 @@ def padded(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, mask
 
 
-def viterbi(w: Weights, feats: list[list[int]], lengths: np.ndarray) -> np.ndarray:
-    """The best labels of all items."""
-    e, mask = padded(emissions(w.emit, feats), lengths)
-    if not mask.size:
-        return np.zeros(0, np.int64)
-    score, back = e[:, 0] + w.first, np.zeros((*mask.shape, 2), np.int64)
+def alike(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of similar length, empty ones left out: their lengths and the places of their items."""
+    starts = np.cumsum(lengths) - lengths
+    sizes = np.frexp(lengths.astype(float))[1]
+    for size in np.unique(sizes[lengths > 0]):
+        rows = np.flatnonzero((sizes == size) & (lengths > 0))
+        own = lengths[rows]
+        yield own, np.repeat(starts[rows] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+
+
+def viterbi(w: Weights, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The best labels of all items, from their ``emissions``, one sequence after another."""
+    out = np.zeros(len(scores), np.int64)
+    for own, items in alike(lengths):
+        out[items] = _best(w, *padded(scores[items], own))
+    return out
+
+
+def _best(w: Weights, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    score, back = e[:, 0] + w.first, np.zeros((*mask.shape, 2), np.int8)
     for t in range(1, mask.shape[1]):
         ways = score[:, :, None] + w.step
         back[:, t] = ways.argmax(axis=1)
@@ -84,9 +100,12 @@ def trained(pages: list[tuple[list[list[int]], list[int]]], features: int, round
     w = [np.zeros((features, 2)), np.zeros((2, 2)), np.zeros(2)]
     m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     for k in range(1, rounds + 1):
-        e, mask = padded(np.add.reduceat(w[0][flat], np.cumsum(n) - n, axis=0), lengths)
-        _, p, moves = expectations(e, mask, w[1], w[2])
-        p = p[mask]
+        e = np.add.reduceat(w[0][flat], np.cumsum(n) - n, axis=0)
+        p, moves = np.zeros_like(e), np.zeros((2, 2))
+        for own, items in alike(lengths):
+            rows, mask = padded(e[items], own)
+            _, q, m_ = expectations(rows, mask, w[1], w[2])
+            p[items], moves = q[mask], moves + m_
         want = np.stack([np.bincount(flat, weights=p[item, c], minlength=features) for c in (0, 1)], axis=1)
         slopes = [(want - gold) / len(y) + decay * w[0], (moves - gold_step) / len(y) + decay * w[1], (p[starts].sum(axis=0) - gold_first) / len(y) + decay * w[2]]
         for i, g in enumerate(slopes):

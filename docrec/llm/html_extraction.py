@@ -6,7 +6,7 @@ the wrappers that sites use, so that the model does not learn one template. Feat
 words of their class, id and role, and shapes of the text; no feature is a word of the text.
 
 Scale: the sample comes to the driver, the weights (``FEATURES x 2``) go out as a broadcast variable, and every page is then
-worked on alone: one map over whole pages, nothing shuffled.
+worked on alone: one map over whole pages, nothing shuffled, in time and memory linear in the page.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from docrec.llm import crf
 from docrec.llm.common import slices, table
-from docrec.llm.html_blocks import Block, blocks
+from docrec.llm.html_blocks import Block, Path, blocks
 
 FEATURES = 1 << 12
-SAMPLE = 200
+SAMPLE, LONGEST = 200, 1 << 17
 MARK = ""
 
 
@@ -36,22 +36,40 @@ def named(feature: str) -> int:
     return crc32(feature.encode()) % FEATURES
 
 
-@lru_cache(maxsize=1 << 14)
-def path_features(tags: tuple[str, ...], names: tuple[str, ...]) -> list[int]:
-    own = {f"t:{t}" for t in tags} | {f"n:{n}" for n in names} | {"bias", f"leaf:{tags[-1] if tags else ''}"}
-    return [named(f) for f in sorted(own)]
-
-
 ENDS = re.compile(r"[.!?…。\"'”’)]\s*\Z")
 
 
-def block_features(b: Block) -> list[int]:
+def own_features(b: Block) -> list[int]:
+    """Features of a block but for those of its path."""
     n, words = len(b.text), b.text.count(" ") + 1
-    own = [f"len:{min(n, 4095).bit_length()}", f"link:{4 * b.link // n}", f"commas:{min(3, b.text.count(','))}", f"stop:{bool(ENDS.search(b.text))}"]
+    own = ["bias", f"leaf:{b.leaf}", f"len:{min(n, 4095).bit_length()}", f"link:{4 * b.link // n}", f"commas:{min(3, b.text.count(','))}", f"stop:{bool(ENDS.search(b.text))}"]
     own += [f"words:{min(words, 511).bit_length()}", f"upper:{b.text.isupper()}", f"digit:{4 * sum(map(b.text.count, '0123456789')) // n}"]
     if b.text[0] in "©|›»•":
         own.append("sign")
-    return path_features(b.tags, b.names) + [named(f) for f in own]
+    return [named(f) for f in own]
+
+
+def block_features(b: Block) -> list[int]:
+    return [named(f) for f in sorted(b.path.all())] + own_features(b)
+
+
+def path_scores(paths: list[Path], emit: np.ndarray) -> np.ndarray:
+    """The summed weights of each path's features; a path adds its own to what is known of the path around it."""
+    known: dict[Path, tuple[float, float]] = {}
+    out = np.zeros((len(paths), 2))
+    for k, path in enumerate(paths):
+        ahead, at = [], path
+        while at is not None and at not in known:
+            ahead.append(at)
+            at = at.up
+        score = known[at] if at is not None else (0.0, 0.0)
+        for at in reversed(ahead):
+            if at.own:
+                more = emit[[named(f) for f in at.own]].sum(axis=0)
+                score = (score[0] + more[0], score[1] + more[1])
+            known[at] = score
+        out[k] = score
+    return out
 
 
 # The wrappers of common sites, as (opening, closing) pairs, for the layouts in which labelled pages are shown.
@@ -63,7 +81,7 @@ CONTENT = wraps("<article>", "<main>", "<main><article>", '<div class="content">
 HEADER = wraps("<header>", '<div id="header">', '<div class="site-header">', '<div class="masthead">', '<div role="banner">', '<div class="top">', '<header class="header">')
 MENU = wraps("<nav><ul>", '<ul class="menu">', '<div class="navbar"><ul>', '<div id="nav">', '<div class="breadcrumb">', '<nav class="breadcrumbs">', '<div class="navigation">', '<div role="navigation"><ul>', '<menu>')
 SIDE = wraps("<aside>", '<div class="sidebar">', '<div id="sidebar">', '<div class="related">', '<section class="widget">', '<div class="side">', '<aside class="recommended">', '<div class="more">', '<td class="sidebar">', '<div class="popular">', '<div class="tags">', '<div class="author-bio">')
-NOTICE = wraps('<div class="cookie-notice">', '<div class="notice">', '<div id="cookies">', '<div role="alert">', '<div class="consent">', '<div class="banner">', '<div class="popup">', '<div class="modal">', '<div role="dialog">', '<div class="gdpr">', '<div class="alert">', '<div class="paywall">', '<div class="disclaimer">')
+NOTICE = wraps("<noscript>", '<div class="cookie-notice">', '<div class="notice">', '<div id="cookies">', '<div role="alert">', '<div class="consent">', '<div class="banner">', '<div class="popup">', '<div class="modal">', '<div role="dialog">', '<div class="gdpr">', '<div class="alert">', '<div class="paywall">', '<div class="disclaimer">')
 ADVERT = wraps('<div class="ad">', '<div class="ads">', '<div class="advert">', '<div class="advertisement">', '<div class="sponsored">', '<div class="promo">', '<aside class="ad">', '<div id="ad-top">', '<div class="banner-ad">', '<ins class="adsbygoogle">', '<div class="promotion">')
 FORM = wraps("<form>", '<form class="search">', '<div class="newsletter"><form>', '<div class="subscribe">', '<div class="login"><form>', '<form id="contact">', '<div class="signup">')
 SHARE = wraps('<div class="share">', '<div class="social">', '<ul class="share-buttons">', '<div class="toolbar">', '<div class="meta">')
@@ -103,7 +121,7 @@ def layout(rng: random.Random, article: list[Block], around: list[str], others:
     comments = lambda: "".join(inside(COMMENTS, [f"<b>{short(1)[0]}</b>", *[f"<p>{t}</p>" for t in some(1, 3, others)]]) for _ in range(rng.randint(1, 4)))
     body = []
     for k, b in enumerate(article):
-        tag = b.tags[-1] if b.tags and b.tags[-1] in ("h1", "h2", "h3", "li", "blockquote", "pre") else rng.choice(("p", "p", "p", "p", "div", "h2", "blockquote", "li") if k else ("h1", "p"))
+        tag = b.leaf if b.leaf in ("h1", "h2", "h3", "li", "blockquote", "pre") else rng.choice(("p", "p", "p", "p", "div", "h2", "blockquote", "li") if k else ("h1", "p"))
         own = MARK + b.text.replace("&", "&amp;").replace("<", "&lt;")
         body.append(f"<ul><{tag}>{own}</{tag}></ul>" if tag == "li" else f"<{tag}>{own}</{tag}>")
         body.append(maybe(0.04, advert) + maybe(0.03, side) + maybe(0.02, form) + maybe(0.03, share) + maybe(0.02, notice))
@@ -112,14 +130,17 @@ def layout(rng: random.Random, article: list[Block], around: list[str], others:
     return f"<html><body>{''.join(parts)}</body></html>"
 
 
-INNER = frozenset("nav header footer aside form menu".split())
+#: What inside an article is none of it, by element and by the words of class, id or role.
+INNER = frozenset(f"t:{t}" for t in "nav header footer aside form menu".split())
+INNER |= frozenset(f"n:{n}" for n in "ad ads advert advertisement adsbygoogle sponsored promo promotion cookie cookies consent gdpr notice alert paywall newsletter subscribe signup share social related recommended sidebar comment comments reply replies".split())
 
 
 def labelled(pages: list[str], layouts: int = 3, seed: int = 7) -> list[tuple[list[list[int]], list[int]]]:
     """Features and labels of the sample's pages, each as it is and in ``layouts`` other layouts."""
     parsed = [blocks(p) for p in pages]
-    gold = [[int("article" in b.tags and not INNER & set(b.tags)) for b in own] for own in parsed]
-    long = [b.text for own, ys in zip(parsed, gold) for b, y in zip(own, ys) if y][:2000]
+    inside = lambda path: "t:article" in path and not INNER & path
+    gold = [[int(inside(b.path.all())) for b in own] for own in parsed]
+    long = [b.text for own, ys in zip(parsed, gold) for b, y in zip(own, ys) if y]
     out = []
     for k, (own, ys) in enumerate(zip(parsed, gold)):
         rng = random.Random(seed * 1_000_003 + k)
@@ -134,9 +155,9 @@ def labelled(pages: list[str], layouts: int = 3, seed: int = 7) -> list[tuple[li
     return out
 
 
-def trained(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, layouts: int = 3) -> crf.Weights:
-    """Fit on the ``sample`` pages with an ``article`` element whose ids come first in a hash order."""
-    marked = pages.where(F.col(html_col).contains("<article")).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(html_col).alias("html"))
+def trained(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, layouts: int = 3, longest: int = LONGEST) -> crf.Weights:
+    """Fit on the ``sample`` pages of at most ``longest`` characters with an ``article`` element whose ids come first in a hash order; ``sample * longest`` bounds what comes to the driver."""
+    marked = pages.where(F.col(html_col).contains("<article") & (F.length(html_col) <= longest)).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(html_col).alias("html"))
     last = marked.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # keys first, so that no task sends a sample of its own
     rows = marked.where(F.col("h") <= F.lit(last)).orderBy("h", "html").limit(sample).collect()
     return crf.trained(labelled([r["html"] for r in rows], layouts), FEATURES) if rows else crf.Weights(np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
@@ -145,7 +166,9 @@ def trained(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", s
 def main_texts(pages: list[str | None], w: crf.Weights) -> list[str]:
     parsed = [blocks(p) if p else [] for p in pages]
     lengths = np.array([len(own) for own in parsed], np.int64)
-    y = crf.viterbi(w, [block_features(b) for own in parsed for b in own], lengths)
+    every = [b for own in parsed for b in own]
+    scores = path_scores([b.path for b in every], w.emit) + crf.emissions(w.emit, [own_features(b) for b in every])
+    y = crf.viterbi(w, scores, lengths)
     out, at = [], 0
     for own in parsed:
         out.append("\n\n".join(b.text for b, keep in zip(own, y[at : at + len(own)]) if keep))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -122,10 +123,10 @@ def test_html_extraction(spark, small):
         "Title of the story here\n\nFirst & para with bold text, and more words to make it longer.\n\nSecond para été which is also reasonably long, and ends.\n\nThird paragraph is long enough too, friends.", "", "", ""
     ]
     got = {r["page_id"]: r["text"] for r in html_extraction.extracted(pages, w).collect()}
-    want = {r["page_id"]: "\n\n".join(b.text for b in blocks(r["html"]) if "article" in b.tags) for r in pages.collect()}
+    want = {r["page_id"]: "\n\n".join(b.text for b in blocks(r["html"]) if "t:article" in b.path.all()) for r in pages.collect()}
     assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
     held = html_extraction.labelled([r["html"] for r in pages.limit(20).collect()], seed=5)
-    y = crf.viterbi(w, [f for own, _ in held for f in own], np.array([len(y) for _, y in held]))
+    y = crf.viterbi(w, crf.emissions(w.emit, [f for own, _ in held for f in own]), np.array([len(y) for _, y in held]))
     assert (y == np.array([v for _, own in held for v in own])).mean() > 0.97
     assert html_extraction.extracted(pages.limit(0), w).count() == 0
 
@@ -138,7 +139,7 @@ def test_html_only_own_attributes_hide():
     gone = ["<p hidden>x</p>", "<p HIDDEN=''>x</p>", '<p title="a"hidden>x</p>', "<p class=a hidden id=b>x</p>", '<p style="color: red; display: none">x</p>', '<p aria-hidden="true">x</p>', "<p aria-hidden = TRUE>x</p>", "<p hidden=until-found>x</p>"]
     assert [[b.text for b in blocks(p + "<p>y</p>")] for p in shown] == [["x", "y"]] * len(shown)
     assert [[b.text for b in blocks(p + "<p>y</p>")] for p in gone] == [["y"]] * len(gone)
-    assert blocks('<div data-id="menu" class="Post main" title="role=nav">x</div>')[0].names == ("post", "main")
+    assert blocks('<div data-id="menu" class="Post main" title="role=nav">x</div>')[0].path.all() == {"t:div", "n:post", "n:main"}
 
 
 def test_html_skipping_ends_where_the_element_ends():
@@ -162,13 +163,63 @@ def test_html_skipping_ends_where_the_element_ends():
         "<div>x<video><source src=a></div><p>y": ["x", "y"],
         "<p>x<svg><title>no</svg> y <svg><title/><path d=a/></svg>z": ["x y z"],
         "<p>x <span hidden>no<br>no</span>y</p>": ["x y"],
-        "<p>x<noscript><div>no</div></noscript> y</p>": ["x y"],
+        "<article><p>x<noscript><p>y</noscript><p>z</article>": ["x", "y", "z"],
+        "<p>Let <math><mi>x</mi><annotation>no</annotation></math> be</p>": ["Let x be"],
+        "<ul><li hidden>x<li>y</ul><p>rest</p>": ["y", "rest"],
+        "<p hidden>x<p>y<p>z": ["y", "z"],
+        "<p>a<select><option>q<p>rest of page": ["a", "rest of page"],
+        "<p>x<svg><path d=a><p>y": ["x", "y"],
+        "<p>x <a href=b/>y</a> z": ["x y z"],
         "<div hidden><div>no</div>no<hr>no</div>x": ["x"],
-        "<object><object>no</object>no</object>x": ["x"],
+        "<p><object><object>x</object>y</object>z": ["xyz"],
+        "a < b <3 </> c <!-- no --> d <? no > e <d": ["a < b <3 c d e <d"],
+        "<p title='x>y</p><p>z</p>": ["y", "z"],
+        "<p title='a>b'>y": ["y"],
+        "<b><i>x</b>y</i><p>z": ["xy", "z"],
     }
     got = {page: [b.text for b in blocks(page)] for page in cases}
     assert got == cases
-    assert [b.tags for b in blocks("<head><title>t</title><body><div hidden><nav>no</nav></div><p>x")] == [("body", "p")]
+    assert [(b.leaf, b.path.all()) for b in blocks("<head><title>t</title><body><div hidden><nav>no</nav></div><p>x")] == [("p", {"t:body", "t:p"})]
+
+
+def test_html_blocks_take_linear_time():
+    pages = ["<div ", "<a 'x ", "<div><p>x", "<p>x</p '", "<i>", "<i><b></i>", "<textarea ", "</script ", "<!-", "&", "<a '>\"", "<ul><li>", "<p class=a><td>", "<b><div></b>", " <svg><p>"]
+    pages = [p * (1_000_000 // len(p)) for p in pages] + ["".join(f"<div class=a{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}>x" for i in range(15000))]
+    w = crf.Weights(np.zeros((html_extraction.FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
+    for page in pages:
+        began = time.process_time()
+        html_extraction.main_texts([page, None], w)
+        assert time.process_time() - began < 15, page[:20]
+
+
+def test_html_path_scores_are_those_of_the_features():
+    w = crf.Weights(np.random.default_rng(1).normal(size=(html_extraction.FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
+    own = blocks(PAGE + "<div class='a b'><div class='b c'><p id=a>deep <b class=d>text</b><p>more")
+    whole = crf.emissions(w.emit, [html_extraction.block_features(b) for b in own])
+    parts = html_extraction.path_scores([b.path for b in own], w.emit) + crf.emissions(w.emit, [html_extraction.own_features(b) for b in own])
+    assert len(own) > 10 and np.allclose(whole, parts)
+
+
+def test_html_articles_do_not_hold_adverts():
+    page = "<article><h1>Title</h1><p>Text one.</p><div class='ad'><p>Buy.</p></div><aside>Side.</aside><p>Text two.</p></article>"
+    assert html_extraction.labelled([page], layouts=0)[0][1] == [1, 1, 0, 0, 1]
+
+
+def test_html_batches_of_uneven_pages():
+    w = crf.Weights(np.ones((html_extraction.FEATURES, 2)) * [0, 1], np.zeros((2, 2)), np.zeros(2))
+    pages = [None] * 500 + ["<p>x" * 20000] + ["", "<p>y"] * 50
+    got = html_extraction.main_texts(pages, w)
+    assert got == [""] * 500 + ["\n\n".join("x" * 20000)] + ["", "y"] * 50
+
+
+def test_html_extraction_of_odd_rows(spark):
+    rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, None, ""), (3, "v", "<p " * 1000), (4, "w", "<p>b" * 5000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("id", "text", "n_chars")})
+    w = crf.Weights(np.ones((html_extraction.FEATURES, 2)) * [0, 1], np.zeros((2, 2)), np.zeros(2))
+    got = collections.Counter(tuple(r) for r in html_extraction.extracted(pages, w).collect())
+    assert got == collections.Counter([(1, "u", "a", 1)] * 2 + [(None, None, "", 0), (2, None, "", 0), (3, "v", ("<p " * 1000).strip(), 2999), (4, "w", "\n\n".join("b" * 5000), 14998)])
+    none = html_extraction.trained(pages)  # no page marks an article
+    assert html_extraction.extracted(pages, none).count() == len(rows)
 
 
 def test_viterbi_is_the_best_path():
@@ -177,7 +228,11 @@ def test_viterbi_is_the_best_path():
     feats = [[int(f)] for f in rng.integers(0, 5, 6)]
     score = lambda y: w.first[y[0]] + sum(w.emit[f[0], v] for f, v in zip(feats, y)) + sum(w.step[a, b] for a, b in zip(y, y[1:]))
     best = max(([i >> k & 1 for k in range(6)] for i in range(64)), key=score)
-    assert crf.viterbi(w, feats, np.array([6])).tolist() == best
+    scores = crf.emissions(w.emit, feats)
+    assert crf.viterbi(w, scores, np.array([6])).tolist() == best
+    lengths = np.array([0, 6, 1, 0, 6, 3, 0])
+    every = crf.viterbi(w, np.concatenate((scores, scores[:1], scores, scores[:3])), lengths)
+    assert every.tolist() == best + crf.viterbi(w, scores[:1], np.array([1])).tolist() + best + crf.viterbi(w, scores[:3], np.array([3])).tolist()
 
 
 # 4
