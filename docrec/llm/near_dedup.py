@@ -9,9 +9,10 @@
 3. Full sets of the documents that are left. A shingle that no other set has can be part of no overlap: documents with
    too many of them leave, and the same count bounds what any pair can reach.
 4. Each list is led by its document with the smallest share of such shingles. Whoever shares a list shares its leader,
-   so the pairs to decide are those inside the leaders' groups. A group's full sets meet in one task, in blocks of bounded
-   size: exact overlaps with the leader first, then of those it does not link with all others. A block sends out at most
-   one link for each of its members, never its pairs.
+   so the pairs to decide are those inside the leaders' groups. Of a pair, the union sketch is estimated first: of the ``k``
+   smallest values of both sketches together, ``agree`` must be in both, the same condition as in step 2. What passes is
+   verified by the exact Jaccard similarity of the full sets. Large groups are worked off by ``star_links``.
+   A task sends out at most one link for each of its members, never its pairs.
 5. Connected components of the links.
 
 Scale: the sketches of all documents and the sets of the candidates are shuffled, the rest is numbers. Lists of any
@@ -22,6 +23,7 @@ can split.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ from docrec.llm.components import components
 from docrec.llm.shingles import shingle_set
 
 K, AGREE = 32, 14
-BLOCK = 512
+ODDS = 2e-6
+BLOCK = 128
+TOP = np.uint64(1 << 63)
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, words: int, keep: int | None) -> DataFrame:
@@ -44,7 +48,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, words: int, keep: int
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            some = [s[:keep].view(np.int64) for s in sets]
+            some = [(s[:keep] ^ TOP).view(np.int64) for s in sets]  # in the order of signed numbers
             ends = np.concatenate(([0], np.cumsum([len(s) for s in some], dtype=np.int64))).astype(np.int32)
             flat = pa.array(np.concatenate(some) if some else np.zeros(0, np.int64))
             key = pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary())
@@ -54,33 +58,126 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, words: int, keep: int
     return read.mapInArrow(shingle, f"id {kind}, key binary, n long, hashes array<long>")
 
 
-def block_links(group: pa.Table, num: int, den: int) -> pa.Table:
-    """Links inside one block of a leader's group: ``a`` hangs on ``b``."""
-    sid, n, u = (group.column(c).to_numpy() for c in ("sid", "n", "u"))
-    sets = group.column("hashes").combine_chunks()
-    starts, values = sets.offsets.to_numpy()[:-1], sets.flatten().to_numpy()
-    ids = np.unique(values, return_inverse=True)[1]
-    starts = starts - sets.offsets[0].as_py()
-    lead = int(np.flatnonzero(sid == group.column("leader")[0].as_py())[0])
-    root = np.arange(len(sid))
-    flag = np.zeros(len(values) and ids.max() + 1, np.int64)
+class Sets:
+    """The shingle sets of a task's group: columns ``sid, n, u, hashes``, hashes sorted."""
+
+    def __init__(self, group: pa.Table, k: int):
+        self.sid, self.n, self.u = (group.column(c).to_numpy() for c in ("sid", "n", "u"))
+        sets = group.column("hashes").combine_chunks()
+        self.starts, values = sets.offsets.to_numpy()[:-1] - sets.offsets[0].as_py(), sets.flatten().to_numpy()
+        self.ids = np.unique(values, return_inverse=True)[1]
+        self.flag = np.zeros(int(self.ids.max(initial=-1)) + 1, np.int64)
+        self.k, self.kept = k, np.minimum(self.n, k)
+        self.valid = np.arange(k) < self.kept[:, None]
+        self.sketch = np.zeros(self.valid.shape, np.int64)
+        self.sketch[self.valid] = values[(self.starts[:, None] + np.arange(k))[self.valid]]
+
+    def estimated(self, i: int, least: int, share: float) -> np.ndarray:
+        """Whom set ``i`` may be similar to: of the ``k`` smallest hashes of the two sketches' union at least ``least`` are in both; ``share`` of them if the union has fewer, which then is the whole one."""
+        own = self.sketch[i, : self.kept[i]]
+        place = np.searchsorted(own, self.sketch)
+        both = self.valid & (own[np.minimum(place, len(own) - 1)] == self.sketch)
+        rank = np.arange(self.k) + place - (np.cumsum(both, axis=1) - both)  # how many hashes of the union are smaller
+        union = self.kept[i] + self.kept - both.sum(axis=1)
+        return (both & (rank < self.k)).sum(axis=1) >= np.where(union < self.k, np.ceil(share * union - 1e-9), least)
+
+    def shared(self, i: int, which: np.ndarray) -> np.ndarray:
+        """Exact overlaps of set ``i`` with those at the places ``which``."""
+        own = self.ids[self.starts[i] : self.starts[i] + self.n[i]]
+        self.flag[own] = 1
+        out = np.array([self.flag[self.ids[s : s + m]].sum() for s, m in zip(self.starts[which], self.n[which])], np.int64)
+        self.flag[own] = 0
+        return out
+
+
+def links_within(group: pa.Table, k: int, agree: int, num: int, den: int) -> pa.Table:
+    """Links of each ``probe`` with all others, ``a`` hanging on ``b``: enough of them to connect what is linked. Where the leader is in the group, those who hang on it need no comparison with each other."""
+    s = Sets(group, k)
+    root = np.arange(len(s.sid))
+    free = s.n - s.u  # hashes that no other set has are in no overlap
 
     def linked(i: int) -> np.ndarray:
-        own = ids[starts[i] : starts[i] + n[i]]
-        flag[own] = 1
-        both = np.add.reduceat(flag[ids], starts)
-        flag[own] = 0
-        return den * both >= num * (n + n[i] - both)
-
-    by_lead = linked(lead)
-    root[by_lead] = lead
-    for i in np.flatnonzero(~by_lead):
-        most = np.minimum(n - u, n[i] - u[i])  # hashes that no other set has are in no overlap
-        if (den * most >= num * (n + n[i] - most)).sum() - (den * (n[i] - u[i]) >= num * (n[i] + u[i])) > 0:
+        most = np.minimum(free, free[i])
+        which = np.flatnonzero((den * most >= num * (s.n + s.n[i] - most)) & s.estimated(i, agree, num / den))
+        both = s.shared(i, which[which != i])
+        which = which[which != i]
+        return which[den * both >= num * (s.n[which] + s.n[i] - both)]
+
+    lead = np.flatnonzero(s.sid == group.column("leader")[0].as_py())
+    for i in lead[:1]:
+        root[linked(i)] = i
+    hung = root != np.arange(len(root))
+    for i in np.flatnonzero(group.column("probe").to_numpy(zero_copy_only=False) & ~hung):
+        if i not in lead:
             for r in np.unique(root[linked(i)]):
                 root[root == r] = root[i]
-    hung = np.flatnonzero(root != np.arange(len(sid)))
-    return pa.table({"a": sid[hung], "b": sid[root[hung]]})
+    hung = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": s.sid[hung], "b": s.sid[root[hung]]})
+
+
+def against_leader(group: pa.Table, k: int, least: int, num: int, den: int) -> pa.Table:
+    """``leader, sid, linked, similarity`` of the group's sets and its leader; the similarity is 0 where the sketches say that it is too small to matter."""
+    s = Sets(group, k)
+    leader = group.column("leader")[0].as_py()
+    lead = int(np.flatnonzero(s.sid == leader)[0])
+    which = np.flatnonzero(s.estimated(lead, least, 2 * num / den - 1))
+    both = s.shared(lead, which)
+    similar, linked = np.zeros(len(s.sid)), np.zeros(len(s.sid), bool)
+    union = s.n[which] + s.n[lead] - both
+    similar[which], linked[which] = both / union, den * both >= num * union
+    out = pa.table({"leader": pa.array(np.full(len(s.sid), leader)), "sid": s.sid, "linked": linked, "similarity": similar})
+    return out.filter(pa.array(s.sid != leader))
+
+
+def least_agreeing(k: int, similarity: float, odds: float) -> int:
+    """The largest count that sketches of ``k`` values of a pair of this similarity stay below with odds of at most ``odds``."""
+    below = 0.0
+    for count in range(k + 1):
+        below += comb(k, count) * similarity**count * (1 - similarity) ** (k - count)
+        if below > odds:
+            return count
+    return k
+
+
+def star_links(stars: DataFrame, sizes: DataFrame, sets: DataFrame, k: int, agree: int, num: int, den: int, block: int) -> DataFrame:
+    """``a, b``: links inside the leaders' groups (``leader, sid``), each group with its leader among its rows.
+
+    A group of at most ``block`` sets meets in one task. A larger one meets its leader first, in parts, each with a copy of the
+    leader's set. Those who are linked with it are connected and need not meet each other. By the triangle inequality of the Jaccard
+    distance they can be linked only with sets in a band of similarities to the leader below the threshold, so only those
+    near the band go on; the sets that the leader is not linked with meet each other and these, a pair of parts a task.
+    """
+    counts = stored(stars.groupBy("leader").agg(F.count("*").alias("n_star")), "near-star-sizes")  # so that a hot leader's join can be split
+    stars = stars.join(counts, "leader")
+    with_sets = lambda df: df.join(sizes.select("sid", "u"), "sid").join(sets.select("sid", "n", "hashes"), "sid")
+    within = lambda df, *keys: with_sets(df).groupBy(*keys).applyInArrow(lambda group: links_within(group, k, agree, num, den), "a long, b long")
+    links = within(stars.where(F.col("n_star") <= block).select("leader", "sid", F.lit(True).alias("probe")), "leader")
+    large = stars.where(F.col("n_star") > block).withColumn("parts", F.ceil(F.col("n_star") / block).cast("int"))
+    if counts.where(F.col("n_star") > block).isEmpty():
+        return links
+
+    own_part = F.array(F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    part = F.explode(F.when(F.col("sid") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own_part)).alias("part")
+    least = least_agreeing(k, max(2 * num / den - 1, 0.0), ODDS)
+    judged = with_sets(large.select("leader", "sid", part)).groupBy("leader", "part")
+    judged = stored(judged.applyInArrow(lambda group: against_leader(group, k, least, num, den), "leader long, sid long, linked boolean, similarity double"), "near-judged")
+
+    reach = 1 - num / den + 1e-9
+    apart = judged.where("NOT linked")
+    band = apart.where(F.col("similarity") >= num / den - reach).groupBy("leader").agg(F.max("similarity").alias("top"))
+    beside = judged.where("linked").join(stored(band, "near-band"), "leader").where(F.col("similarity") <= F.col("top") + reach)
+    rest = stored(apart.select("leader", "sid", F.lit(True).alias("probe")).unionByName(beside.select("leader", "sid", F.lit(False).alias("probe"))), "near-rest")
+    parts = lambda flag: F.ceil(F.count_if(F.col("probe") == flag) / block).cast("int")
+    dealt = rest.join(stored(rest.groupBy("leader").agg(parts(True).alias("probes"), parts(False).alias("others")).where("probes > 0"), "near-parts"), "leader")
+    at = F.pmod(F.xxhash64("sid"), F.when(F.col("probe"), F.col("probes")).otherwise(F.col("others"))).cast("int").alias("at")
+    dealt = dealt.select("leader", "sid", "probe", "probes", "others", at)
+    upto = lambda c: F.slice(F.sequence(F.lit(0), F.col(c)), F.lit(1), F.col(c))
+    meet = lambda i, j, beside_, probe: F.struct(i.alias("i"), j.alias("j"), F.lit(beside_).alias("beside"), probe.alias("probe"))
+    among = F.transform(upto("probes"), lambda t: meet(F.least(t, "at"), F.greatest(t, "at"), False, F.col("at") <= t))
+    aside = F.transform(upto("others"), lambda t: meet(F.col("at"), t, True, F.lit(True)))
+    back = F.transform(upto("probes"), lambda t: meet(t, F.col("at"), True, F.lit(False)))
+    met = dealt.select("leader", "sid", F.explode(F.when(F.col("probe"), F.concat(among, aside)).otherwise(back)).alias("m")).select("leader", "sid", "m.*")
+    return links.unionByName(judged.where("linked").select(F.col("sid").alias("a"), F.col("leader").alias("b"))).unionByName(within(met, "leader", "i", "j", "beside"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, k: int = K, agree: int = AGREE, block: int = BLOCK) -> DataFrame:
@@ -120,14 +217,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leaders = members.groupBy("v").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "sid"))["sid"].alias("leader"))
     stars = stored(members.join(leaders, "v").select("leader", "sid").distinct(), "near-stars")
 
-    blocks = stars.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where(F.lit(True))
-    dealt = stars.join(stored(blocks, "near-blocks"), "leader").withColumn("at", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(t, "at").alias("i"), F.greatest(t, "at").alias("j")))
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.transform(F.sequence(t, F.col("blocks") - 1), lambda s: F.struct(t.alias("i"), s.alias("j")))))
-    pairs = dealt.select("leader", "sid", F.explode(F.when(F.col("sid") == F.col("leader"), every).otherwise(others)).alias("pair"))
-    shipped = pairs.select("leader", "pair.i", "pair.j", "sid").join(sizes.select("sid", "u"), "sid").join(sets.select("sid", "n", "hashes"), "sid")
-    links = shipped.groupBy("leader", "i", "j").applyInArrow(lambda group: block_links(group, num, den), "a long, b long")
-
+    links = star_links(stars, sizes, sets, k, agree, num, den, block)
     labels = components(links)
     ids = sets.select(F.col("sid").alias("node"), "key").join(labels, "node").join(classes.select("key", "least_id"), "key").select("key", "label", "least_id")
     ids = stored(ids, "near-labels")

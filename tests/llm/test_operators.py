@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,6 +322,34 @@ def test_near_groups(spark, block):
     assert got == collections.Counter(brute_components(rows, 4))
 
 
+def test_near_groups_of_a_sliding_text(spark):
+    """Every text is linked with its neighbours only, so whoever leads is linked with some, near the threshold with others, and far from the rest."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(k, " ".join(words[3 * k : 3 * k + 100])) for k in range(60) if k not in (20, 21, 22, 23, 24, 25, 26, 27, 28)] + [(500 + k, " ".join(words[:90] + words[300 + k : 310 + k])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(df, words=4, block=4).collect())
+    assert got == collections.Counter(brute_components(rows, 4)) and len({c for _, _, c in got}) > 1
+
+
+def test_union_sketch_estimate():
+    rng = np.random.default_rng(2)
+    pool = np.unique(rng.integers(-(1 << 62), 1 << 62, 400))
+    own = [np.sort(rng.choice(pool, size, replace=False)) for size in (5, 8, 8, 60, 100, 300, 300)]
+    group = pa.table({"sid": list(range(7)), "n": [len(x) for x in own], "u": [0] * 7, "hashes": pa.array([x.tolist() for x in own])})
+    sets = near_dedup.Sets(group, 32)
+    for least in (1, 8, 14):
+        for i in range(7):
+            want = []
+            for j in range(7):
+                union = np.union1d(own[i], own[j])[:32]
+                both = np.isin(union, np.intersect1d(own[i], own[j])).sum()
+                want.append(both >= (np.ceil(0.3 * len(union)) if len(union) < 32 else least))
+            assert sets.estimated(i, least, 0.3).tolist() == want
+            assert sets.shared(i, np.arange(7)).tolist() == [len(np.intersect1d(own[i], x)) for x in own]
+    assert near_dedup.least_agreeing(32, 0.8, near_dedup.ODDS) == near_dedup.AGREE
+
+
 def test_near_groups_of_odd_rows(odd, empty):
     got = near_dedup.near_groups(odd).collect()
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] in (7, 8)} == {7}
