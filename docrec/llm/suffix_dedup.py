@@ -8,14 +8,15 @@ same one further left), which is to say that its longest previous factor reaches
    a text falls into runs of strings with one hash. Equal strings have equal hashes: a hash that occurs in one run of the
    whole corpus is done with.
 3. The runs that are left are cut from their texts and meet by hash. Their suffixes are sorted by prefix doubling up to
-   ``length`` bytes; in suffix order, a string has an earlier match of that length if the previous or next smaller position
-   lies within the same stretch of common prefixes (LPF >= length).
+   ``length`` bytes, and the longest-previous-factor array follows from the previous and next smaller positions in that order.
 4. Matches are united by document and the bytes left over are hashed.
 
-Scale: texts are shuffled once, by document; grams are one row for about 35 bytes; only repeated passages travel as bytes.
-Equal pieces are united in each task before the shuffle. A hash in more than ``hot`` runs is split further: its strings
-travel one by one, keyed by their own content, so a passage shared by a third of all documents costs one row a task and
-the texts around it spread over all tasks.
+Scale: texts are shuffled by document; grams are one row for about 35 bytes; only repeated passages travel as bytes. Runs are
+counted by hash in units of ``UNIT`` bytes of text before they are sent: of a unit, one run of each hash goes to that
+hash's task with the counts, the others stay spread out and are told only whether their hash is a hot one. Long texts are worked
+on in windows. Equal pieces are united in each task before the shuffle. A hash with more than ``hot`` strings is split further:
+its strings travel one by one, keyed by their own content, so a passage shared by a third of all documents costs one row
+a task and the texts around it spread over all tasks.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from docrec.llm.common import slices, stored, table, utf8
 from docrec.llm.shingles import PLACES, mixed
 
 LENGTH, GRAM = 100, 32
-HOT = 1 << 15
-SHARED_BYTES, CHUNK_BYTES = 1 << 26, 1 << 21
+HOT = 1 << 18
+SHARED_BYTES, CHUNK_BYTES = 1 << 26, 1 << 20
+#: Bytes of text worked on at once, and of texts whose runs are counted together before they are sent.
+WINDOW, UNIT = 1 << 18, 1 << 23
 
 
 def words_at(buf: bytes | bytearray, order: str) -> np.ndarray:
@@ -91,34 +94,72 @@ def ranked(keys: np.ndarray) -> np.ndarray:
     return rank
 
 
-def has_earlier(pieces: list[bytes], order: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each string of ``length`` bytes in the pieces, whether it also starts earlier, and each string's piece.
-
-    ``order`` gives the pieces' places in the corpus. Suffixes are ranked by prefix doubling; strings with equal rank form
-    a stretch of the suffix order with common prefixes of ``length`` bytes, in which previous and next smaller positions
-    are found by running minima from both sides.
+def smaller_before(p: np.ndarray) -> np.ndarray:
+    """For each place the nearest place before it with a smaller number, -1 without one: steps back over ever smaller powers of two of larger numbers."""
+    least, width = [p], 1  # least[k][i]: of the 2 ** k numbers that end at i
+    while 2 * width <= len(p):
+        own = least[-1].copy()
+        own[width:] = np.minimum(own[width:], least[-1][:-width])
+        least, width = [*least, own], 2 * width
+    at = np.arange(len(p)) - 1
+    for k in range(len(least) - 1, -1, -1):
+        go = at + 1 >= 1 << k
+        go[go] = least[k][at[go]] > p[go]
+        at[go] -= 1 << k
+    return at
+
+
+def longest_previous(pieces: list[bytes], order: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The longest-previous-factor array of the pieces' strings of ``length`` bytes, up to ``length``, and each string's piece.
+
+    ``order`` gives the pieces' places in the corpus. Suffixes are sorted to the depth ``length`` by prefix doubling, equal ones by
+    position. The longest earlier match of a suffix is its common prefix with the previous or the next suffix of smaller
+    position in that order. Of equal ones, all but the first have the one before as the previous; so these two are looked up among
+    the first ones only. Common prefixes are read off the ranks that the doubling left at each width.
     """
     sizes = np.array([len(p) for p in pieces], np.int64)
     off, n = np.cumsum(sizes) - sizes, sizes - length + 1
     piece = np.repeat(np.arange(len(pieces)), n)
+    if not len(piece):
+        return np.zeros(0, np.int64), piece
     within = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
     start = off[piece] + within
-    rank, width = ranked(words_at(b"".join(pieces), ">")), 8
+    text = b"".join(pieces)
+    ranks = {8: ranked(words_at(text, ">"))}
+    width = 8
     while 2 * width <= length:
-        rank, width = ranked(rank[:-width] << np.uint64(32) | rank[width:]), 2 * width
-    rank = ranked(rank[start] << np.uint64(32) | rank[start + length - width]).astype(np.int64)
+        ranks[2 * width] = ranked(ranks[width][:-width] << np.uint64(32) | ranks[width][width:])
+        width *= 2
+    whole = ranked(ranks[width][start] << np.uint64(32) | ranks[width][start + length - width])
 
     place = np.lexsort((within, order[piece]))  # corpus order of the strings
     position = np.empty(len(place), np.int64)
     position[place] = np.arange(len(place))
-    suffixes = np.argsort(rank, kind="stable")
-    stretch, p = rank[suffixes], position[suffixes]
-    big = len(p) + 1  # running minima never leave a stretch: each is lifted below the one before
-    down = np.minimum.accumulate(p - stretch * big) + stretch * big
-    up = (np.minimum.accumulate((p + stretch * big)[::-1]) - stretch[::-1] * big)[::-1]
-    hit = np.empty(len(p), bool)
-    hit[suffixes] = (down < p) | (up < p)
-    return hit, piece
+    suffixes = np.lexsort((position, whole))
+    first = np.flatnonzero(np.concatenate(([True], whole[suffixes][1:] != whole[suffixes][:-1])))
+    p, at = position[suffixes[first]], start[suffixes[first]]
+    letters = np.frombuffer(text, np.uint8)
+
+    def common(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        for w in sorted(ranks, reverse=True):
+            on = np.flatnonzero(out + w <= length)
+            out[on[ranks[w][i[on] + out[on]] == ranks[w][j[on] + out[on]]]] += w
+        for _ in range(7):
+            on = np.flatnonzero(out < length)
+            on = on[letters[i[on] + out[on]] == letters[j[on] + out[on]]]
+            if not len(on):
+                break
+            out[on] += 1
+        return out
+
+    best = np.zeros(len(first), np.int64)
+    for near in (smaller_before(p), len(p) - 1 - smaller_before(p[::-1])[::-1]):
+        has = np.flatnonzero((near >= 0) & (near < len(p)))
+        best[has] = np.maximum(best[has], common(at[has], at[near[has]]))
+    factor = np.full(len(piece), length, np.int64)
+    factor[suffixes[first]] = best
+    return factor, piece
 
 
 def stretches(hit: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,18 +176,43 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     """``ord, text`` -> ``ord, first, last``: stretches of start positions whose strings of ``length`` bytes also start earlier (smaller ``ord``, or further left)."""
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 18):
-            h, text, start, n, twice = runs(batch.column("text").to_pylist(), length)
-            ords = batch.column("ord").take(pa.array(text))
-            h = h.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), ords, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "ord", "start", "n"])
-            if twice.any():  # counts as a second run
-                k = int(twice.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(h[twice]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())], names=["h", "ord", "start", "n"])
-
-    found = texts.mapInArrow(find_runs, "h long, ord long, start int, n int").repartition("h")
-    many = found.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    again = found.where("ord is not null").join(many.hint("shuffle_hash"), "h").select("ord", F.struct("start", "n", "h", (F.col("df") > hot).alias("hot")).alias("run"))
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def unit() -> pa.RecordBatch:
+            h, ord_, start, n, twice = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, bool))
+            held.clear()
+            by = np.argsort(h, kind="stable")
+            new = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1]))) if len(h) else np.zeros(0, np.int64)
+            runs_, strings, inside = (np.add.reduceat(x[by], new) if len(h) else x for x in (np.ones(len(h), np.int64), n, twice.astype(np.int64)))
+            speaks = np.zeros(len(h), np.int64)
+            count, total = speaks.copy(), speaks.copy()
+            count[by[new]], total[by[new]] = runs_ + (inside > 0), strings  # one that repeats inside counts as a second run
+            here = mixed(h * PLACES[4] + (np.uint64(ord_[0]) if len(h) else np.uint64(0)) * PLACES[5])  # the hash, in this unit
+            cols = (np.where(count > 0, h, here).view(np.int64), h.view(np.int64), here.view(np.int64), ord_, start.astype(np.int32), n.astype(np.int32), count.astype(np.int32), total)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "h", "here", "ord", "start", "n", "count", "strings"])
+
+        for batch in slices(batches, "text", WINDOW):
+            texts_, ords = batch.column("text").to_pylist(), batch.column("ord").to_numpy()
+            parts = [(r, at) for r, t in enumerate(texts_) for at in range(0, max(1, len(t) - length + 1), WINDOW)]
+            for own in [parts] if len(parts) == len(texts_) else [[x] for x in parts]:  # a long text's windows one by one
+                h, part, start, n, twice = runs([texts_[r][at : at + WINDOW + length - 1] for r, at in own], length)
+                row, shift = np.array(own, np.int64).reshape(-1, 2)[part].T
+                held.append((h, ords[row], start + shift, n, twice))
+            size += sum(map(len, texts_))
+            if size > UNIT:
+                yield unit()
+                size = 0
+        yield unit()
+
+    # Rows of a partition come in the order of ``ord``, so that a task that is run again makes the same units.
+    found = texts.sortWithinPartitions("ord").mapInArrow(find_runs, "key long, h long, here long, ord long, start int, n int, count int, strings long").repartition("key")
+    speakers = found.where(F.col("count") > 0)
+    many = speakers.groupBy("key").agg(F.sum("count").alias("df"), (F.sum("strings") > hot).alias("hot")).where("df > 1")
+    told = speakers.join(many.hint("shuffle_hash"), "key")
+    silent = found.where(F.col("count") == 0).join(told.where("hot").select(F.col("here").alias("key"), "hot"), "key", "left")
+    run = F.struct("start", "n", "h", F.coalesce("hot", F.lit(False)).alias("hot")).alias("run")
+    again = told.select("ord", run).unionByName(silent.select("ord", run))
     by_text = again.groupBy("ord").agg(F.collect_list("run").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +246,17 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
                             size += len(piece)
                         else:  # equal pieces: the earlier stays, the later is found
                             held[piece], later = (old, own) if old < own else (own, old)
-                            done.append((later[0] ^ later[1], later[0], later[1], later[1] + step - 1, None))
+                            if done and done[-1][1] == later[0] and done[-1][3] + 1 == later[1]:
+                                done[-1] = (*done[-1][:3], later[1] + step - 1, None)
+                            else:
+                                done.append((later[0] ^ later[1], later[0], later[1], later[1] + step - 1, None))
+                        if size > SHARED_BYTES or len(done) > 1 << 16:
+                            yield out(done)
+                            done = []
+                            if size > SHARED_BYTES:
+                                yield drain()
+                                size = 0
             yield out(done)
-            if size > SHARED_BYTES:
-                yield drain()
-                size = 0
         yield drain()
 
     texts_of = by_text.join(texts, "ord").select("ord", "text", "runs")
@@ -201,8 +273,8 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
             own = np.array([seen.setdefault(b, i) for i, b in enumerate(bodies)], np.int64)  # rows come in corpus order
             copies = np.flatnonzero(own != np.arange(len(own)))
             distinct = np.flatnonzero(own == np.arange(len(own)))
-            hit, piece = has_earlier([bodies[i] for i in distinct], place[distinct], length)
-            a, b = stretches(hit, piece)
+            factor, piece = longest_previous([bodies[i] for i in distinct], place[distinct], length)
+            a, b = stretches(factor >= length, piece)
             lens = np.array([len(bodies[i]) - length + 1 for i in distinct], np.int64)
             base = np.cumsum(lens) - lens
             at = distinct[piece[a]] if len(a) else np.zeros(0, np.int64)

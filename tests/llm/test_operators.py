@@ -406,6 +406,29 @@ def passage_rows():
     return rows
 
 
+def test_longest_previous_factors():
+    rng = random.Random(1)
+    for length in (32, 47, 100):
+        for _ in range(6):
+            base = bytes(rng.choice(b"ab") for _ in range(300))
+            pieces = [base[a : a + length + rng.randrange(80)] for a in (rng.randrange(120) for _ in range(4))] + [bytes(rng.choice(b"ab") for _ in range(length + 20))]
+            order = rng.sample(range(100), len(pieces))
+            strings = [((order[k], i), p[i : i + length]) for k, p in enumerate(pieces) for i in range(len(p) - length + 1)]
+            want = [max((next((c for c in range(length) if x[c] != y[c]), length) for at2, y in strings if at2 < at), default=0) for at, x in strings]
+            factor, piece = suffix_dedup.longest_previous(pieces, np.array(order), length)
+            assert factor.tolist() == want and piece.tolist() == [k for k, p in enumerate(pieces) for _ in range(len(p) - length + 1)]
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1000])
+def test_suffix_dedup_of_long_texts(spark, hot):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, unit = text(70_000), text(37)
+    rows = [(3, shared + text(300_000) + shared), (1, unit * 9000), (2, text(1000) + unit * 3 + "x" * 270_000), (4, text(50) + shared[10_000:] + "y"), *((10 + i, text(60) + shared[500:900] + text(60)) for i in range(80))]
+    got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_spans(rows)
+
+
 @pytest.mark.parametrize("hot", [1 << 15, 2])
 def test_suffix_dedup(spark, hot):
     rows = passage_rows()
