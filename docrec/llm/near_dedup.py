@@ -213,8 +213,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = sets.select("sid", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("sid").alias("sid"))
     alone = alone.where("df = 1").groupBy("sid").agg(F.count("*").alias("u"))
     sizes = stored(sets.select("key", "sid", "n").join(alone, "sid", "left").fillna(0, ["u"]).where((F.col("n") - F.col("u")) * den >= F.col("n") * num), "near-sizes")
-    members = lists.join(sizes, "key").select("v", "sid", "n", "u")
+    members = stored(lists.join(sizes, "key").select("v", "sid", "n", "u"), "near-members")
     leaders = members.groupBy("v").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "sid"))["sid"].alias("leader"))
+    leaders = stored(leaders, "near-leaders")  # so that a hot value's join can be split
     stars = stored(members.join(leaders, "v").select("leader", "sid").distinct(), "near-stars")
 
     links = star_links(stars, sizes, sets, k, agree, num, den, block)
