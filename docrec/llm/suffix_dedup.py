@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrec.llm.common import slices, stored, table, utf8
@@ -185,12 +185,12 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
             by = np.argsort(h, kind="stable")
             new = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1]))) if len(h) else np.zeros(0, np.int64)
             runs_, strings, inside = (np.add.reduceat(x[by], new) if len(h) else x for x in (np.ones(len(h), np.int64), n, twice.astype(np.int64)))
-            speaks = np.zeros(len(h), np.int64)
-            count, total = speaks.copy(), speaks.copy()
+            count, total = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
             count[by[new]], total[by[new]] = runs_ + (inside > 0), strings  # one that repeats inside counts as a second run
             here = mixed(h * PLACES[4] + (np.uint64(ord_[0]) if len(h) else np.uint64(0)) * PLACES[5])  # the hash, in this unit
-            cols = (np.where(count > 0, h, here).view(np.int64), h.view(np.int64), here.view(np.int64), ord_, start.astype(np.int32), n.astype(np.int32), count.astype(np.int32), total)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "h", "here", "ord", "start", "n", "count", "strings"])
+            speaks = count > 0
+            run = np.stack((np.where(speaks, here, h).view(np.int64), ord_, start << 32 | n, count << 32 | total), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(np.where(speaks, h, here).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * 4), pa.array(run.ravel()))], names=["key", "run"])
 
         for batch in slices(batches, "text", WINDOW):
             texts_, ords = batch.column("text").to_pylist(), batch.column("ord").to_numpy()
@@ -205,14 +205,23 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
                 size = 0
         yield unit()
 
-    # Rows of a partition come in the order of ``ord``, so that a task that is run again makes the same units.
-    found = texts.sortWithinPartitions("ord").mapInArrow(find_runs, "key long, h long, here long, ord long, start int, n int, count int, strings long").repartition("key")
-    speakers = found.where(F.col("count") > 0)
-    many = speakers.groupBy("key").agg(F.sum("count").alias("df"), (F.sum("strings") > hot).alias("hot")).where("df > 1")
+    # Rows of a partition come in the order of ``ord``, so that a task that is run again makes the same units. The rows are dealt once
+    # for all three readers: packed in one column (the hash, or the hash in this unit; ord; start and strings; runs and strings of the
+    # unit, 0 for silent rows), and told apart by a test that is not moved before the shuffle.
+    found = texts.sortWithinPartitions("ord").mapInArrow(find_runs, "key long, run array<long>").repartition("key")
+    other, ord_, span, tally = (F.get("run", F.lit(k)) for k in range(4))
+    low = lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))
+    spoken = F.when(F.monotonically_increasing_id() >= 0, tally)
+    speakers = found.where(spoken > 0)
+    many = speakers.groupBy("key").agg(F.sum(F.shiftright(tally, 32)).alias("df"), (F.sum(low(tally)) > hot).alias("hot")).where("df > 1")
     told = speakers.join(many.hint("shuffle_hash"), "key")
-    silent = found.where(F.col("count") == 0).join(told.where("hot").select(F.col("here").alias("key"), "hot"), "key", "left")
-    run = F.struct("start", "n", "h", F.coalesce("hot", F.lit(False)).alias("hot")).alias("run")
-    again = told.select("ord", run).unionByName(silent.select("ord", run))
+    silent = found.where(spoken == 0).join(told.where("hot").select(other.alias("key"), "hot"), "key", "left")
+
+    def runs_of(rows: DataFrame, h: Column) -> DataFrame:
+        run = F.struct(F.shiftright(span, 32).cast("int").alias("start"), low(span).cast("int").alias("n"), h.alias("h"), F.coalesce("hot", F.lit(False)).alias("hot"))
+        return rows.select(ord_.alias("ord"), run.alias("run"))
+
+    again = runs_of(told, F.col("key")).unionByName(runs_of(silent, other))
     by_text = again.groupBy("ord").agg(F.collect_list("run").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
