@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import os
 import random
 import time
@@ -252,6 +253,60 @@ def test_tool_calls(spark):
     assert tool_calls.linked(c.limit(0), r.limit(0), tool_calls.schema_table(spark, tool_calls.TOOLS)).count() == 0
 
 
+def test_numbers_have_one_spelling(spark):
+    digits = "123456789012345678901234567890123456789012"
+    want = {
+        "1": "1", "1.0": "1", "1e0": "1", "10E-1": "1", "-0.0": "0", "0e5": "0", "-1.50": "-1.5", digits: digits, f"{digits}.25": f"{digits}.25", "1e20": "1" + "0" * 20, "25e-4": "0.0025", "120e-1": "12", "1e400": "1E400", "-1.5e-300": "-15E-301",
+        '"1.0"': '"1.0"', '"#1"': '"#1"', '"$"': '"$"', '""': '""', r'"a\"1\\"': r'"a\"1\\"', r'"\\"': r'"\\"', '[1.0,"1.0" , {"b":2.50,"a":[]}]': '[1,"1.0",{"a":[],"b":2.5}]', r'{"$x":"\"#1\" 1.0","#":"$1.0"}': r'{"#":"$1.0","$x":"\"#1\" 1.0"}',
+        "01": None, "1.": None, "+1": None, ".5": None, "1 2": None, "1,2": None, '1,"!"]': None, "1],[1": None, "-": None, '"a': None, '"a"1': None, "tru1": None, '{"a":1,"a":1}': None, "": None, "\x01": None, "true": "true", "null": "null", " [ ] ": "[]",
+    }
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    got = {r["t"]: r["c"] for r in df.select("t", tool_calls.untagged(F.to_json(tool_calls.parsed(F.col("t")))).alias("c")).collect()}
+    assert got == want
+
+
+def test_schema_rules_are_for_values_of_their_type(spark):
+    tools = {
+        "open": {"type": "object", "properties": {"x": {"minimum": 10, "maximum": 20}, "y": {"maxLength": 2, "minLength": 1}, "e": {"enum": ["1", 2.0, None, [1]]}, "n": {"type": ["integer", "null"]}, "c": {"const": 1}, "o": {"exclusiveMinimum": 0, "exclusiveMaximum": 1}}},
+        "closed": {"properties": {}, "additionalProperties": False},
+    }
+    cases = [
+        ("open", '{"x":"5"}', ""), ("open", '{"x":5}', "x:minimum"), ("open", '{"x":2e1}', ""), ("open", '{"x":20.5}', "x:maximum"), ("open", '{"y":12345}', ""), ("open", '{"y":"\u00e9\u00e9\u00e9"}', "y:maxLength"), ("open", '{"y":""}', "y:minLength"),
+        ("open", '{"e":"1"}', ""), ("open", '{"e":1}', "e:enum"), ("open", '{"e":2}', ""), ("open", '{"e":"2"}', "e:enum"), ("open", '{"e":null}', ""), ("open", '{"e":[1.0]}', ""), ("open", '{"n":1.0}', ""), ("open", '{"n":1.5}', "n:type"), ("open", '{"n":"1"}', "n:type"), ("open", '{"n":null}', ""), ("open", '{"n":' + "9" * 42 + "}", ""),
+        ("open", '{"c":1.0}', ""), ("open", '{"c":"1"}', "c:enum"), ("open", '{"o":0}', "o:exclusiveMinimum"), ("open", '{"o":1}', "o:exclusiveMaximum"), ("open", '{"o":0.5}', ""), ("open", '{"zz":1}', ""), ("closed", '{"zz":1}', "zz:unknown"), ("closed", "{}", ""), ("closed", "[]", "arguments:json"), ("closed", None, "arguments:json"),
+        ("open", json.dumps({"y": "line\n\"q\" " * 20000}), "y:maxLength"),
+    ]
+    c = spark.createDataFrame([(None if k % 2 else "c", str(k), k, name, args, []) for k, (name, args, _) in enumerate(cases)], "conv_id string, call_id string, turn int, name string, arguments string, depends_on array<string>")
+    r = spark.createDataFrame([(str(k), k, "ok") for k in range(len(cases))], "call_id string, turn int, content string")
+    got = {int(x["call_id"]): x for x in tool_calls.linked(c, r, tool_calls.schema_table(spark, tools)).collect()}
+    assert [got[k]["errors"] for k in range(len(cases))] == [e for _, _, e in cases]
+    assert json.loads(got[len(cases) - 1]["line"])["arguments"]["y"].startswith('line\n"q" line')
+    for bad in ({"properties": {"a": {"pattern": "x"}}}, {"properties": {"a": {"properties": {}}}}, {"oneOf": []}, {"additionalProperties": {"type": "string"}}):
+        with pytest.raises(ValueError):
+            tool_calls.schema_table(spark, {"t": bad})
+
+
+def test_levels_of_chains_and_cycles(spark):
+    rng = random.Random(6)
+    deps = {f"a{k}": [f"a{k - 1}"] if k else [] for k in range(5000)}  # a chain
+    deps |= {f"b{k}": [f"a{rng.randrange(5000)}", f"b{rng.randrange(k)}"] if k % 3 == 0 and k else [f"b{k - 1}"] if k else None for k in range(60)}
+    deps |= {"c0": ["c1"], "c1": ["c0"], "c2": ["c1"], "c3": ["c2", "a5"], "c4": ["c3"], "c5": ["c5"], "c6": ["gone", "gone"], "c7": ["c6", None, "c6"]}
+
+    def level(x, known={}):  # noqa: B006
+        if x not in known:
+            known[x] = None  # under way: a cycle
+            own = [level(d) for d in deps[x] or () if d in deps]
+            known[x] = None if None in own else max(own, default=-1) + 1
+        return known[x]
+
+    for k in range(5000):
+        level(f"a{k}")
+    want = {x: v for x in deps if (v := level(x)) is not None}
+    df = spark.createDataFrame([(x, d) for x, d in deps.items()], "call_id string, depends_on array<string>")
+    got = {r["call_id"]: r["level"] for r in tool_calls.levels(df).collect()}
+    assert got == want and got["a4999"] == 4999 and not {"c0", "c1", "c2", "c3", "c4", "c5"} & set(got) and got["c7"] == 1
+
+
 # 5
 
 
