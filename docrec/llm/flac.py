@@ -11,6 +11,8 @@ import hashlib
 import numpy as np
 
 BLOCK = 2048
+#: Bytes or samples worked on at once.
+WINDOW = 1 << 20
 #: Fixed predictors that the encoder tries, and its linear predictor: order, bits of a coefficient, shift.
 TRIED = 3
 ORDER, PRECISION, SHIFT = 4, 8, 5
@@ -86,10 +88,10 @@ def read_number(buf: bytes, at: int) -> tuple[int, int]:
     return n, at + 1 + more
 
 
-def headers(sizes: list[int]) -> list[bytes]:
-    """Frame headers of one stream, from its blocks' sizes."""
+def headers(sizes: list[int], first: int = 0) -> list[bytes]:
+    """Headers of frames ``first`` and on of one stream, from its blocks' sizes."""
     out = []
-    for k, size in enumerate(sizes):
+    for k, size in enumerate(sizes, first):
         h = bytes([0xFF, 0xF8, 0x79, 0x02]) + number(k) + (size - 1).to_bytes(2, "big")  # 16-bit size, 44.1 kHz, mono, 8 bits
         out.append(h + bytes([crc8(h)]))
     return out
@@ -129,10 +131,49 @@ def predictor(x: np.ndarray, frame: np.ndarray, first: np.ndarray, frames: int)
     return q, r
 
 
-def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
-    """Unsigned 8-bit payloads (stored as samples less 128), each of a positive multiple of 64 bytes, to whole FLAC streams whose seek table has every frame."""
-    if not payloads:
-        return []
+def encode(payloads: list[bytes], block: int = BLOCK, window: int = WINDOW) -> list[bytes]:
+    """Unsigned 8-bit payloads (stored as samples less 128), each of a positive multiple of 64 bytes, to whole FLAC streams whose seek table has every frame.
+
+    Frames are made for about ``window`` bytes at a time, of however many payloads, so that memory does not grow with the longest.
+    """
+    step = max(1, window // block) * block
+    bodies: list[list[bytes]] = [[] for _ in payloads]
+    sizes: list[list[np.ndarray]] = [[] for _ in payloads]
+    held: list[tuple[int, int]] = []  # payload, first byte
+    size = 0
+
+    def work() -> None:
+        for (i, _), (data, n) in zip(held, coded_frames([payloads[i][at : at + step] for i, at in held], [at // block for _, at in held], block)):
+            bodies[i].append(data)
+            sizes[i].append(n)
+        held.clear()
+
+    for i, p in enumerate(payloads):
+        for at in range(0, len(p), step):
+            held.append((i, at))
+            size += min(step, len(p) - at)
+            if size >= window:
+                work()
+                size = 0
+    if held:
+        work()
+    result = []
+    for payload, parts, own in zip(payloads, bodies, sizes):
+        n = np.concatenate(own)
+        offsets, length = np.cumsum(n) - n, np.minimum(block, len(payload) - np.arange(len(n)) * block)
+        signed = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()
+        info = block.to_bytes(2, "big") * 2 + int(n.min()).to_bytes(3, "big") + int(n.max()).to_bytes(3, "big")
+        info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5(signed).digest()
+        most = ((1 << 24) - 1) // 18  # seek points that a table can hold: in a longer stream, every so many frames
+        kept = range(0, len(n), -(-len(n) // most))
+        points = b"".join((i * block).to_bytes(8, "big") + int(offsets[i]).to_bytes(8, "big") + int(length[i]).to_bytes(2, "big") for i in kept)
+        meta = b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(points).to_bytes(3, "big") + points
+        result.append(b"".join([meta, *parts]))
+    return result
+
+
+def coded_frames(payloads: list[bytes], numbers: list[int], block: int) -> list[tuple[bytes, np.ndarray]]:
+    """The frames of parts of streams, from the numbers of their first frames: their bytes and the size of each."""
     sizes = np.array([len(p) for p in payloads], np.int64)
     per = -(-sizes // block)
     stream = np.repeat(np.arange(len(payloads)), per)
@@ -175,7 +216,7 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     kind = np.where(flat, 0, np.where(rice_bits >= 8 + 8 * length, 1, 2))  # constant, verbatim, predicted
     sub = np.where(kind == 0, 16, np.where(kind == 1, 8 + 8 * length, rice_bits))
 
-    heads = [h for n, c in zip(np.split(length, np.cumsum(per)[:-1]), per) for h in headers(n.tolist())]
+    heads = [h for n, k0 in zip(np.split(length, np.cumsum(per)[:-1]), numbers) for h in headers(n.tolist(), k0)]
     head_n = np.array([len(h) for h in heads], np.int64)
     frame_n = head_n + -(-sub // 8) + 2
     at = np.cumsum(frame_n) - frame_n
@@ -216,19 +257,8 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     c = crc16(data, at, frame_n - 2)
     data[at + frame_n - 2], data[at + frame_n - 1] = c >> 8, c & 0xFF
 
-    result, f = [], 0
-    for s, payload in enumerate(payloads):
-        own = slice(f, f + int(per[s]))
-        f += int(per[s])
-        n = frame_n[own]
-        signed = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()
-        info = block.to_bytes(2, "big") * 2 + int(n.min()).to_bytes(3, "big") + int(n.max()).to_bytes(3, "big")
-        info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5(signed).digest()
-        offsets = at[own] - at[own.start]
-        points = b"".join((i * block).to_bytes(8, "big") + int(offsets[i]).to_bytes(8, "big") + int(length[own.start + i]).to_bytes(2, "big") for i in range(len(n)))
-        meta = b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(points).to_bytes(3, "big") + points
-        result.append(meta + data[at[own.start] : at[own.start] + int(n.sum())].tobytes())
-    return result
+    ends = np.cumsum(per)
+    return [(data[at[e - n] : at[e - n] + int(frame_n[e - n : e].sum())].tobytes(), frame_n[e - n : e]) for e, n in zip(ends.tolist(), per.tolist())]
 
 
 class Corrupt(ValueError):
@@ -385,27 +415,55 @@ def views(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bits, next_one, words
 
 
-def decode(streams: list[bytes]) -> tuple[list[np.ndarray], list[list[tuple[int, int, int]]]]:
+def decode(streams: list[bytes], window: int = WINDOW) -> tuple[list[np.ndarray], list[list[tuple[int, int, int]]]]:
     """Samples of every stream, and its PCM blocks as (first sample, samples, byte offset of the frame).
 
-    Decoding enters every stream at all its seek points at once and goes on from each to the next. Header and frame
+    Decoding enters streams at many seek points at once, about ``window`` samples at a time, and goes on from each to the next. Header and frame
     checksums, the seek table, gaps between frames and the MD5 of the samples are checked.
     """
-    if not streams:
-        return [], []
     infos = [metadata(s) for s in streams]
-    off = np.cumsum([0, *(len(s) for s in streams)])
-    data = np.frombuffer(b"".join(streams), np.uint8)
-    bits, next_one, words = views(data)
-
-    lanes = []  # stream, next byte, next sample, sample to stop at
+    frames: list[list[tuple[int, int, int, np.ndarray]]] = [[] for _ in streams]
+    held, size = [], 0  # stream, first byte, byte after the last, next sample, sample to stop at
     for i, (info, begin) in enumerate(infos):
         points = sorted({(0, 0), *(p for p in info["seek"] if p[0] < info["samples"])})
-        for (sample, byte), (stop, _) in zip(points, [*points[1:], (info["samples"], 0)]):
+        for (sample, byte), (stop, close) in zip(points, [*points[1:], (info["samples"], len(streams[i]) - begin)]):
             if sample < stop:
-                lanes.append([i, begin + byte, sample, stop])
-    frames: list[list[tuple[int, int, int, np.ndarray]]] = [[] for _ in streams]
-    spans = []
+                held.append((i, begin + byte, begin + close, sample, stop))
+                size += stop - sample
+                if size >= window:
+                    enter(streams, infos, held, frames)
+                    held, size = [], 0
+    if held:
+        enter(streams, infos, held, frames)
+    samples, blocks = [], []
+    for own, (info, _) in zip(frames, infos):
+        own.sort(key=lambda f: f[0])
+        if sum(f[1] for f in own) != info["samples"] or any(a[0] + a[1] != b[0] for a, b in zip(own, own[1:])):
+            raise Corrupt("samples are missing")
+        x = np.concatenate([f[3] for f in own]) if own else np.zeros(0, np.int16)
+        size = -(-info["bits"] // 8)
+        if info["md5"] != bytes(16) and hashlib.md5(x.astype(f"<i{size}").tobytes()).digest() != info["md5"]:
+            raise Corrupt("MD5 of the samples")
+        samples.append(x)
+        blocks.append([f[:3] for f in own])
+    return samples, blocks
+
+
+def enter(streams: list[bytes], infos: list[tuple[dict, int]], held: list[tuple[int, int, int, int, int]], frames: list[list[tuple[int, int, int, np.ndarray]]]) -> None:
+    """Decode the stretches ``held`` between seek points, adding to each stream's ``frames``."""
+    ranges: dict[int, list[int]] = {}
+    for i, start, close, _, _ in held:
+        own = ranges.setdefault(i, [start, close])
+        own[0], own[1] = min(own[0], start), max(own[1], close)
+    off, total = {}, 0  # where byte 0 of each stream would be in the bytes at hand
+    for i, (start, close) in ranges.items():
+        off[i] = total - start
+        total += max(0, close - start)
+    data = np.frombuffer(b"".join(streams[i][start:close] for i, (start, close) in ranges.items()), np.uint8)
+    if len(data) != total:
+        raise Corrupt("a seek point is out of place")
+    bits, next_one, words = views(data)
+    lanes, spans = [[i, start, sample, stop] for i, start, _, sample, stop in held], []
     while lanes:
         heads = [frame_header(streams[i], at, infos[i][0]["block"]) for i, at, _, _ in lanes]
         where = np.array([(off[lane[0]] + h[2]) * 8 for lane, h in zip(lanes, heads)], np.int64)
@@ -418,30 +476,17 @@ def decode(streams: list[bytes]) -> tuple[list[np.ndarray], list[list[tuple[int,
         more = []
         for r, (lane, (first, size, _)) in enumerate(zip(lanes, heads)):
             i, at, sample, stop = lane
-            close = -(-int(end[r]) // 8) + 2 - int(off[i])
-            if first != sample or close > len(streams[i]):
+            close = -(-int(end[r]) // 8) + 2 - off[i]
+            if first != sample or close > ranges[i][1]:
                 raise Corrupt("a frame is out of place or cut short")
-            spans.append((int(off[i]) + at, close - 2 - at, int.from_bytes(streams[i][close - 2 : close], "big")))
-            frames[i].append((first, size, at - infos[i][1], out[r, :size]))
+            spans.append((off[i] + at, close - 2 - at, int.from_bytes(streams[i][close - 2 : close], "big")))
+            frames[i].append((first, size, at - infos[i][1], out[r, :size].astype(np.int16 if infos[i][0]["bits"] <= 16 else np.int32)))
             if sample + size < stop:
                 more.append([i, close, sample + size, stop])
         lanes = more
-    if spans:
-        at, size, crc = np.array(spans).T
-        if (crc16(data, at, size) != crc).any():
-            raise Corrupt("frame checksum")
-    samples, blocks = [], []
-    for own, (info, _) in zip(frames, infos):
-        own.sort(key=lambda f: f[0])
-        if sum(f[1] for f in own) != info["samples"] or any(a[0] + a[1] != b[0] for a, b in zip(own, own[1:])):
-            raise Corrupt("samples are missing")
-        x = np.concatenate([f[3] for f in own]) if own else np.zeros(0, np.int64)
-        size = -(-info["bits"] // 8)
-        if info["md5"] != bytes(16) and hashlib.md5(x.astype(f"<i{size}").tobytes()).digest() != info["md5"]:
-            raise Corrupt("MD5 of the samples")
-        samples.append(x)
-        blocks.append([f[:3] for f in own])
-    return samples, blocks
+    at, size, crc = np.array(spans).T
+    if (crc16(data, at, size) != crc).any():
+        raise Corrupt("frame checksum")
 
 
 def excerpt(stream: bytes, first: int, n: int) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Media columns: documents as lossless FLAC streams, read back as PCM blocks with seekable sample offsets.
 
 Encoding and decoding are map-only: a task works on a few hundred frames at once, whichever documents they belong to, so
-memory is bounded by the batch and by the longest document. Nothing is shuffled.
+memory is bounded by the window and a few copies of the longest document. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from docrec.llm.common import slices, table, utf8
 
 BATCH = 1 << 21
 UNIT = 64
+BLOCK_FIELDS = ("first_sample", "n_samples", "byte_offset")
 
 
 def padded(text: bytes) -> bytes:
@@ -80,7 +81,8 @@ def excerpts(media: DataFrame, first: int, n: int, id_col: str = "doc_id", media
 def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Digests and features of what is read back from stored streams (``id_col, n_bytes, media``).
 
-    The feature is ``rms:peak:crossings:frames``: root mean square and peak of the samples, sign changes, FLAC frames.
+    The feature is ``rms:peak:crossings:frames``: root mean square and peak of the samples, sign changes, FLAC frames. ``blocks`` lists
+    the PCM blocks that were read: first sample, samples, and the byte offset from the first frame where a reader seeks for it.
     """
     kind = media.schema[id_col].dataType.simpleString()
 
@@ -91,15 +93,15 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for stream, x, own in zip(streams, *flac.decode(streams)):
                 payload = (x + 128).astype(np.uint8).tobytes()
                 below = x < 0
-                feature = f"{np.sqrt(np.square(x).mean()):.4f}:{np.abs(x).max()}:{int((below[1:] != below[:-1]).sum())}:{len(own)}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stream), hashlib.sha256(stream).hexdigest(), feature))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                feature = f"{np.sqrt(np.square(x, dtype=np.int32).mean()):.4f}:{np.abs(x).max()}:{int((below[1:] != below[:-1]).sum())}:{len(own)}"
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, [dict(zip(BLOCK_FIELDS, b)) for b in own]))
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([(f, pa.int64()) for f in BLOCK_FIELDS])))
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks"]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "n_bytes", *names])
 
     read = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks array<struct<first_sample:long,n_samples:long,byte_offset:long>>"
     return read.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
