@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from docrec.llm.common import slices, table
 
 BUCKETS = 1 << 15
+WINDOW = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -35,22 +36,40 @@ def letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed trigram around each letter of all texts, one text after another, and how many each text has.
+def grams(texts: list[str | None], buckets: int = BUCKETS, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashed trigram around each letter of all texts, one text after another, and whose it is; for about ``window`` characters at a time.
 
     Texts are lower-cased, and runs of characters that are no letters count as one space, so a letter's neighbours are
-    letters of its word or the space at its ends.
+    letters of its word or the space at its ends. A long text comes in parts, each with a character of what stands around it.
     """
-    lower = [(t or "").lower() for t in texts]
-    c = np.frombuffer(" ".join(["", *lower, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    held: list[tuple[int, str, int, int]] = []  # text, part, first and last centre
+    size = 0
+    for k, t in enumerate(texts):
+        t = (t or "").lower()
+        for at in range(0, len(t), window):
+            a = max(0, at - 1)
+            held.append((k, t[a : at + window + 1], at - a, min(len(t), at + window) - a))
+            size += len(held[-1][1])
+            if size >= window:
+                yield _hashed(held, buckets)
+                held, size = [], 0
+    if held:
+        yield _hashed(held, buckets)
+
+
+def _hashed(parts: list[tuple[int, str, int, int]], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    c = np.frombuffer(" ".join(["", *(p for _, p, _, _ in parts), ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     letter = letters()[c]
-    starts = np.cumsum([1, *(len(t) + 1 for t in lower)])[:-1]
-    n = np.diff(np.concatenate(([0], np.cumsum(letter)))[[*starts, len(c)]])
+    starts = np.cumsum([1, *(len(p) + 1 for _, p, _, _ in parts)])[:-1]
+    centre = np.zeros(len(c) + 1, np.int8)
+    np.add.at(centre, starts + [a for _, _, a, _ in parts], 1)
+    np.add.at(centre, starts + [b for _, _, _, b in parts], -1)
     c[~letter] = 32
-    at = np.flatnonzero(letter)
+    at = np.flatnonzero(letter & (np.cumsum(centre[:-1], dtype=np.int8) > 0))
     key = (c[at - 1] << 42) | (c[at] << 21) | c[at + 1]
     h = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % buckets, n
+    own = np.array([k for k, _, _, _ in parts])[np.searchsorted(starts, at, "right") - 1]
+    return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % buckets, own
 
 
 def held_out(id_col: Column, folds: int = 4, fold: int = 2) -> Column:
@@ -64,12 +83,12 @@ def trained(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buc
         cells: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text"):
             langs = batch.column("lang").to_pylist()
-            f, n = features(batch.column("text").to_pylist(), buckets)
-            rows = np.repeat(np.arange(len(langs)), n)
-            for lang in set(langs):
-                own = np.array([x == lang for x in langs])
-                got = np.bincount(f[own[rows]], minlength=buckets)
-                cells[lang] = cells[lang] + got if lang in cells else got
+            for lang in set(langs) - set(cells):
+                cells[lang] = np.zeros(buckets, np.int64)
+            for f, row in grams(batch.column("text").to_pylist(), buckets):
+                for lang in {langs[k] for k in set(row.tolist())}:
+                    own = np.array([x == lang for x in langs])
+                    cells[lang] += np.bincount(f[own[row]], minlength=buckets)
         for lang, got in cells.items():
             k = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k), pa.array(got[k])], names=["lang", "bucket", "n"])
@@ -89,11 +108,13 @@ def trained(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buc
 
 def scored(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """Language and score of each text. The score is the posterior of the chosen language with the evidence tempered to the square root of its length, so that it does not saturate on long texts."""
-    f, n = features(texts, len(model.log_p))
-    evidence = np.zeros((len(texts), len(model.languages)))
+    evidence, n = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64)
+    for f, row in grams(texts, len(model.log_p)):
+        if len(f):
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            evidence[row[first]] += np.add.reduceat(model.log_p[f], first, axis=0)
+            n += np.bincount(row, minlength=len(texts))
     some = n > 0
-    if some.any():
-        evidence[some] = np.add.reduceat(model.log_p[f], (np.cumsum(n) - n)[some], axis=0)
     evidence += model.prior
     best = evidence.argmax(axis=1)
     tempered = evidence / np.sqrt(np.maximum(n, 1))[:, None]

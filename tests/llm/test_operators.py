@@ -68,6 +68,16 @@ def test_flac_round_trip_of_every_kind_of_subframe():
     assert len(streams[4]) < len(payloads[4]) / 2  # predicted
 
 
+def test_flac_windows_do_not_change_streams():
+    rng = random.Random(1)
+    payloads = [b"a" * 64, rng.randbytes(9600), b"hello world. " * 700 + b"x" * 36, bytes(192)]
+    streams = flac.encode(payloads)
+    for window in (1, 5000):
+        assert flac.encode(payloads, window=window) == streams
+        samples, blocks_ = flac.decode(streams, window=window)
+        assert [(x + 128).astype(np.uint8).tobytes() for x in samples] == payloads and blocks_ == flac.decode(streams)[1]
+
+
 def test_flac_finds_damage():
     (stream,) = flac.encode([b"some text that is long enough to be coded. " * 64])
     for at in (len(stream) - 1, len(stream) // 2, len(stream) - 500):
@@ -564,6 +574,51 @@ def test_language_id(docs, odd, empty):
     assert {r["lang_pred"] for r in language_id.predicted(odd, none).collect()} == {"und"}
 
 
+def test_grams_are_the_trigrams_around_letters():
+    rng = random.Random(1)
+    texts = [None, "", "Ab c", "".join(rng.choice("aé ßΣ. 1ÀbC\n") for _ in range(1000)), "x", " ", "Σ"]
+
+    def brute(t):
+        q, out = f" {(t or '').lower()} ", []
+        for i in range(1, len(q) - 1):
+            if q[i].isalpha():
+                a, b, c = (ord(x) if x.isalpha() else 32 for x in q[i - 1 : i + 2])
+                h = (a << 42 | b << 21 | c) * 0x9E3779B97F4A7C15 % 2**64
+                out.append(((h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64 >> 40) % language_id.BUCKETS)
+        return out
+
+    for window in (language_id.WINDOW, 100, 7, 1):
+        got = [[] for _ in texts]
+        for f, row in language_id.grams(texts, window=window):
+            for x, k in zip(f.tolist(), row.tolist()):
+                got[k].append(x)
+        assert got == [brute(t) for t in texts]
+
+
+def test_language_counts_and_posteriors(docs):
+    """The model and the scores, recomputed one gram at a time."""
+    model = language_id.trained(docs)
+    rows = [(r["text"], r["lang"]) for r in docs.select("text", "lang").collect()]
+    of = lambda t: [x for f, _ in language_id.grams([t]) for x in f.tolist()]
+    langs = sorted({lang for t, lang in rows if t is not None and lang is not None}, key=str.encode)
+    counts = {lang: collections.Counter() for lang in langs}
+    for t, lang in rows:
+        if t is not None and lang is not None:
+            counts[lang].update(of(t))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    log_p = lambda lang, x: np.log((counts[lang][x] + 0.5) / (total[lang] + 0.5 * language_id.BUCKETS))
+    got = list(zip(*language_id.scored([t for t, _ in rows[:60]], model)))
+    assert model.languages == langs
+    for (t, _), (lang, score) in zip(rows[:60], got):
+        grams = of(t)
+        evidence = np.array([sum(log_p(x, g) for g in grams) + np.log(max(total[x], 1) / sum(total.values())) for x in langs])
+        if not grams:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        odds = np.exp((evidence - evidence.max()) / np.sqrt(len(grams)))
+        assert lang == langs[evidence.argmax()] and score == pytest.approx(1 / odds.sum(), abs=2e-6)
+
+
 def test_language_stage_keeps_lettered_documents(spark):
     texts = ["plain words", None, "", " 12 ?!", "Ω", "é", "日本語"]
     for labels in ([None] * 7, ["und"] * 7, ["en", "en", "en", "en", "und", "und", "und"]):
