@@ -443,6 +443,37 @@ def test_sharding(docs, odd, empty):
     assert sharding.sharded(empty).count() == 0
 
 
+def test_placing_is_by_the_highest_dot_product():
+    rng = np.random.default_rng(5)
+    loads, left = rng.integers(1, 100, (60, 3)).astype(float), np.array([[1.0, 1.0, 1.0], [0.5, 0.7, 1.0], [1.5, 1.3, 1.0]])
+    total = loads.sum(axis=0)
+    got, rest = sharding.placed(loads, left, total)
+    free, want = [list(x) for x in left], [None] * len(loads)
+    share = [[3 * x / t for x, t in zip(load, total)] for load in loads]
+    for i in sorted(range(len(loads)), key=lambda i: (-max(share[i]), i)):
+        fit = [s for s in range(3) if all(f - x >= -1e-9 for f, x in zip(free[s], share[i]))]
+        best = max(fit, key=lambda s: (sum(f * x for f, x in zip(free[s], share[i])), -s)) if fit else max(range(3), key=lambda s: (min(f - x for f, x in zip(free[s], share[i])), -s))
+        want[i], free[best] = best, [f - x for f, x in zip(free[best], share[i])]
+    assert got.tolist() == want and np.allclose(rest, free)
+
+
+@pytest.mark.parametrize("part", [sharding.PART, 40])
+def test_sharding_keeps_groups_and_balance(spark, part):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(("a", "bb", "cccc")) for _ in range(rng.randint(0, 60))) for _ in range(700)]
+    rows = [(k % 900, rng.choice(texts) if k % 3 else "hot text") for k in range(2400)] + [(None, None), (5, ""), (5, "")]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit(1)), shards=4, part=part).collect()
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == collections.Counter((d, len(t or "") + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+    shards = collections.defaultdict(set)
+    for r in got:
+        shards[r["text_crc32"]].add(r["shard"])
+    assert all(len(own) == 1 for crc, own in shards.items() if crc != zlib.crc32(b"hot text"))
+    for value in (lambda r: r["size"], lambda r: 1):
+        per = [sum(value(r) for r in got if r["shard"] == k) for k in range(4)]
+        assert max(per) < 1.1 * sum(per) / 4
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got))) for k in range(4))
+
+
 # 8
 
 
