@@ -2,12 +2,12 @@
 
 Rows with equal texts form a group. Groups are placed from the largest down, each in the shard for which the dot product of
 its load and the shard's residual capacity is highest. Groups that are large on their own come first. All others are dealt
-by a hash of their text into parts, as many as the rows need, and each part places its groups into what the large ones have
+by a hash of their text into parts, as many as the groups need, and each part places its groups into what the large ones have
 left of each shard, scaled to the part's own load: every part fills the shards evenly, and so do all together.
 
 Scale: texts are read once and reduced to (id, size, tokens, hash). At most ``3 * shards * GRAIN`` groups are large however
 many documents there are, so their loads fit the driver, and their places go back as a table of that size. A part holds
-about ``PART`` groups. Slots are counted inside buckets of about ``PART`` rows with offsets. A group larger than a whole
+about ``PART`` groups, never fewer than ``GRAIN`` a shard, so that it can be balanced. Slots are counted inside buckets of about ``PART`` rows with offsets. A group larger than a whole
 shard's share cannot stay together and is dealt out by parts.
 """
 
@@ -59,7 +59,7 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     )
     rows = stored(narrow, "shard-rows").withColumn("rows", F.lit(1).cast("long"))
     total = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in LOADS)).first()
-    parts = max(1, -(-total["rows"] // part))
+    buckets = max(1, -(-total["rows"] // part))
     sums = np.array([total[c] for c in LOADS], float)
 
     groups = rows.groupBy("text_key").agg(*(F.sum(c).alias(c) for c in LOADS))
@@ -85,11 +85,12 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
         shard = placed(loads, np.roll(free, -turn, axis=0), loads.sum(axis=0))[0]
         return pa.table({"text_key": group.column("text_key"), "piece": pa.array(np.full(len(loads), -1, np.int32)), "shard": ((shard + turn) % shards).astype(np.int32)})
 
-    light = groups.where(F.col("share") <= 1 / GRAIN).withColumn("part", F.pmod("text_key", F.lit(parts)))
-    light = light.groupBy("part").applyInArrow(place, "text_key long, piece int, shard int")
+    light = groups.where(F.col("share") <= 1 / GRAIN)
+    parts = max(1, light.count() // max(part, GRAIN * shards))
+    light = light.withColumn("part", F.pmod("text_key", F.lit(parts))).groupBy("part").applyInArrow(place, "text_key long, piece int, shard int")
     places = stored(light.unionByName(where), "shard-places")
     own = rows.join(apart, "text_key", "left").withColumn("piece", F.coalesce(piece, F.lit(-1)))
-    own = stored(own.join(places, ["text_key", "piece"]).select("id", "size", "crc", "rid", "shard", F.pmod(F.xxhash64("rid"), F.lit(parts)).alias("bucket")), "shard-placed")
+    own = stored(own.join(places, ["text_key", "piece"]).select("id", "size", "crc", "rid", "shard", F.pmod(F.xxhash64("rid"), F.lit(buckets)).alias("bucket")), "shard-placed")
 
     counts = own.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     first = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("first"))
