@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Patterns of bill numbers, of containers and of the words before them.
+#: Patterns of bill numbers, of containers and of the words before them, and of weights.
 BL_PATTERNS = (
     r"\bABJ\d{9}\b", r"\bMEDU\w{6,}\b", r"\bMAEU\w{6,}\b", r"\bONEY\w{6,}\b", r"\bHLCU\w{6,}\b", r"\bCMDU\w{6,}\b", r"\bCOSU\w{6,}\b",
     r"\bEGLV\w{6,}\b", r"\bPABV\d{6,}\b", r"\bGMSL\w{6,}\b", r"\b[A-Z]{4}\d{10}\b", r"\b[A-Z]{4}\d{8,9}\b", r"\b[A-Z]{2,3}\d{7,12}\b",
@@ -13,7 +13,7 @@ BL_PATTERNS = (
 LOOSE = r"\b[A-Z]{2,4}\d{6,12}\b"
 ISO = r"\b[A-Z]{4}\d{7}\b"
 MARKERS = ((r"\(\s*CN\s*\)\s*([A-Z]{4}\d{7})", "(CN)"), (r"\bCN[\s:]+([A-Z]{4}\d{7})", "CN:"), (r"\bCONT(?:AINER)?[\s.:N°#]+([A-Z]{4}\d{7})", "CONT:"))
-WEIGHT = r"[0-9][0-9.,]*\s*(?:KGS|KG|MT)\b"
+WEIGHT = r"(?i)[0-9]{1,3}(?:[ ,.][0-9]{3})*(?:[.,][0-9]{1,3})?\s*(?:KGS?|MT|TONS?|TONNES?)\b"
 
 
 def hits(text: Column, pattern: str) -> Column:
@@ -50,10 +50,11 @@ def carrier_hint(text: Column, carriers: list[tuple[str, list[str]]], head: int
 
 def marker_hits(text: Column, least: int = 5, top: int = 3) -> Column:
     """The patterns with at least ``least`` matches, most first, ``top`` at most; else the loose pattern if it has 3: array of (pattern number, hits). The loose pattern has number -1."""
-    found = F.array_compact(F.array(*(F.when(hits(text, p) >= least, F.struct((-hits(text, p)).alias("minus"), F.lit(k).alias("pattern"))) for k, p in enumerate(BL_PATTERNS))))
-    best = F.transform(F.slice(F.array_sort(found), 1, top), lambda s: F.struct(s["pattern"].alias("pattern"), (-s["minus"]).alias("hits")))
-    loose = F.when(hits(text, LOOSE) >= 3, F.array(F.struct(F.lit(-1).alias("pattern"), hits(text, LOOSE).alias("hits"))))
-    return F.when(F.size(found) > 0, best).otherwise(F.coalesce(loose, F.slice(best, 1, 0)))
+    counts = F.array(*(F.struct((-hits(text, p)).alias("minus"), F.lit(k).alias("pattern")) for k, p in enumerate(BL_PATTERNS)))  # each counted once
+    best = F.transform(F.slice(F.array_sort(F.filter(counts, lambda s: s["minus"] <= -least)), 1, top), lambda s: F.struct(s["pattern"].alias("pattern"), (-s["minus"]).alias("hits")))
+    loose = F.filter(F.array(F.struct(F.lit(-1).alias("pattern"), hits(text, LOOSE).alias("hits"))), lambda s: s["hits"] >= 3)
+    both = F.filter(F.array(best, loose), lambda a: F.size(a) > 0)
+    return F.coalesce(F.get(both, F.lit(0)), F.slice(best, 1, 0))
 
 
 def container_marker(text: Column) -> Column:

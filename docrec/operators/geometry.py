@@ -20,10 +20,11 @@ def line_starts(tops: Column, tolerance: float) -> Column:
 
 
 def group_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """Adds ``line_no`` (from 0 on each page). Only the page's distinct tops are folded, then joined back as line ranges."""
-    starts = words.groupBy(*PAGE).agg(F.array_sort(F.collect_set("top")).alias("tops")).select(*PAGE, line_starts(F.col("tops"), tolerance).alias("starts"))
-    at = F.size(F.filter("starts", lambda s: s <= F.col("top"))) - 1
-    return words.join(starts, list(PAGE)).withColumn("line_no", at).drop("starts")
+    """Adds ``line_no`` (from 0 on each page). A page's words meet once; its distinct tops are folded into line starts, among which each word finds its line."""
+    own = [c for c in words.columns if c not in PAGE]
+    pages = words.groupBy(*PAGE).agg(F.collect_list(F.struct(*own)).alias("_w")).withColumn("_starts", line_starts(F.array_sort(F.array_distinct(F.col("_w.top"))), tolerance))
+    at = lambda w: (F.size(F.filter("_starts", lambda s: s <= w["top"])) - 1).alias("line_no")
+    return pages.select(*PAGE, F.explode(F.transform("_w", lambda w: F.struct(*(w[c].alias(c) for c in own), at(w)))).alias("_w")).select(*PAGE, "_w.*")
 
 
 def in_order(value: str, *keys: str, sep: str = " ") -> Column:

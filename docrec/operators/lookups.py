@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docrec.functions.scalar import normalize_key, split_date
+from docrec.session import stored
 
-#: Invented dimension values; a deployment brings its own tables of the same shape.
+#: Invented dimension values; a deployment brings its own, see ``load_lookups``.
 CARRIERS = [("maeu", "MAEU", "MERIDIAN"), ("medu", "MEDX", "MEDIA LINES"), ("hlcu", "HLCX", "HELIOS"), ("zim", "ZIMX", "ZENITH")]
 CONTAINERS = [("40hc", "40H", 2), ("45hc", "45H", 2), ("40rf", "40R", 2)]
 PORTS = [("nation_1", "ONE01", "ON", "FIRSTLAND", "Port One"), ("nation_2", "TWO01", "TW", "SECONDLAND", "Port Two"), ("nation_20", "TWY01", "TY", "TWENTYLAND", "Port Twenty"), ("nation_7", "SEV01", "SE", "SEVENLAND", "Port Seven"), ("port of", "ANY01", "AN", "ANYLAND", "Any Port")]
 MOVEMENTS = [("cy/cy", "FCLFCL"), ("cfs/cfs", "LCLLCL")]
+#: Names of months.
 MONTHS = ["Janvier", "Février", "Mars", "Avril", "Mai", "Juin", "Juillet", "Août", "Septembre", "Octobre", "Novembre", "Décembre"]
+#: Invented values but for the freight code, a fixed value.
 DEFAULTS = {"handler": "HANDLER", "direction": "I", "call_port": "HOME", "mode": "FCLFCL", "qualified": "Oui", "system": "DOCREC", "freight": "210530003"}
 
 #: The columns of the target layout, in order.
@@ -37,6 +40,30 @@ def dimensions(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
+#: The maps of a look-ups file: their keys' name, and the fields of each entry (none: the entry is a plain text).
+MAPS = {"carrier": ("prefix", ("code", "name")), "container": ("type", ("condit", "teu")), "port": ("key", ("code", "country_code", "country", "city")), "movement": ("key", ()), "month": ("key", ()), "default": ("key", ())}
+PLAIN = {"movement": "mode", "month": "name", "default": "value"}
+
+
+def load_lookups(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The six maps of a JSON file as dimensions with ``ord``, the place in the file.
+
+    A key that is repeated keeps its first place and takes its last entry; a map that is missing, or null, is an empty
+    dimension; a field that is missing is null. Keys are lower-cased and trimmed, white space inside counts as one space.
+    """
+    parts = (f"{name} map<string,{'struct<' + ','.join(f'{f}:string' for f in fields) + '>' if fields else 'string'}>" for name, (_, fields) in MAPS.items())
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", ", ".join(parts)).alias("file"))
+
+    def dimension(name: str) -> DataFrame:
+        key, fields = MAPS[name]
+        rows = whole.select(F.posexplode(f"file.{name}").alias("ord", "k", "v")).select("ord", normalize_key(F.col("k")).alias(key), "v")
+        rows = rows.groupBy(key).agg(F.min("ord").alias("ord"), F.max_by("v", "ord").alias("v"))
+        values = [F.col(f"v.{f}").cast("int" if f == "teu" else "string").alias(f) for f in fields] or [F.col("v").alias(PLAIN[name])]
+        return rows.select(key, *values, "ord")
+
+    return {name: dimension(name) for name in MAPS}
+
+
 def _first(values: DataFrame, candidates: DataFrame, key: str, out: list[str]) -> DataFrame:
     """For each key the candidate with the lowest (priority, ord)."""
     best = candidates.groupBy(key).agg(F.min_by(F.struct(*out), F.struct("priority", "ord")).alias("best"))
@@ -91,6 +118,7 @@ def to_layout(records: DataFrame, dims: dict[str, DataFrame], overrides: dict[st
         *(s(c).alias(c) for c in ("shipper", "consignee", "description", "weight", "volume", "pack_qty", "movement")), s("container_number").alias("container"), s("container_type").alias("ctype"),
         s("port_of_loading").alias("pol"), s("port_of_discharge").alias("pod"), or_(s("place_of_delivery"), s("port_of_discharge")).alias("delivery"), or_(s("place_of_acceptance"), s("port_of_loading")).alias("acceptance"), s("date_of_arrival").alias("date"),
     )
+    r = stored(r, "layout-records")  # eight look-ups read it
     ports = port(r.select(F.explode(F.array("pol", "delivery", "acceptance")).alias("port")), dims["port"])
     side = lambda name: ports.select(F.col("port").alias(name), F.struct("code", "country_code", "country", "city").alias(f"{name}_"))
     j = r.join(carrier(r, dims["carrier"]), ["bl", "fallback"]).join(container_type(r, dims["container"]), "ctype").join(movement(r, dims["movement"]), "movement")

@@ -25,18 +25,18 @@ def incremental_ingest(spark: SparkSession, pages_dir: str, schema: str, extract
 
     A document is extracted when its ``page_count`` pages are there; earlier pages wait in a table. Contents already done
     are known by their MD5 in the table of processed documents, not by streaming state. Batches carry their number, so a
-    batch that runs again replaces what it wrote before.
+    batch that runs again replaces what it wrote before. Two copies of the waiting pages are kept, written in turn.
     """
     done_schema = "ident string, doc_id long, batch long"
 
     def step(batch: DataFrame, number: int) -> None:
-        waiting = _existing(spark, f"{state_dir}/waiting/{number - 1}", schema)
+        waiting = _existing(spark, f"{state_dir}/waiting/{(number + 1) % 2}", schema)
         every = waiting.unionByName(batch.select(*waiting.columns)).dropDuplicates(["doc_id", "page_no"]).persist()
         complete = every.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("page_count").alias("of"), F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("page_no", "text")))["text"], "\f").cast("binary")).alias("ident")).where("n >= of")
         done = _existing(spark, f"{state_dir}/done", done_schema).where(F.col("batch") < number)
         fresh = complete.join(done.select("ident"), "ident", "left_anti").groupBy("ident").agg(F.min("doc_id").alias("doc_id")).persist()
         extract(every.join(fresh.select("doc_id"), "doc_id", "left_semi")).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
-        every.join(complete.select("doc_id"), "doc_id", "left_anti").write.mode("overwrite").parquet(f"{state_dir}/waiting/{number}")
+        every.join(complete.select("doc_id"), "doc_id", "left_anti").write.mode("overwrite").parquet(f"{state_dir}/waiting/{number % 2}")
         fresh.select("ident", "doc_id").write.mode("overwrite").parquet(f"{state_dir}/done/batch={number}")
         every.unpersist()
         fresh.unpersist()
@@ -45,18 +45,18 @@ def incremental_ingest(spark: SparkSession, pages_dir: str, schema: str, extract
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
 
 
-def corrections_stream(spark: SparkSession, log_dir: str, schema: str, state_dir: str) -> StreamingQuery:
-    """Keep the latest write of each field as the log arrives: batch ``n`` writes the state that follows from state ``n - 1``."""
+def corrections_stream(spark: SparkSession, log_dir: str, schema: str, state_dir: str, files_per_batch: int = 5) -> StreamingQuery:
+    """Keep the latest write of each field as the log arrives: batch ``n`` writes the state that follows from state ``n - 1``. Two copies are kept, written in turn."""
 
     def step(batch: DataFrame, number: int) -> None:
-        before = _existing(spark, f"{state_dir}/state/{number - 1}", schema)
+        before = _existing(spark, f"{state_dir}/state/{(number + 1) % 2}", schema)
         log = before.unionByName(batch.select(*before.columns))
         last = log.groupBy(*FIELD).agg(F.max_by(F.struct("value", "op", "ts", "seq"), F.struct("ts", "seq")).alias("l"))  # clears stay, so that a late older write does not come back
-        last.select(*FIELD, "l.*").select(*before.columns).write.mode("overwrite").parquet(f"{state_dir}/state/{number}")
+        last.select(*FIELD, "l.*").select(*before.columns).write.mode("overwrite").parquet(f"{state_dir}/state/{number % 2}")
 
-    stream = spark.readStream.schema(schema).parquet(log_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_dir)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
 
 
 def current_state(spark: SparkSession, state_dir: str, number: int, schema: str) -> DataFrame:
-    return latest(_existing(spark, f"{state_dir}/state/{number}", schema))
+    return latest(_existing(spark, f"{state_dir}/state/{number % 2}", schema))
