@@ -14,12 +14,11 @@ Places in a conversation are counted in blocks with offsets, so a conversation w
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docrec.llm.common import scratch_dir, stored, table
+from docrec.llm.common import new_folder, stored, table
 
 BLOCK = 256
 PLAIN = 64
@@ -163,7 +162,7 @@ def levels(calls: DataFrame) -> DataFrame:
     waiting = stored(ways.join(several.select(F.col("call_id").alias("on"), F.lit(True).alias("waits")), "on", "left").select("call_id", "on", "steps", (F.col("on").isNull() | F.coalesce("waits", F.lit(False))).alias("waits")), "calls-ways")
     reached = stored(several.join(waiting.where("NOT waits").groupBy("call_id").agg(F.max("steps").alias("level")), "call_id", "left"), "calls-reached")
     waiting = stored(waiting.where("waits").drop("waits"), "calls-ways")
-    base, turn = f"{scratch_dir(spark).rstrip('/')}/calls-levels-{uuid.uuid4().hex}", 0
+    base, turn = new_folder(spark, "calls-levels"), 0
     while True:
         ready = reached.join(waiting.select("call_id").distinct(), "call_id", "left_anti")
         ready.write.parquet(f"{base}/turn={turn}")  # one folder a round, all read at the end

@@ -683,3 +683,56 @@ def test_pipeline(spark, small):
     assert {r["doc_id"] for r in kept["near"]} == {d for d, _, c in group if d == c}
     assert {r["doc_id"] for r in kept["mix"]} <= {r["doc_id"] for r in kept["near"]}
     assert packing.packed(docs).agg(F.sum("length")).first()[0] == sum(len(ids(None)(r["text"])) // 4 + 1 for r in kept["mix"])
+
+
+def test_registered_queries_equal_brute_force(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in rows}
+    run = lambda name: registry.QUERIES[name](spark, small).collect()
+
+    for r in run("op1_flac_media"):
+        p = media.padded(texts[r["doc_id"]])
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(texts[r["doc_id"]]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        blocks_ = r["blocks"]
+        assert blocks_[0]["first_sample"] == blocks_[0]["byte_offset"] == 0 and sum(b["n_samples"] for b in blocks_) == len(p)
+        assert all(a["first_sample"] + a["n_samples"] == b["first_sample"] and a["byte_offset"] < b["byte_offset"] < r["media_bytes"] for a, b in zip(blocks_, blocks_[1:]))
+
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    w = html_extraction.trained(pages)
+    want = {r["page_id"]: (r["url"], t := html_extraction.main_texts([r["html"]], w)[0], len(t)) for r in pages.collect()}
+    assert {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in run("op3_html_extraction")} == want
+
+    got = run("op7_sharding")
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in got) == collections.Counter((d, len(t) + 1, zlib.crc32(t), "bytes", None) for d, t in texts.items())
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got))) for k in range(16))
+
+    got = run("op8_suffix_dedup")
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_spans([(r["doc_id"], r["text"]) for r in rows])
+
+    got = collections.defaultdict(list)
+    filled = collections.defaultdict(list)
+    for r in run("op9_packing"):
+        got[r["doc_id"]].append(r)
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for r in rows:
+        whole = ids(None)(r["text"] or "") + (2).to_bytes(4, "little")
+        own = sorted(got[r["doc_id"]], key=lambda p: p["piece"])
+        assert [p["piece"] for p in own] == list(range(len(own))) and [p["length"] for p in own[1:]] == [1024] * (len(own) - 1)
+        assert sum(p["length"] for p in own) * 4 == len(whole) and all(zlib.crc32(whole[4 * p["start"] : 4 * (p["start"] + p["length"])]) == p["ids_crc32"] for p in own)
+    for own in filled.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 1024
+
+    lettered = {r["doc_id"]: any(c.isalpha() for c in r["text"] or "") for r in rows}
+    for r in run("op10_language_id"):
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and (r["lang_pred"] == "und") == (not lettered[r["doc_id"]]) and 0 <= r["score"] <= 1
+
+
+def test_pipeline_on_odd_and_on_no_rows(odd, empty, tmp_path):
+    import corpus_pipeline
+
+    for name, df in (("odd", odd), ("none", empty)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(df.sparkSession, f"file://{tmp_path / name}").collect()
+        # of the texts with a letter the copies go (the largest id of equal ones stays), then the near ones (7 and 8)
+        assert {r["doc_id"] for r in got} <= ({2, 6, 7, 9} if name == "odd" else set()) and bool(got) == (name == "odd")
