@@ -1,14 +1,18 @@
-"""A corpus pipeline of five stages over ``documents``; each works on all rows that the one before it kept."""
+"""A corpus pipeline of five stages over ``documents``; each works on all rows that the one before it kept.
 
-from __future__ import annotations
+* null, empty and letterless texts go in the first stage; a null id, language or source is a value like any other, and no stage reads ``n_chars``
+* rows that repeat an id stay rows of their own; of equal or near texts one stays: exact copies by the largest id, near ones by the smallest
+* an empty table gives an empty result; columns beyond those of ``documents`` are carried along up to the last stage
+* near copies are told by five-word shingles, the corpus default, where ``op6_near_dedup`` takes the four words of its contract
+* this file needs the subpackage ``docrec.llm``; the driver's entry leaves the pipeline out where that is missing
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from docrec.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from docrec.llm.common import scratch_dir
-from docrec.session import with_code
+from docrec.session import new_folder, with_code
 
 #: DuckDB has no naive Bayes, bottom-k sketches or tokenizer: the stages are tested against brute force instead.
 ORACLE_SQL = None
@@ -44,7 +48,7 @@ STAGES = [(f.__name__, with_code(f)) for f in (languages, exact, near, mix, pack
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{scratch_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = new_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{base}/{name}")
