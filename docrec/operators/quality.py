@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docrec.functions.scalar import blank, lenient_float, nonblank, trim_number
 
+#: Field lists and the sign of an unknown bill.
 MANDATORY = ("vessel", "bl_number", "port_of_discharge")
 IMPORTANT = ("shipper", "consignee", "description", "weight")
 KEY_FIELDS = ("bl_number", "vessel", "container_number", "shipper", "consignee", "port_of_loading", "port_of_discharge")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Patterns of references and of weights.
 REF = "EAIF[0-9]{3,4}"
 WEIGHT = "(?<![0-9])([0-9]{5,9})(?![0-9])"
 #: Known cargo, shippers and consignees, the first that matches counts.
@@ -25,6 +26,7 @@ HEADER = {
     "shipowner_company": [(r"compagnie appartient.+?[?:]\s*(.+?)(?=COMB|$)", 1)],
     "voyage": [(r"Vge\s*[:\s]+([A-Z0-9/]+)", 1)],
 }
+#: Patterns of dates, ports, the words after a port, and the country of transit.
 QA_DATE = r"abidjan[,\s]+le\s+(\d{1,2})\s*/\s*(\d{1,2})\s*/\s*(\d{4})"
 RECAP_DATE = r"ETA\s*[:\s]+(\d{1,2}[/\-]\d{1,2}[/\-]\d{4})"
 PORTS = {
