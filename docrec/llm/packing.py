@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docrec.llm.common import slices, stored, table
+from docrec.llm.packing_rounds import Rounds
 from docrec.llm.tokens import ids
 
 CAPACITY, END = 1024, 2
@@ -87,11 +88,12 @@ def fitted(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return runs
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, **options) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, in_rounds: bool = False, **options) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     Returns one row per piece: ``id_col, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids`` if asked for).
-    Pieces that fill a sequence have negative sequence ids, others are numbered from 0.
+    Pieces that fill a sequence have negative sequence ids, others are numbered from 0. With
+    ``in_rounds`` the sweeps are Spark jobs (``packing_rounds``), else one loop over the counts of lengths on the driver.
 
     * a null or empty text is a piece of one token, the end id; without an end id it gives no piece
     * repeated rows and null ids are packed like any other; equal lengths are placed in the order of the rows
@@ -100,8 +102,9 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     cut = pieces(docs, id_col, text_col, capacity, **options)
     rows = stored(cut.withColumn("_rid", F.monotonically_increasing_id()), "pack-pieces")
     short = rows.where(F.col("length") < capacity)
-    counts = {r["length"]: r["count"] for r in short.groupBy("length").count().collect()}  # capacity rows at most
-    runs = np.array(fitted(counts, capacity), np.int64).reshape(-1, 6)
+    counts = short.groupBy("length").count()  # capacity rows at most
+    found = Rounds(counts, capacity).run().collect() if in_rounds else fitted({r["length"]: r["count"] for r in counts.collect()}, capacity)
+    runs = np.array(found, np.int64).reshape(-1, 6)
 
     cell = short.withColumn("_b", F.pmod(F.xxhash64("_rid"), F.lit(BUCKETS)).cast("int"))
     sizes = cell.groupBy("length", "_b").agg(F.count("*").alias("_n"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docrec.llm import crf, exact_dedup, flac, html_extraction, language_id, media, mixing, near_dedup, packing, registry, sharding, suffix_dedup, tool_calls
+from docrec.llm import crf, exact_dedup, flac, html_extraction, language_id, media, mixing, near_dedup, packing, packing_rounds, registry, sharding, suffix_dedup, tool_calls
 from docrec.llm.components import components
 from docrec.llm.html_blocks import blocks
 from docrec.llm.shingles import shingle_set
@@ -590,6 +590,24 @@ def test_best_fit_equals_one_by_one():
     assert sorted(100 - v for v in used.values()) == sorted(gaps)
 
 
+def test_rounds_on_tables_place_every_piece_once(spark):
+    rng = random.Random(3)
+    counts = collections.Counter(rng.randint(1, 15) for _ in range(400))
+    rounds = packing_rounds.Rounds(spark.createDataFrame(list(counts.items()), "length long, count long"), 16)
+    ranks, filled = collections.defaultdict(list), collections.defaultdict(list)
+    for length, first, n, seq, each, offset in rounds.run().collect():
+        for i in range(n):
+            ranks[length].append(first + i)
+            filled[seq + i // each].append((offset + i % each * length, length))
+    assert {n: sorted(own) for n, own in ranks.items()} == {n: list(range(count)) for n, count in counts.items()}
+    for own in filled.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 16
+    best = max(first + -(-count // each) for _, _, count, first, each, _ in packing.fitted(dict(counts), 16))
+    assert len(filled) <= best + 2
+    assert packing_rounds.Rounds(spark.createDataFrame([], "length long, count long"), 16).run().count() == 0
+
+
 # 10
 
 
