@@ -1,10 +1,8 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
-Documents become pieces of at most ``capacity`` tokens. Pieces and the gaps of open sequences are kept sorted by size,
-as runs of ranks: lengths are whole numbers up to the capacity, so pieces of one length are told apart by rank alone,
-and so are gaps of one size. A round takes all pieces of the next smaller length; a sweep over the gaps, from the
-smallest that is large enough, gives ranks of pieces to ranks of gaps, so that no two pieces claim a place; gaps are
-updated and the next round begins. The result is that of sequential best-fit decreasing.
+Documents become pieces of at most ``capacity`` tokens. Lengths are whole numbers up to the capacity, so pieces of one length
+are told apart by rank alone, and so are gaps of one size: the rounds (``packing_rounds``) range-sort runs of ranks, sweep the
+ranges for each piece's successor among the gaps, settle conflicts by rank, update the gaps and begin again.
 
 Scale: texts are read once and reduced to one row a piece. Rounds work on at most ``capacity`` lengths and the runs they
 leave, however many documents there are; each piece then finds its run by its rank. Ranks are counted inside
@@ -14,7 +12,6 @@ leave, however many documents there are; each piece then finds its run by its ra
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,40 +57,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return read.mapInArrow(cut, f"id {kind.simpleString()}, {cols}").withColumnRenamed("id", id_col)
 
 
-def fitted(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit decreasing over ``{length: count}``: runs ``(length, first rank, count, first sequence, pieces a sequence, offset)``.
-
-    The piece of rank ``first + i`` goes to sequence ``first sequence + i // pieces``, at ``offset + i % pieces * length``.
-    """
-    gaps: list[tuple[int, int, int]] = []  # (gap, first sequence, sequences), sorted
-    runs, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect_left(gaps, (length, -1, -1))
-            if k == len(gaps):
-                n = -(-left // (capacity // length))
-                gaps.append((capacity, opened, n))
-                opened += n
-            gap, first, n = gaps.pop(k)
-            each = gap // length
-            full = min(n, left // each)
-            part = 0 if full == n else left - full * each  # fewer than fit: the last sequence of this length
-            placed = full * each + part
-            runs.append((length, rank, placed, first, each, capacity - gap))
-            rank, left = rank + placed, left - placed
-            for room, start, size in ((gap - each * length, first, full), (gap - part * length, first + full, min(part, 1)), (gap, first + full + min(part, 1), n - full - min(part, 1))):
-                if room and size:
-                    insort(gaps, (room, start, size))
-    return runs
-
-
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, in_rounds: bool = False, **options) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, **options) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     Returns one row per piece: ``id_col, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids`` if asked for).
-    Pieces that fill a sequence have negative sequence ids, others are numbered from 0. With
-    ``in_rounds`` the sweeps are Spark jobs (``packing_rounds``), else one loop over the counts of lengths on the driver.
+    Pieces that fill a sequence have negative sequence ids, others are numbered from 0.
 
     * a null or empty text is a piece of one token, the end id; without an end id it gives no piece
     * repeated rows and null ids are packed like any other; equal lengths are placed in the order of the rows
@@ -103,8 +71,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     rows = stored(cut.withColumn("_rid", F.monotonically_increasing_id()), "pack-pieces")
     short = rows.where(F.col("length") < capacity)
     counts = short.groupBy("length").count()  # capacity rows at most
-    found = Rounds(counts, capacity).run().collect() if in_rounds else fitted({r["length"]: r["count"] for r in counts.collect()}, capacity)
-    runs = np.array(found, np.int64).reshape(-1, 6)
+    runs = np.array(Rounds(counts, capacity).run().collect(), np.int64).reshape(-1, 6)  # they follow the capacity, not the pieces
 
     cell = short.withColumn("_b", F.pmod(F.xxhash64("_rid"), F.lit(BUCKETS)).cast("int"))
     sizes = cell.groupBy("length", "_b").agg(F.count("*").alias("_n"))

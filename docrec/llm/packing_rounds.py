@@ -1,123 +1,141 @@
-"""Best-fit packing in bulk-synchronous rounds over Spark tables of runs, the distributed form of ``packing.fitted``.
+"""Best-fit packing in bulk-synchronous rounds over Spark tables of runs.
 
-Rounds go from long classes of lengths to short ones (each half as long as the one before). In a round a sweep over all gaps and all
-items of a class, range-sorted by size, finds for each item the tightest gap that is wide enough; conflicts are settled by rank,
-gaps are updated, and the next round begins. When no gap of the class is left, sequences are opened, as many as its pieces need
+Rounds go from long classes of lengths to short ones (each half as long as the one before). A round range-sorts the gaps and the
+waiting pieces of a class by size, into ranges that are swept at once: every piece meets its successor, the tightest gap that is wide enough and that no
+longer piece has claimed; conflicts are settled by rank. What finds no partner in its own range meets the rest of the other ranges in a second sweep.
+Gaps are updated, and the next round begins. When no gap of the class is left, sequences are opened, as many as its pieces need
 at least. Short pieces go into wide gaps as bundles of equal ones, so that rounds follow the logarithm of the capacity.
 
-Tables have at most ``capacity`` lengths and the runs that they leave, however many documents there are. An empty table gives no runs.
+Pieces of one length are interchangeable and so are gaps of one size, so the tables hold runs: at most ``capacity`` lengths and
+what the rounds split off, however many documents there are. An empty table gives no runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from heapq import heapify, heappop, heappush
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrec.llm.common import new_folder
 
-#: Ranges of sizes whose prefix sums are counted apart, and the shortest class of lengths, as a part of the capacity.
+#: Ranges of sizes that are swept apart, and the shortest class of lengths, as a part of the capacity.
 PARTS, FINEST = 32, 32
+#: Kinds of rows: ``n`` sequences from number ``first`` on with ``size`` tokens of room; ``n`` waiting pieces of ``size`` tokens with ranks from ``first``
+#: on; pieces that went to sequences from ``seq`` on; and what a round leaves, by class: pieces, tokens, least and greatest size.
+GAP, PIECE, PLACED, LEFT = range(4)
+COLUMNS = "kind int, size long, first long, n long, seq long, each long, offset long"
+NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+SCHEMA = pa.schema([(c, pa.int32() if c == "kind" else pa.int64()) for c in NAMES])
 
 
-class Rounds:
-    """Best fit in rounds over Spark tables of runs.
+def matched(rows: list[tuple], capacity: int, low: int, top: int, least: int) -> list[tuple]:
+    """One sweep from the widest to the narrowest: rows of gaps, of pieces and of what was placed, after it.
 
-    The state has a row for each run: ``kind`` GAP (``n`` sequences from number ``first`` on have ``size`` tokens of room) or PIECE (the
-    ``n`` pieces of ``size`` tokens with ranks from ``first`` on wait). Every round is written to a folder of its own, so none is repeated when an
-    executor is lost; rows of kind PLACED say where pieces went. The driver sees one row a class of lengths: how many pieces wait.
+    Pieces of ``low < size <= top`` take part, as bundles of as many equal ones as a sequence holds, and gaps of ``least`` tokens or more. Going down, a gap opens a
+    level and a bundle closes the last open one, which is the tightest gap that no longer bundle has claimed; bundles that find
+    none come again at half the number. Runs open and close many levels at once, and a gap takes one bundle in a sweep.
     """
+    out, taking, open_gaps = [], [], []
+    for row in rows:
+        kind, size, first, n = row[:4]
+        if kind == GAP and size >= least:
+            taking.append((-size, kind, first, size, n, 1))
+        elif kind == PIECE and low < size <= top:
+            each = min(n, capacity // size)
+            taking.append((-size * each, kind, first, size, n, each))
+        else:
+            out.append(row)
+    heapify(taking)
+    while taking:
+        _, kind, first, size, n, each = heappop(taking)
+        if kind == GAP:
+            open_gaps.append([size, first, n])
+            continue
+        bundles = n // each
+        while bundles and open_gaps:
+            gap = open_gaps[-1]
+            taken = min(bundles, gap[2])
+            gap[2] -= taken
+            bundles, n = bundles - taken, n - taken * each
+            seq, room = gap[1] + gap[2], gap[0] - size * each
+            out.append((PLACED, size, first + n, taken * each, seq, each, capacity - gap[0]))
+            if room:
+                out.append((GAP, room, seq, taken, None, None, None))
+            if not gap[2]:
+                open_gaps.pop()
+        if n and each > 1:
+            each = min(n, each // 2)
+            heappush(taking, (-size * each, kind, first, size, n, each))
+        elif n:
+            out.append((PIECE, size, first, n, None, None, None))
+    return out + [(GAP, *gap, None, None, None) for gap in open_gaps]
+
+
+def left(rows: list[tuple], tops: list[int]) -> list[tuple]:
+    """What the rows leave: a row of kind LEFT for each class of waiting pieces, and one (class -1) for gaps."""
+    own: dict[int, list[tuple]] = {}
+    for kind, size, _, n, *_ in rows:
+        if kind in (GAP, PIECE):
+            own.setdefault(sum(size <= top for top in tops) - 1 if kind == PIECE else -1, []).append((size, n))
+    return [(LEFT, k, sum(n for _, n in v), sum(size * n for size, n in v), min(v)[0], max(v)[0], None) for k, v in own.items()]
+
+
+def swept(table: pa.Table, sweep: tuple, opened: list[tuple] = (), tops: list[int] = ()) -> pa.Table:
+    """``matched`` over the rows of one range, or of all ranges with newly ``opened`` gaps; then with what is left."""
+    rows = matched([*zip(*(table.column(c).to_pylist() for c in NAMES), strict=True), *opened], *sweep)
+    rows += left(rows, tops) if tops else []
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(NAMES), SCHEMA.types, strict=True)], schema=SCHEMA)
+
 
-    GAP, PIECE, PLACED = range(3)
-    COLUMNS = "kind int, size long, first long, n long, seq long, each long, offset long"
+class Rounds:
+    """Best fit in rounds over a Spark table of runs.
+
+    Every round is written to a folder of its own, so none is repeated when an executor is lost. The driver sees one row a class of lengths.
+    """
 
     def __init__(self, counts: DataFrame, capacity: int):
         self.spark, self.capacity, self.path, self.done, self.opened = counts.sparkSession, capacity, new_folder(counts.sparkSession, "pack-rounds"), 0, 0
         self.tops = [capacity]
         while self.tops[-1] > max(1, capacity // FINEST):
             self.tops.append(self.tops[-1] // 2)
-        self.write(counts.select(F.lit(self.PIECE).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), F.col("count").alias("n")))
-
-    def write(self, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.path}/round={self.done}")
-        self.state = self.spark.read.schema(self.COLUMNS).parquet(f"{self.path}/round={self.done}").where(F.col("kind") < self.PLACED).select("kind", "size", "first", "n")
-        self.done += 1
-        own = F.when(F.col("kind") == self.PIECE, sum((F.col("size") <= top).cast("int") for top in self.tops) - 1).otherwise(-1)
-        seen = self.state.groupBy(own.alias("k")).agg(F.sum("n"), F.sum(F.col("n") * F.col("size")), F.min("size"), F.max("size")).collect()
-        self.waiting = {k: (n, tokens, least) for k, n, tokens, least, _ in seen if k >= 0}
-        self.widest = max((row[4] for row in seen if row[0] < 0), default=0)
+        self.new: list[tuple] = []
+        nothing = [F.lit(None).cast("long").alias(c) for c in NAMES[4:]]
+        self.state = counts.select(F.lit(PIECE).alias("kind"), F.col("length").cast("long").alias("size"), F.lit(0).cast("long").alias("first"), F.col("count").alias("n"), *nothing)
+        self.sweep(-1)
+
+    def sweep(self, k: int) -> None:
+        """One round for class ``k`` (-1: none, only count): ranges first, each for itself, then what they leave together."""
+        low, top, least = (self.tops[k + 1] if k + 1 < len(self.tops) else 0, self.tops[k], self.waiting[k][2]) if k >= 0 else (0, 0, self.capacity + 1)
+        how = (self.capacity, low, top, least)
+        size, n = F.col("size"), F.col("n")
+        wide = F.when(F.col("kind") == GAP, size).otherwise(size * F.least(n, F.floor(F.lit(self.capacity) / size)))
+        ranges = self.state.groupBy(F.floor(wide * PARTS / self.capacity)).applyInArrow(lambda rows: swept(rows, how), COLUMNS) if k >= 0 else self.state
+        opened, tops = self.new, self.tops
+        rows = ranges.groupBy().applyInArrow(lambda rows: swept(rows, how, opened, tops), COLUMNS)
+        path = f"{self.path}/round={self.done}"
+        rows.write.parquet(path)
+        written = self.spark.read.schema(COLUMNS).parquet(path)
+        self.state = written.where(F.col("kind") < PLACED)
+        seen = written.where(F.col("kind") == LEFT).collect()
+        self.waiting = {r["size"]: (r["first"], r["n"], r["seq"]) for r in seen if r["size"] >= 0}
+        self.widest = max((r["each"] for r in seen if r["size"] < 0), default=0)
+        self.done, self.new = self.done + 1, []
 
     def open(self, k: int) -> None:
         """Open empty sequences for class ``k``: as many as its pieces need at least, by tokens and by number."""
         n, tokens, least = self.waiting[k]
         more = max(-(-tokens // self.capacity), -(-n // (self.capacity // least)))
-        row = [F.lit(v).cast(t).alias(c) for c, t, v in (("kind", "int", self.GAP), ("size", "long", self.capacity), ("first", "long", self.opened), ("n", "long", more))]
-        self.state = self.state.unionByName(self.spark.range(1).select(*row))
+        self.new = [(GAP, self.capacity, self.opened, more, None, None, None)]
         self.opened, self.widest = self.opened + more, self.capacity
 
-    def sweep(self, k: int, level: int) -> None:
-        """One bulk-synchronous round for class ``k``: every waiting item meets its successor among the gaps, at most one item a gap.
-
-        Items are pieces, or as many equal pieces as fit into ``level`` tokens. Gaps and items are sorted together by size, from the widest, gaps
-        first. Going down, a gap opens a level and an item closes one: the item that closes a level gets the gap that opened it, which
-        is the tightest one that no longer item has claimed. Levels are prefix sums, so all conflicts are settled by rank, at once.
-        Runs cover ranges of levels; these are cut where another run begins or ends, and each cut is matched on its own.
-        """
-        low = self.tops[k + 1] if k + 1 < len(self.tops) else 0
-        size, n = F.col("size"), F.col("n")
-        each = F.when(F.col("kind") == self.PIECE, F.least(n, F.greatest(F.lit(1), F.floor(F.lit(level) / size)))).otherwise(1).cast("long")
-        least = self.waiting[k][2]
-        taking = self.state.where(F.when(F.col("kind") == self.GAP, size >= least).otherwise((size > low) & (size <= self.tops[k])))
-        items = taking.withColumn("each", each).withColumns({"units": F.floor(n / F.col("each")), "wide": size * F.col("each")})
-        change = F.when(F.col("kind") == self.GAP, F.col("units")).otherwise(-F.col("units"))
-        by_size = Window.partitionBy("part").orderBy(F.desc("wide"), "kind", "first", "size")
-        parts = items.withColumns({"part": F.floor(F.col("wide") * PARTS / self.capacity), "change": change})
-        totals = parts.groupBy("part").agg(F.sum("change").alias("total"))
-        offsets = totals.select("part", (F.sum("total").over(Window.orderBy(F.desc("part"))) - F.col("total")).alias("offset"))  # PARTS rows
-        local = parts.withColumns({"after": F.sum("change").over(by_size), "place": F.row_number().over(by_size)}).join(offsets, "part")
-        after = F.col("after") + F.col("offset")
-        gap = F.col("kind") == self.GAP
-        spans = local.withColumns({"lo": F.when(gap, after - F.col("units")).otherwise(after), "hi": F.when(gap, after).otherwise(after + F.col("units"))})
-
-        points = spans.select(F.explode(F.array("lo", "hi")).alias("at")).distinct()  # two a run
-        numbered = points.select("at", F.row_number().over(Window.orderBy("at")).alias("no"))
-        cells = (
-            spans.join(numbered.withColumnsRenamed({"at": "lo", "no": "from"}), "lo")
-            .join(numbered.withColumnsRenamed({"at": "hi", "no": "to"}), "hi")
-            .select("kind", "size", "first", "n", "each", "units", "lo", "part", "wide", F.posexplode(F.sequence(F.col("from"), F.col("to") - 1)).alias("_", "cell"))
-        )
-        down = Window.partitionBy("cell").orderBy(F.desc("wide"), "kind", "first", "size")
-        before = F.lag(F.struct("kind", "size", "first", "lo")).over(down)
-        met = cells.withColumn("gap", before).where((F.col("kind") == self.PIECE) & (F.col("gap.kind") == self.GAP))
-        met = met.join(numbered.select(F.col("no").alias("cell"), "at", (F.lead("at").over(Window.orderBy("at")) - F.col("at")).alias("width")), "cell")
-        pairs = met.groupBy("size", "first", "n", "each", "units", "lo", "gap").agg(F.min("at").alias("at"), F.sum("width").alias("width"))
-
-        sequence = F.col("gap.first") + F.col("at") - F.col("gap.lo")
-        rank = F.col("first") + n - F.col("units") * F.col("each") + (F.col("at") - F.col("lo")) * F.col("each")
-        nothing = F.lit(None).cast("long")
-        now = [
-            (self.GAP, F.col("gap.size"), F.col("gap.first"), -F.col("width"), nothing, nothing, nothing),
-            (self.PIECE, size, F.col("first"), -F.col("width") * F.col("each"), nothing, nothing, nothing),
-            (self.GAP, F.col("gap.size") - size * F.col("each"), sequence, F.col("width"), nothing, nothing, nothing),
-            (self.PLACED, size, rank, F.col("width") * F.col("each"), sequence, F.col("each"), F.lit(self.capacity).cast("long") - F.col("gap.size")),
-        ]
-        names = ("kind", "size", "first", "n", "seq", "each", "offset")
-        changes = pairs.select(F.inline(F.array(*(F.struct(*((F.lit(c) if isinstance(c, int) else c).alias(x) for c, x in zip(row, names, strict=True))) for row in now))))
-        rows = self.state.unionByName(changes, allowMissingColumns=True).groupBy("kind", "size", "first")
-        self.write(rows.agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in names[4:])).where((n > 0) & (size > 0)))
-
     def run(self) -> DataFrame:
         """Rounds from the longest class to the shortest until nothing waits; the runs of kind PLACED of all rounds."""
-        for k, top in enumerate(self.tops):
-            last = top if k + 1 < len(self.tops) else 1
+        for k in range(len(self.tops)):
             while k in self.waiting:
-                level = self.capacity
-                while level >= last and k in self.waiting and self.widest >= self.waiting[k][2]:
-                    waited = self.waiting[k][0]
-                    if 2 * self.widest > level:
-                        self.sweep(k, level)
-                    if self.waiting.get(k, (0,))[0] == waited:
-                        level //= 2
-                if k in self.waiting:
+                if self.widest < self.waiting[k][2]:
                     self.open(k)
-        whole = self.spark.read.schema(self.COLUMNS).parquet(*(f"{self.path}/round={i}" for i in range(self.done)))
-        return whole.where(F.col("kind") == self.PLACED).select("size", "first", "n", "seq", "each", "offset")
+                self.sweep(k)
+        whole = self.spark.read.schema(COLUMNS).parquet(*(f"{self.path}/round={i}" for i in range(self.done)))
+        return whole.where(F.col("kind") == PLACED).select("size", "first", "n", "seq", "each", "offset")

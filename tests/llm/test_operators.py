@@ -572,22 +572,39 @@ def test_packing(odd, empty):
     assert packing.packed(empty).count() == 0
 
 
-def test_best_fit_equals_one_by_one():
-    rng = random.Random(2)
-    counts = collections.Counter(rng.randint(1, 99) for _ in range(300))
+def one_by_one(counts, capacity):
+    """Sequences that best-fit decreasing opens, piece by piece."""
     gaps = []
     for n in sorted(counts.elements(), reverse=True):
         fit = min((g for g in gaps if g >= n), default=None)
-        if fit is None:
-            gaps.append(100 - n)
-        else:
+        if fit is not None:
             gaps.remove(fit)
-            gaps.append(fit - n)
-    used = collections.Counter()
-    for length, _, count, first, each, _ in packing.fitted(dict(counts), 100):
-        for i in range(count):
-            used[first + i // each] += length
-    assert sorted(100 - v for v in used.values()) == sorted(gaps)
+        gaps.append((capacity if fit is None else fit) - n)
+    return len(gaps)
+
+
+def test_a_sweep_gives_each_piece_its_successor():
+    """Against a plain loop: pieces from the longest on, each to the tightest gap that is still free."""
+    rng = random.Random(2)
+    for _ in range(50):
+        gaps = collections.Counter(rng.randint(1, 40) for _ in range(30))
+        waiting = collections.Counter(rng.randint(21, 40) for _ in range(30))
+        free, want = sorted(gaps.elements()), collections.Counter()
+        for n in sorted(waiting.elements(), reverse=True):
+            fit = min((g for g in free if g >= n), default=None)
+            if fit is not None:
+                free.remove(fit)
+                want[n, 40 - fit] += 1
+        blank, at, rows = (None, None, None), 0, [(packing_rounds.PIECE, n, 0, c, None, None, None) for n, c in waiting.items()]
+        for g, c in gaps.items():
+            rows.append((packing_rounds.GAP, g, at, c, *blank))
+            at += c
+        got = collections.Counter()
+        for kind, size, _, n, _, each, offset in packing_rounds.matched(rows, 40, 20, 40, 21):
+            if kind == packing_rounds.PLACED:
+                assert each == 1
+                got[size, offset] += n
+        assert got == want
 
 
 def test_rounds_on_tables_place_every_piece_once(spark):
@@ -603,8 +620,7 @@ def test_rounds_on_tables_place_every_piece_once(spark):
     for own in filled.values():
         own.sort()
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 16
-    best = max(first + -(-count // each) for _, _, count, first, each, _ in packing.fitted(dict(counts), 16))
-    assert len(filled) <= best + 2
+    assert len(filled) <= one_by_one(counts, 16) + 2
     assert packing_rounds.Rounds(spark.createDataFrame([], "length long, count long"), 16).run().count() == 0
 
 
