@@ -52,6 +52,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                     at, k = stop, k + 1
             out = [batch.column("id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays([*out, pa.array(body, pa.binary())] if with_ids else out, names=["id", *(c.split()[0] for c in cols.split(", "))])
+        encode.forget()
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return read.mapInArrow(cut, f"id {kind.simpleString()}, {cols}").withColumnRenamed("id", id_col)

@@ -76,6 +76,11 @@ class Ids:
         head, *keys = text.replace("\n", " \n").split(" ")
         return b"".join([*map(self.word.__getitem__, self.split_plain(head)), *self._chunks(keys)])
 
+    def forget(self) -> None:
+        """Give the memory of both caches back: a worker process goes on to tasks of other kinds, which need no words."""
+        self.word.clear(), self.chunk.clear()
+        self.mark = {c: self.word[c] for c in self.mark}
+
     def _chunks(self, keys: list[str]) -> list[bytes]:
         """Ids of all chunks; those not seen before are encoded in one go and told apart by the space or line end that opens each."""
         get, mark = self.chunk.get, self.mark
