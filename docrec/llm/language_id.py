@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from docrec.llm.common import slices, table
 
 BUCKETS = 1 << 15
-WINDOW = 1 << 19
+WINDOW = 1 << 17
 
 
 @dataclass(frozen=True)
