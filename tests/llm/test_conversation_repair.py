@@ -122,7 +122,7 @@ def test_damage_and_conversations_that_lose_all_rows(spark):
     got = {r["conv_id"]: r for r in cr.repaired(cr.damaged(spark.createDataFrame(rows, SCHEMA)), gone="gone").collect()}
     assert set(got) == {c for c, *_ in rows}
     for (c, _t), kind in kinds.items():
-        want = {0: "", 1: "D", 3: "KDI"}.get(kind, "D" if c is None else "KI")
+        want = {0: "", 1: "D", 2: "D", 3: "KDI"}.get(kind, "D" if c is None else "KI")
         assert got[c]["audit"] == want, (c, kind)
         assert got[c]["truncated"] == (kind == 2 and c is not None)
     gone = [got[c] for (c, _), k in kinds.items() if k == 0]
