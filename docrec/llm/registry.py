@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from docrec.llm import conversation_repair, exact_dedup, html_extraction, language_id, media, mixing, near_dedup, packing, sharding, suffix_dedup, tool_calls
+from docrec.llm import conversation_repair, exact_dedup, html_extraction, language_id, language_model, media, mixing, near_dedup, packing, sharding, suffix_dedup, tool_calls
 
 QUERIES = {
     "op1_flac_media": media.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_language_id": language_id.query,
     "op12_conversation_repair": conversation_repair.query,
+    "op13_language_model": language_model.query,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
@@ -21,4 +22,5 @@ ORACLES = {
     "op5_mixing": mixing.ORACLE,
     "op6_near_dedup": near_dedup.ORACLE,
     "op12_conversation_repair": conversation_repair.ORACLE,
+    "op13_language_model": language_model.ORACLE,
 }
