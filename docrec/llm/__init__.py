@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs over tables of documents, pages and conversations.
+"""Training-data operators: thirteen Spark jobs over tables of documents, pages and conversations.
 
 Nothing else in the library imports this subpackage.
 """

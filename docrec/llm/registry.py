@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from docrec.llm import conversation_repair, exact_dedup, html_extraction, language_id, language_model, media, mixing, near_dedup, packing, sharding, suffix_dedup, tool_calls
+from docrec.llm import conversation_repair, exact_dedup, html_extraction, language_id, language_model, media, mixing, near_dedup, packing, sharding, suffix_dedup, tool_calls, whitening
 
 QUERIES = {
     "op1_flac_media": media.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_packing": packing.query,
     "op10_language_id": language_id.query,
+    "op11_whitening": whitening.query,
     "op12_conversation_repair": conversation_repair.query,
     "op13_language_model": language_model.query,
 }
