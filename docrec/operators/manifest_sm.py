@@ -1,30 +1,10 @@
-"""Line-typed segmentation of carrier manifests: windows over a document's lines in reading order stand for a running state.
-
-Lines are ``doc_id, page_no, line_no, text``. A line that is nothing but a bill number opens that bill (the same number
-again goes on with it), a total line closes it, section labels open parties, and split lines open containers.
-"""
+"""Running page headers and defaults of carrier manifests; their lines are read by ``carrier``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Section labels of the parties.
-SECTIONS = {"SH:": "shipper", "CN:": "consignee", "N:": "notify", "FE:": "freight_forwarder"}
-#: Words of lines that are no cargo description.
-NOT_DESCRIPTION = ("SPLIT", "CTR:", "SEAL", "TARE:", "SZTP:", "PACK:", "WGT:", "VOL:", "SHP", "STAT:", "FREE", "FREIGHT", "STOWED", "GOODS", "BESC", "FCL", "SHIPPED")
-CLOSED = ""
-
-
-def classify_lines(lines: DataFrame, bl_pattern: str, total: str = "B/L TOTAL") -> DataFrame:
-    """Adds bl, is_total, section, split and whether a line is a key-value line."""
-    t = F.trim("text")
-    section = F.coalesce(*(F.when(F.startswith(t, F.lit(label)), name) for label, name in SECTIONS.items()))
-    return lines.withColumns({
-        "bl": F.when(F.regexp_like(t, F.lit(f"^{bl_pattern}$")), t), "is_total": F.contains(F.upper(t), F.lit(total)), "section": section,
-        "split": F.nullif(F.regexp_extract(t, r"^SPLIT:\s*([0-9]+)", 1), F.lit("")).cast("int"), "is_kv": F.regexp_like(t, F.lit("^(CTR|WGT|PACK|VOL|SEAL[1-3]|TARE|SZTP):")),
-    })
-
 
 def forward_fill(pages: DataFrame, *cols: str) -> DataFrame:
     """Page headers become running state: the last value seen up to each page."""
@@ -32,60 +12,5 @@ def forward_fill(pages: DataFrame, *cols: str) -> DataFrame:
     return pages.withColumns({c: F.last(F.nullif(c, F.lit("")), ignorenulls=True).over(seen) for c in cols})
 
 
-def bl_segments(lines: DataFrame) -> DataFrame:
-    """Adds ``bl_number`` and ``segment``; lines outside any bill go."""
-    order = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
-    state = F.last(F.when(F.col("is_total"), F.lit(CLOSED)).otherwise(F.col("bl")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = lines.withColumn("bl_number", state).withColumn("before", F.lag("bl_number").over(order))
-    opens = (F.col("bl_number") != CLOSED) & ~F.col("bl_number").eqNullSafe(F.col("before"))
-    return marked.withColumn("segment", F.sum(opens.cast("int")).over(order)).where(f"bl_number <> '{CLOSED}'").drop("before")
-
-
-def party_sections(lines: DataFrame) -> DataFrame:
-    """``doc_id, segment, bl_number`` and one column a party: the words behind its label and the lines that go on with it, joined by `` | ``."""
-    order = Window.partitionBy("doc_id", "segment").orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    other = F.col("bl").isNotNull() | F.col("split").isNotNull() | F.col("is_kv")
-    running = lines.withColumn("party", F.last(F.when(other, F.lit("")).otherwise(F.col("section")), ignorenulls=True).over(order))
-    text = F.trim(F.regexp_replace("text", r"^\s*(SH|CN|N|FE):", ""))
-    joined = lambda name: F.array_join(F.array_sort(F.collect_list(F.when((F.col("party") == name) & (text != ""), F.struct("page_no", "line_no", text.alias("t")))))["t"], " | ")
-    return running.groupBy("doc_id", "segment", "bl_number").agg(*(joined(name).alias(name) for name in SECTIONS.values()))
-
-
-#: The columns of the labels, and of the units of those that have one.
-KEY_VALUES = {"CTR": "container_number", "WGT": "weight", "PACK": "pack_qty", "SEAL1": "seal1", "VOL": "volume", "SEAL2": "seal2", "SEAL3": "seal3", "TARE": "tare", "SZTP": "container_type"}
-UNITS = {"WGT": "weight_unit", "PACK": "pack_unit", "VOL": "volume_unit"}
-
-
-def token_after(label: str, unit: bool = False) -> Column:
-    """The first token after a label anywhere in the line, or the one that follows it and is no label itself."""
-    return F.nullif(F.regexp_extract("text", rf"(?:^|\s){label}:\s*(\S+)" + (r"\s+(?!\S*:)(\S+)" if unit else ""), 2 if unit else 1), F.lit(""))
-
-
-def splits(lines: DataFrame) -> DataFrame:
-    """A row per container split (split 0 goes): the values of its key-value lines from its split line on and the units of pack, weight and volume, a later line overwriting an earlier."""
-    order = Window.partitionBy("doc_id", "segment").orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    own = lines.withColumn("split_no", F.last("split", ignorenulls=True).over(order)).withColumn("nth", F.count("split").over(order)).where("split_no > 0")
-    last = lambda token: F.max_by(token, F.when(token.isNotNull(), F.struct("page_no", "line_no")))
-    values = [last(token_after(label)).alias(c) for label, c in KEY_VALUES.items()] + [last(token_after(label, True)).alias(c) for label, c in UNITS.items()]
-    return own.groupBy("doc_id", "segment", "bl_number", "nth", "split_no").agg(*values).drop("nth")
-
-
-def bl_attributes(text: Column) -> dict[str, Column]:
-    """Kind of a bill's line and the first token behind its two labels."""
-    after = lambda label: F.nullif(F.regexp_extract(text, rf"{label}\s*(\S+)", 1), F.lit(""))
-    return {"bl_type": F.when(F.contains(F.upper(text), F.lit("WAYBILL")), "WAYBILL").otherwise("BL"), "board": after("Board:"), "movement": after("MOVEMENT:")}
-
-
 def default_shipowner(records: DataFrame, owner: str) -> DataFrame:
     return records.withColumn("shipowner", F.coalesce(F.nullif(F.trim("shipowner"), F.lit("")), F.lit(owner)))
-
-
-def description_lines(lines: DataFrame) -> DataFrame:
-    """``doc_id, segment, page_no, line_no, split`` and two columns of each line, ``mid`` (its cargo column) and ``right`` (the description area) -> per split (0 goes) its description: what stands right on lines without a keyword, from the bill's first split up to the end of this one."""
-    order = Window.partitionBy("doc_id", "segment").orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    own = lines.withColumns({"nth": F.count("split").over(order), "split_no": F.last("split", ignorenulls=True).over(order)}).where("nth > 0")
-    words = ~F.coalesce(*(F.when(F.contains(F.upper("mid"), F.lit(w)), True) for w in NOT_DESCRIPTION), F.lit(False))
-    said = F.when((F.trim("mid") != "") & words & (F.trim("right") != ""), F.struct("page_no", "line_no", F.trim("right").alias("t"), "nth"))
-    bills = own.groupBy("doc_id", "segment").agg(F.array_sort(F.collect_list(said)).alias("said"), F.collect_set(F.when(F.col("split_no") > 0, F.struct("nth", "split_no"))).alias("splits"))
-    each = bills.select("doc_id", "segment", "said", F.explode("splits").alias("s"))
-    return each.select("doc_id", "segment", F.col("s.nth").alias("nth"), F.col("s.split_no").alias("split_no"), F.array_join(F.filter("said", lambda x: x["nth"] <= F.col("s.nth"))["t"], " ").alias("description"))

@@ -117,14 +117,6 @@ def tpl6_resolve_boxes(spark, d):
     return bt.resolve_boxes(boxes, anchors)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'WAYBILL' ELSE 'BL' END AS bl_type, 'B' || o_custkey AS board, CASE WHEN o_orderkey % 2 = 0 THEN 'CY/CY' END AS movement FROM orders")
-def sm4_bl_attributes(spark, d):
-    (orders,) = fx.tables(spark, d, "orders")
-    k = F.col("o_orderkey")
-    text = F.concat(F.when(k % 3 == 0, "Sea Waybill ").otherwise("Bill "), F.lit("Board: B"), F.col("o_custkey").cast("string"), F.when(k % 2 == 0, " MOVEMENT: CY/CY door").otherwise(""))
-    return orders.select("o_orderkey", *(c.alias(n) for n, c in sm.bl_attributes(text).items()))
-
-
 @query(f"WITH {BILL} SELECT bl, CASE WHEN k % 2 = 0 THEN shipper ELSE 'OWNER' END AS shipowner FROM bill")
 def sm9_default_shipowner(spark, d):
     b = fx.bills(spark, d)

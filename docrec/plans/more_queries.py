@@ -12,70 +12,16 @@ from docrec.operators import manifest_sm as sm
 from docrec.operators import registry as rg
 from docrec.operators import segments as sg
 from docrec.plans.fixture_sql import BILL, RECORD, WORDS
-from docrec.plans.queries import BL, manifest_words, query
+from docrec.plans.queries import manifest_words, query
 from docrec.sources import fixtures as fx
 from docrec.sources import sinks
 
-SM_TEXT = "bl, 'SH: ' || shipper, 'AND SONS', 'CN: ' || consignee"
-
-
-def sm_lines(spark, d):
-    """Shipments as typed lines; each bill is repeated on top of its second half, as on a new page."""
-    box = F.struct("n", F.array(F.concat(F.lit("SPLIT: "), F.col("n").cast("string")), F.concat(F.lit("CTR: "), "container"), F.concat(F.lit("WGT: 1 KGS")), F.concat(F.lit("WGT: "), F.col("packs").cast("string"), F.lit(" KGS"))).alias("l"))
-    held = fx.boxes(spark, d).groupBy("k").agg(F.flatten(F.array_sort(F.collect_list(box))["l"]).alias("boxes"))
-    head = F.array("bl", F.concat(F.lit("SH: "), "shipper"), F.lit("AND SONS"), F.concat(F.lit("CN: "), "consignee"), "bl", F.lit("SPLIT: 0"), F.lit("CTR: NONE"))
-    b = fx.bills(spark, d).join(held, "k").select("k", F.posexplode(F.concat(F.array(F.lit("CTR: OUTSIDE")), head, "boxes", F.array(F.lit("B/L TOTAL")))).alias("i", "text"))
-    return b.select(F.floor(F.col("k") / 50).alias("doc_id"), (F.col("k") % 50).cast("int").alias("page_no"), F.col("i").alias("line_no"), "text")
-
-
-def segmented(spark, d):
-    return sm.bl_segments(sm.classify_lines(sm_lines(spark, d), BL))
-
-
-@query(f"WITH {BILL} SELECT k // 50 AS doc_id, (count(*) * 9 + sum(n) * 4)::BIGINT AS n_lines, count(*) * 2 AS bills, count(*) AS totals, count(*) * 2 AS sections, sum(n)::BIGINT + count(*) AS splits, (count(*) * 2 + sum(n) * 3)::BIGINT AS kv FROM bill JOIN (SELECT k, count(*) AS n FROM box GROUP BY k) USING (k) GROUP BY 1")
-def sm1_classify_lines(spark, d):
-    c = sm.classify_lines(sm_lines(spark, d), BL)
-    return c.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count("bl").alias("bills"), F.count_if("is_total").alias("totals"), F.count("section").alias("sections"), F.count("split").alias("splits"), F.count_if("is_kv").alias("kv"))
-
-
 @query(f"WITH {BILL} SELECT k // 50 AS doc_id, (k % 50)::INT AS page_no, last_value(CASE WHEN k % 3 = 0 THEN date END IGNORE NULLS) OVER (PARTITION BY k // 50 ORDER BY k) AS date FROM bill")
 def sm2_page_header_forward_fill(spark, d):
     b = fx.bills(spark, d).select(F.floor(F.col("k") / 50).alias("doc_id"), (F.col("k") % 50).cast("int").alias("page_no"), F.when(F.col("k") % 3 == 0, F.col("date")).otherwise("").alias("date"))
     return sm.forward_fill(b, "date")
 
 
-@query(f"WITH {BILL} SELECT k // 50 AS doc_id, row_number() OVER (PARTITION BY k // 50 ORDER BY k) AS segment, bl AS bl_number, 7 + n * 4 AS n_lines FROM bill JOIN (SELECT k, count(*) AS n FROM box GROUP BY k) USING (k)")
-def sm3_bl_segments(spark, d):
-    return segmented(spark, d).groupBy("doc_id", "segment", "bl_number").agg(F.count("*").alias("n_lines"))
-
-
-@query(f"WITH {BILL} SELECT k // 50 AS doc_id, bl AS bl_number, shipper || ' | AND SONS' AS shipper, consignee, '' AS notify, '' AS freight_forwarder FROM bill")
-def sm5_party_sections(spark, d):
-    return sm.party_sections(segmented(spark, d)).drop("segment")
-
-
-@query(f"WITH {BILL} SELECT k // 50 AS doc_id, bl AS bl_number, n AS split_no, container AS container_number, packs::VARCHAR AS weight, NULL::VARCHAR AS pack_qty, NULL::VARCHAR AS seal1 FROM box JOIN bill USING (k)")
-def sm6_splits_and_sm7_key_values(spark, d):
-    return sm.splits(segmented(spark, d)).select("doc_id", "bl_number", "split_no", "container_number", "weight", "pack_qty", "seal1")
-
-
-def kv_lines(spark, d):
-    """Bills with all key-value lines, some with several labels; every third bill has no third seals."""
-    n, packs, k = F.col("n").cast("string"), F.col("packs").cast("string"), F.col("k")
-    texts = [
-        F.concat(F.lit("SPLIT: "), n, F.lit(" PACK: "), packs, F.lit(" CTN WGT: 1 LBS")), F.lit("VOL: 0.5 CBM"), F.concat(F.lit("VOL: "), packs), F.concat(F.lit("CTR: "), "container", F.lit(" SEAL1: A"), n), F.concat(F.lit("WGT: "), packs, F.lit(" KGS")),
-        F.concat(F.lit("TARE: "), (F.col("packs") + 2000).cast("string"), F.lit(" KGS SZTP: "), "ctype", F.lit(" SEAL2: B"), n), F.when(k % 3 == 0, "AS ABOVE").otherwise(F.concat(F.lit("SEAL3: C"), n)),
-    ]
-    held = fx.boxes(spark, d).groupBy("k").agg(F.flatten(F.array_sort(F.collect_list(F.struct("n", F.array(*texts).alias("l"))))["l"]).alias("boxes"))
-    b = fx.bills(spark, d).join(held, "k").select("k", F.posexplode(F.concat(F.array("bl", F.lit("TARE: 1")), "boxes", F.array(F.lit("B/L TOTAL"), F.lit("VOL: 9 OUT")))).alias("i", "text"))
-    return b.select(F.floor(F.col("k") / 50).alias("doc_id"), (F.col("k") % 50).cast("int").alias("page_no"), F.col("i").alias("line_no"), "text")
-
-
-@query(f"WITH {BILL} SELECT k // 50 AS doc_id, bl AS bl_number, n AS split_no, container AS container_number, packs::VARCHAR AS weight, packs::VARCHAR AS pack_qty, 'A' || n AS seal1, packs::VARCHAR AS volume, 'B' || n AS seal2, CASE WHEN k % 3 <> 0 THEN 'C' || n END AS seal3, (packs + 2000)::VARCHAR AS tare, ctype AS container_type, 'KGS' AS weight_unit, 'CTN' AS pack_unit, 'CBM' AS volume_unit FROM box JOIN bill USING (k)")
-def sm7_split_key_values(spark, d):
-    return sm.splits(sm.bl_segments(sm.classify_lines(kv_lines(spark, d), BL))).drop("segment")
-
-
 # questionnaire segments
 
 

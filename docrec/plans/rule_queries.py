@@ -8,7 +8,6 @@ from docrec.functions import scalar as sc
 from docrec.operators import auto_map as am
 from docrec.operators import box_templates as bt
 from docrec.operators import differences as di
-from docrec.operators import manifest_sm as sm
 from docrec.operators import rules as ru
 from docrec.plans.fixture_sql import BILL, LINES, TEXT, WORDS
 from docrec.plans.queries import LCS, lines, manifest_words, query
@@ -89,18 +88,6 @@ def evl2_fallback_rules(spark, d):
     return rules.join(formats, "format_name").select("format_name", "field_name", "direction", "max_distance", F.size("stop_at").alias("stops"), "scope", "weight_scope")
 
 
-@query(f"WITH {BILL} SELECT k // 50 AS doc_id, k AS segment, n AS split_no, string_agg('cargo ' || container, ' ') OVER (PARTITION BY k ORDER BY n) AS description FROM box JOIN bill USING (k)")
-def sm8_description_lines(spark, d):
-    n = F.col("n").cast("string")
-    row = lambda split, mid, right: F.struct(split.cast("int").alias("split"), mid.alias("mid"), right.alias("right"))
-    none, empty = F.lit(None), F.lit("")
-    rows = F.array(row(F.col("n"), F.concat(F.lit("SPLIT: "), n), empty), row(none, F.lit("blue boxes"), F.concat(F.lit(" cargo "), "container")), row(none, F.lit("Seal1: 4"), F.lit("no")), row(none, F.lit("left only"), empty))
-    boxes = fx.boxes(spark, d).join(fx.bills(spark, d).select("k"), "k").select("k", "n", F.posexplode(rows).alias("i", "r"))
-    own = boxes.select(F.floor(F.col("k") / 50).alias("doc_id"), F.col("k").alias("segment"), F.lit(1).alias("page_no"), (F.col("n") * 4 + F.col("i") + 2).alias("line_no"), "r.*")
-    before = own.select("doc_id", "segment", F.lit(1).alias("page_no"), F.explode(F.array(F.lit(0), F.lit(1))).alias("line_no")).distinct().select("*", F.when(F.col("line_no") == 1, 0).alias("split"), F.lit("early").alias("mid"), F.when(F.col("line_no") == 0, "too early").otherwise("").alias("right"))
-    return sm.description_lines(own.unionByName(before)).drop("nth")
-
-
 def lined(spark, d):
     return tokens(spark, d).withColumn("line_id", F.floor(F.col("y") / 12).cast("int"))
 

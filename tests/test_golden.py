@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docrec.functions import scalar as sc
-from docrec.operators import blocks, geometry, jsonrows, lookups, manifest_sm, registry
+from docrec.operators import blocks, geometry, jsonrows, lookups, registry
 from docrec.operators import detection as de
 from docrec.sources import pages
 
@@ -70,18 +70,6 @@ def test_number_formats(spark):
     assert [r["t"] for r in df.collect()] == ["10", "2.5", ""]
 
 
-def test_all_key_values_of_a_split(spark, small):
-    from docrec.plans.registry import ORACLES, QUERIES  # needs a session
-    from tests.oracle import check
-
-    texts = ["ABCD1", "SPLIT: 1 PACK: 7 WGT: 5 KGS", "VOL: 2 CBM", "VOL: 3.5", "SEAL1: a SEAL2: b", "SEAL3: c", "TARE: 2200 SZTP: 45G1", "SPLIT: 2", "TARE:"]
-    df = spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(texts)], "doc_id long, page_no int, line_no int, text string")
-    first, second = manifest_sm.splits(manifest_sm.bl_segments(manifest_sm.classify_lines(df, "ABCD[0-9]"))).orderBy("split_no").drop("doc_id", "segment", "bl_number", "split_no").collect()
-    want = {"pack_qty": "7", "weight": "5", "weight_unit": "KGS", "volume": "3.5", "volume_unit": "CBM", "seal1": "a", "seal2": "b", "seal3": "c", "tare": "2200", "container_type": "45G1"}
-    assert {k: v for k, v in first.asDict().items() if v is not None} == want and not any(second)
-    check(QUERIES["sm7_split_key_values"](spark, small), ORACLES["sm7_split_key_values"], small)
-
-
 def test_oversize_pages_are_split(spark):
     pages = [(1, 1, "abc"), (1, 2, "aaaa\nbbbb\n\ncc\n" + "d" * 23), (1, 3, "x"), (1, 4, "y" * 5), (2, 1, None), (2, 2, "z" * 10), (3, 1, "eeee\r\nfff\rgggg")]
     got = de.pack_chunks(spark.createDataFrame(pages, "doc_id int, page_no int, text string"), 10).orderBy("doc_id", "chunk_no", "page_no", "start").collect()
