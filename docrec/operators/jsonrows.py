@@ -1,41 +1,100 @@
-"""Rows from JSON responses that may be fenced or cut short."""
+"""Rows from JSON responses that may be fenced, wrapped in prose or cut short; rows keep all their keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW = "struct<bl_number:string,container_number:string,weight:string,page:int>"
-SCHEMA = f"header struct<vessel:string,voyage:string>, rows array<{ROW}>"
-#: A flat object that follows the one before it; braces inside strings do not count.
-OBJECT = r'\G\s*,?\s*(\{(?:[^{}"]|"(?:\\.|[^"\\])*")*\})'
+#: Fields of the whole response.
+HEADER = ("vessel", "voyage", "date_of_arrival", "shipowner")
+#: Whole strings, one that is cut short, the marks that matter, and what is between them.
+TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|"[^"\\]*+(?:\\.[^"\\]*+)*+\\?$|[{}\],]|[^"{}\],]++'
 
 
 def unfenced(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(raw, r"^\s*```[a-zA-Z]*\s*", ""), r"\s*```\s*$", ""))
 
 
+def array_objects(text: Column) -> Column:
+    """``index, object``: the texts of the objects that are items of an array, of which ``text`` holds what follows its bracket, and their places among all items.
+
+    One fold over the tokens with the depth of braces: nested objects, braces in strings and what is no object cost nothing, and
+    an object that is cut short is left out. Braces that close nothing count, as depth below zero.
+    """
+    none = F.lit("")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("index"), F.lit(False).alias("over"), F.lit(False).alias("open"), none.alias("text"), F.expr("cast(array() as array<struct<index:int,object:string>>)").alias("found"))
+
+    def step(s: Column, token: Column) -> Column:
+        opens, closes = token == "{", token == "}"
+        begins = opens & (s["depth"] == 0)
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        ends = closes & (depth == 0) & s["open"]
+        held = F.when(begins, token).when(s["open"], F.concat(s["text"], token)).otherwise(none)
+        moved = F.struct(
+            depth.alias("depth"), (s["index"] + F.when((token == ",") & (s["depth"] == 0), 1).otherwise(0)).alias("index"), ((token == "]") & (s["depth"] == 0)).alias("over"), (begins | (s["open"] & ~ends)).alias("open"),
+            F.when(ends, none).otherwise(held).alias("text"), F.when(ends, F.array_append(s["found"], F.struct(s["index"].alias("index"), held.alias("object")))).otherwise(s["found"]).alias("found"),
+        )
+        return F.when(s["over"], s).otherwise(moved)
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit("(?s)" + TOKEN), 0), start, step)["found"]
+
+
+def fields(text: Column) -> Column:
+    """All keys of an object with their values as texts (nested ones as JSON, numbers in their shortest spelling); null for what is no object."""
+    return F.when(F.startswith(F.ltrim(text), F.lit("{")), F.from_json(text, "map<string,string>"))
+
+
+def whole_rows(value: Column) -> Column:
+    """Rows of an array that is whole: objects only, each with its place among all items."""
+    objects = F.transform(array_objects(F.substring(F.ltrim(value), F.lit(2), F.length(value))), lambda o: F.struct((o["index"] + 1).alias("place"), fields(o["object"]).alias("fields")))
+    return F.when(F.startswith(F.ltrim(value), F.lit("[")), F.filter(objects, lambda o: o["fields"].isNotNull())).otherwise(F.expr("cast(array() as array<struct<place:int,fields:map<string,string>>>)"))
+
+
 def parse_response(raw: Column) -> Column:
-    """The object in a response: as it is, else from the first brace to the last, else what can be salvaged of a text cut short: header fields by pattern and every complete row."""
+    """``header, rows``: the object in a response, as it is, else from the first brace to the last, else what can be salvaged.
+
+    * a header field is the response's own, under the top level; ``rows`` are its objects with all their keys
+    * of a text cut short the header fields are found by pattern and every whole object of the first ``rows`` array is taken; a row that does not parse is left out, and places count the rows that are left
+    * null where nothing is found: no object, no field and no row
+    """
     text = unfenced(raw)
+    top = ", ".join(f"`{c}` string" for c in (*HEADER, "rows"))
+
+    def whole(t: Column) -> Column:
+        o = F.from_json(t, f"struct<{top}>")
+        found = F.struct(F.struct(*(o[c].alias(c) for c in HEADER)).alias("header"), whole_rows(F.coalesce(o["rows"], F.lit(""))).alias("rows"))
+        return F.when(F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull(), found)
+
     braced = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    whole = lambda t: F.when(F.try_parse_json(t).isNotNull(), F.from_json(t, SCHEMA))
-    tail = F.regexp_extract(text, r'(?s)"rows"\s*:\s*\[(.*)', 1)
-    field = lambda n: F.nullif(F.regexp_extract(text, rf'"{n}"\s*:\s*"((?:\\.|[^"\\])*)"', 1), F.lit(""))
-    rows = F.transform(F.regexp_extract_all(tail, F.lit(OBJECT), 1), lambda o: F.from_json(o, ROW))
-    salvaged = F.struct(F.struct(field("vessel").alias("vessel"), field("voyage").alias("voyage")).alias("header"), rows.alias("rows"))
-    return F.coalesce(whole(text), whole(braced), salvaged)
+    behind = F.substring(text, F.locate('"rows"', text), F.length(text))
+    tail = F.when((F.locate('"rows"', text) > 0) & (F.locate("[", behind) > 0), F.substring(behind, F.locate("[", behind) + 1, F.length(text))).otherwise("")
+    parsed = F.filter(F.transform(array_objects(tail), lambda o: fields(o["object"])), lambda f: f.isNotNull())
+    rows = F.transform(parsed, lambda f, i: F.struct((i + 1).alias("place"), f.alias("fields")))
+    field = lambda n: F.when(F.regexp_like(text, F.lit(rf'"{n}"\s*:\s*"[^"]*"')), F.regexp_extract(text, rf'"{n}"\s*:\s*"([^"]*)"', 1))
+    salvaged = F.struct(F.struct(*(field(c).alias(c) for c in HEADER)).alias("header"), rows.alias("rows"))
+    some = F.coalesce(*(salvaged["header"][c] for c in HEADER)).isNotNull() | (F.size(salvaged["rows"]) > 0)
+    no_other = F.try_parse_json(text).isNull()  # a whole text that is no object has no rows
+    return F.coalesce(whole(text), F.when(no_other, F.coalesce(whole(braced), F.when(some, salvaged))))
 
 
 def flatten_rows(responses: DataFrame) -> DataFrame:
-    """``doc_id, chunk_no, raw`` -> a row per extracted row: its place from 1 is the split number, its page 0 without one."""
+    """``doc_id, chunk_no, raw`` -> a row per extracted row, with ``fields``, the map of all its keys.
+
+    The number of its split is its own, or its place from 1; its page its own, as a number or a text of one, or 0; header fields are
+    its own, or the response's. A value that is no number where one is needed is null in the column and as it stands in ``fields``.
+    """
     parsed = responses.select("doc_id", "chunk_no", parse_response(F.col("raw")).alias("r"))
-    rows = parsed.select("doc_id", "chunk_no", "r.header", F.posexplode("r.rows").alias("pos", "row"))
-    return rows.select("doc_id", "chunk_no", (F.col("pos") + 1).alias("split_number"), "row.bl_number", "row.container_number", "row.weight", F.coalesce("row.page", F.lit(0)).alias("page"), "header.vessel", "header.voyage")
+    rows = parsed.select("doc_id", "chunk_no", "r.header", F.inline("r.rows"))
+    own = lambda c: F.map_contains_key("fields", c)
+    number = lambda c, other: F.when(own(c), F.col("fields")[c].try_cast("int")).otherwise(other)
+    return rows.select(
+        "doc_id", "chunk_no", number("split_number", F.col("place")).alias("split_number"), *(F.col("fields")[c].alias(c) for c in ("bl_number", "container_number", "weight")), number("page", F.lit(0)).alias("page"),
+        *(F.when(own(c), F.col("fields")[c]).otherwise(F.col("header")[c]).alias(c) for c in HEADER), "fields",
+    )
 
 
 def merge_headers(rows: DataFrame) -> DataFrame:
     """The first chunk's header fills blanks of that and later chunks of its document."""
     before = Window.partitionBy("doc_id").orderBy("chunk_no").rangeBetween(Window.unboundedPreceding, 0)
-    fill = {c: F.coalesce(F.nullif(c, F.lit("")), F.first(F.nullif(c, F.lit("")), ignorenulls=True).over(before)) for c in ("vessel", "voyage")}
+    fill = {c: F.coalesce(F.nullif(c, F.lit("")), F.first(F.nullif(c, F.lit("")), ignorenulls=True).over(before)) for c in HEADER if c in rows.columns}
     return rows.withColumns(fill)

@@ -624,26 +624,32 @@ def cor6_apply_fixes(spark, d):
 def responses(spark, d):
     """Shipments as responses, one a page: every third cut short, every fifth fenced."""
     r = fx.records(spark, d).withColumn("chunk_no", F.floor(F.col("row_no") / 80).cast("int"))
-    row = F.struct(F.coalesce("bl_number", F.lit("{none}")).alias("bl_number"), "container_number", "weight", F.col("chunk_no").alias("page"))
+    row = F.struct(F.coalesce("bl_number", F.lit("{none}")).alias("bl_number"), "container_number", "weight", F.col("chunk_no").cast("string").alias("page"), "shipper", F.struct(F.col("row_no").alias("no"), F.array(F.struct(F.lit("}]{").alias("x"))).alias("deep")).alias("source"))
     j = r.groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("row_no", row.alias("r"))))["r"].alias("rows"))
-    raw = F.to_json(F.struct(F.struct(F.when(F.col("chunk_no") % 2 == 0, F.lit("MV DAWN")).otherwise("").alias("vessel"), F.lit("V1").alias("voyage")).alias("header"), "rows"))
+    raw = F.to_json(F.struct(F.when(F.col("chunk_no") % 2 == 0, F.lit("MV DAWN")).otherwise("").alias("vessel"), F.lit("V1").alias("voyage"), F.lit("OWNER").alias("shipowner"), "rows"))
     n = F.col("doc_id") + F.col("chunk_no")
     raw = F.when(n % 3 == 0, F.substring(raw, F.lit(1), F.length(raw) - 10)).when(n % 5 == 0, F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).when(n % 5 == 1, F.concat(F.lit("Here: "), raw, F.lit(" done"))).otherwise(raw)
     return j.select("doc_id", "chunk_no", raw.alias("raw"))
 
 
 FLAT = f"""WITH {RECORD}, r AS (SELECT *, (row_no // 80)::INT AS chunk_no FROM record), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY row_no)::INT AS split_number, count(*) OVER (PARTITION BY doc_id, chunk_no) AS total FROM r),
-flat AS (SELECT doc_id, chunk_no, split_number, coalesce(bl_number, '{{none}}') AS bl_number, container_number, weight, chunk_no AS page, CASE WHEN chunk_no % 2 = 0 THEN 'MV DAWN' WHEN (doc_id + chunk_no) % 3 = 0 THEN NULL ELSE '' END AS vessel, 'V1' AS voyage FROM n WHERE (doc_id + chunk_no) % 3 <> 0 OR split_number < total)"""
+flat AS (SELECT doc_id, chunk_no, split_number, coalesce(bl_number, '{{none}}') AS bl_number, container_number, weight, chunk_no AS page, CASE WHEN chunk_no % 2 = 0 THEN 'MV DAWN' ELSE '' END AS vessel, 'V1' AS voyage, NULL::VARCHAR AS date_of_arrival, 'OWNER' AS shipowner,
+  shipper, row_no::VARCHAR AS source_no FROM n WHERE (doc_id + chunk_no) % 3 <> 0 OR split_number < total)"""
+
+
+def flat(spark, d):
+    """Two keys that the operator does not know, one of them nested, beside its columns."""
+    return js.flatten_rows(responses(spark, d)).withColumns({"shipper": F.col("fields")["shipper"], "source_no": F.get_json_object(F.col("fields")["source"], "$.no")}).drop("fields")
 
 
 @query(FLAT + " SELECT * FROM flat")
 def jsn3_flatten_rows(spark, d):
-    return js.flatten_rows(responses(spark, d))
+    return flat(spark, d)
 
 
 @query(FLAT + ", f AS (SELECT doc_id, min(chunk_no) FILTER (vessel <> '') AS c FROM flat GROUP BY doc_id) SELECT flat.* REPLACE (coalesce(nullif(vessel, ''), CASE WHEN chunk_no >= c THEN 'MV DAWN' END) AS vessel) FROM flat JOIN f USING (doc_id)")
 def jsn4_merge_chunk_headers(spark, d):
-    return js.merge_headers(js.flatten_rows(responses(spark, d)))
+    return js.merge_headers(flat(spark, d))
 
 
 # scalar functions

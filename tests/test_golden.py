@@ -53,8 +53,8 @@ def test_carrier_by_three_letters_and_raw_fallback(spark):
 
 
 def test_truncated_json_inside_a_string(spark):
-    raw = '{"header":{"vessel":"A"},"rows":[{"bl_number":"a}b{","page":2},{"bl_number":"{cut'
-    df = spark.createDataFrame([(1, 0, raw), (2, 0, '```json\n{"header":{"vessel":"B"},"rows":[]}\n```'), (3, 0, None)], "doc_id int, chunk_no int, raw string")
+    raw = '{"vessel":"A","rows":[{"bl_number":"a}b{","page":2},{"bl_number":"{cut'
+    df = spark.createDataFrame([(1, 0, raw), (2, 0, '```json\n{"vessel":"B","rows":[]}\n```'), (3, 0, None)], "doc_id int, chunk_no int, raw string")
     got = jsonrows.flatten_rows(df).collect()
     assert [(r["doc_id"], r["bl_number"], r["page"], r["vessel"], r["split_number"]) for r in got] == [(1, "a}b{", 2, "A", 1)]
 
