@@ -6,7 +6,7 @@
    common pair is one row of each task.
 2. A shard adds up its pairs and writes them as an array of sorted hashes and one of counts. For each word it sends on
    what it knows of it as a predecessor (followers seen once, twice, more often) and as a follower (times, predecessors).
-3. Word shards add those up and write sorted hashes, counts and continuation counts. The counts of counts, from which the
+3. Word shards, as many as there are of pairs, add those up and write sorted hashes, counts and continuation counts. The counts of counts, from which the
    discounts follow, are summed by Spark: one row for the driver.
 4. Scoring maps the arrays into memory and looks up each batch's words and pairs in sorted order, so a page of an array is
    read once a batch. Texts never leave their partition.
@@ -89,6 +89,16 @@ def pair_keys(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
     return (shard << np.uint64(64 - 2 * bits)) | (mixed(v * PLACES[0] + w * PLACES[1]) >> np.uint64(2 * bits))
 
 
+def word_shards(w: np.ndarray, bits: int) -> np.ndarray:
+    return w >> np.uint64(48 - bits)
+
+
+def runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Where the runs of equal values start and end."""
+    starts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))).tolist() if len(x) else []
+    return list(zip(starts, [*starts[1:], len(x)]))
+
+
 def tokens(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Predecessors and words of all texts, one after another, and where each text ends."""
     words = [word_hashes(t) for t in texts]
@@ -151,8 +161,7 @@ def looked_up(folder: str, kind: str, columns: tuple[str, ...], keys: np.ndarray
     """The numbers of sorted ``keys``, 0 where a key is not there; ``keys >> shift`` is the shard of each."""
     out = np.zeros((len(columns), len(keys)), np.int64)
     shards = keys >> np.uint64(shift)
-    starts = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    for a, b in zip(starts, [*starts[1:], len(keys)]):
+    for a, b in runs(shards):
         there = mapped(folder, f"{kind}-{int(shards[a])}-key")
         if there is None or not len(there):
             continue
@@ -176,7 +185,7 @@ def shared_path(uri: str) -> str:
 
 
 def trained(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
-    """Count all rows of ``docs``; a null text counts as empty. The driver gets one row of sums."""
+    """Count all rows of ``docs``; a null text counts as empty. A task of the second step gets a few pieces from each of ``2 ** bits`` tasks of the first for either side; the driver gets one row of sums."""
     spark = docs.sparkSession
     texts = docs.select(utf8(F.col(text_col)).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -190,9 +199,8 @@ def trained(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BY
         key, at, n = summed(pair_keys(v, w, bits), np.ones((1, len(v)), np.int64))
         v, w, n = v[at] & LOW, w[at] & LOW, n[0].astype("<u4")
         shards = key >> np.uint64(64 - 2 * bits)
-        starts = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1])))
-        parts = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(key)])]
-        cols = [pa.array([int(shards[a]) for a in starts], pa.int32()), *(pa.array([packed(x[p]) for p in parts], pa.binary()) for x in (v, w)), pa.array([n[p].tobytes() for p in parts], pa.binary())]
+        parts = [slice(a, b) for a, b in runs(shards)]
+        cols = [pa.array([int(shards[p.start]) for p in parts], pa.int32()), *(pa.array([packed(x[p]) for p in parts], pa.binary()) for x in (v, w)), pa.array([n[p].tobytes() for p in parts], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=["shard", "v", "w", "n"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,16 +223,21 @@ def trained(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BY
         key, at, (n,) = summed(pair_keys(v, w, bits), n[None])
         save(folder, f"pairs-{shard}-key", key)
         save(folder, f"pairs-{shard}-n", n)
-        v, _, of_v = summed(v[at], np.stack([n, n == 1, n == 2, n >= 3]))
-        w, _, of_w = summed(w[at], np.stack([n, np.ones_like(n)]))
-        rows = {"shard": [i, j], "before": [True, False], "word": [packed(v & LOW), packed(w & LOW)], "numbers": [of_v.astype("<i8").tobytes(), of_w.astype("<i8").tobytes()]}
-        return pa.table({**rows, "pairs": [len(n), 0], **{f"pair{k}": [int((n == k).sum()), 0] for k in (1, 2, 3, 4)}}, schema=SENT)
+        sent: dict[str, list] = {c: [] for c in SENT.names}
+        for before, of, values in ((True, v[at], np.stack([n, n == 1, n == 2, n >= 3])), (False, w[at], np.stack([n, np.ones_like(n)]))):
+            of, _, values = summed(of, values)
+            for a, b in runs(shards := word_shards(of, bits)):
+                first = not sent["shard"]
+                row = (int(shards[a]), before, packed(of[a:b] & LOW), values[:, a:b].astype("<i8").tobytes(), len(n) * first, *(int((n == k).sum()) * first for k in (1, 2, 3, 4)))
+                for c, x in zip(SENT.names, row):
+                    sent[c].append(x)
+        return pa.table(sent, schema=SENT)
 
     def words_of(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
         before = group.column("before").to_numpy(zero_copy_only=False)
         get = lambda c, which: [x for x, y in zip(group.column(c).to_pylist(), before) if y == which]
-        v, w = (unpacked(get("word", which), shard) for which in (True, False))
+        v, w = (unpacked(get("word", which), shard >> bits) for which in (True, False))
         of_v, of_w = numbers(get("numbers", True), 4), numbers(get("numbers", False), 2)
         zeros = np.zeros((1, len(w)), np.int64)
         key, _, found = summed(np.concatenate([v, w]), np.concatenate([np.concatenate([of_v, np.zeros((2, len(v)), np.int64)]), np.concatenate([zeros, zeros, zeros, zeros, of_w])], axis=1))
@@ -250,7 +263,7 @@ def scored(texts: list[bytes], model: Model) -> dict[str, np.ndarray]:
     t, bits = model.totals, model.bits
     v, w, ends = tokens(texts, bits)
     known, place = np.unique(np.concatenate([w, narrowed(np.array([START]), bits)]), return_inverse=True)
-    n, total, kinds, once, twice, often = looked_up(model.folder, "words", ("n", "total", "kinds", "once", "twice", "often"), known, 48)
+    n, total, kinds, once, twice, often = looked_up(model.folder, "words", ("n", "total", "kinds", "once", "twice", "often"), known, 48 - bits)
     low, high = model.discounts("word"), model.discounts("pair")
     left = low[1] * t.word1 + low[2] * t.word2 + low[3] * (t.words - t.word1 - t.word2)
     single = (np.maximum(kinds - low[np.minimum(kinds, 3)], 0) + left / (t.words + 1)) / t.pairs if t.pairs else np.ones(len(known))
