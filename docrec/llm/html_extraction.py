@@ -2,8 +2,10 @@
 
 The labelled pages are a bounded sample of the corpus (``sample`` pages, a parameter): where a page marks its article with an
 ``article`` element, that is its label. Each is also shown in other layouts, its paragraphs and its surroundings put into
-the wrappers that sites use, so that the model does not learn one template. Features are the tags of a block's ancestors,
-words of their class, id and role, and shapes of the text; no feature is a word of the text.
+the wrappers that sites use, most of them without a telling name, and once with the element under another name, so that the
+model learns neither one template nor one tag. Features are the tags of a block's ancestors, words of their class, id and
+role, shapes of the text of a block and its neighbours, and how much of the page's text stands in the same element; no
+feature is a word of the text.
 
 Scale: the sample comes to the driver, the weights (``FEATURES x 2``) go out as a broadcast variable, and every page is then
 worked on alone: one map over whole pages, nothing shuffled, in time and memory linear in the page.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -53,6 +56,32 @@ def block_features(b: Block) -> list[int]:
     return [named(f) for f in sorted(b.path.all())] + own_features(b)
 
 
+def shape(b: Block | None) -> str:
+    """The kind of a neighbour: its leaf, length and share of links."""
+    return "none" if b is None else f"{b.leaf}:{min(len(b.text), 1023).bit_length() // 2}:{2 * b.link // len(b.text)}"
+
+
+def context_features(page: list[Block]) -> list[list[int]]:
+    """Of each block, what its page says of it: its neighbours, its length beside the longest, and the share of the page's unlinked text that the element around it has."""
+    around = [b.path.up or b.path for b in page]
+    free = [len(b.text) - b.link for b in page]
+    held: Counter[int] = Counter()
+    for up, n in zip(around, free):
+        held[id(up)] += n
+    total, longest = max(1, sum(free)), max((len(b.text) for b in page), default=1)
+    out = []
+    for k, b in enumerate(page):
+        before, after = page[k - 1] if k else None, page[k + 1] if k + 1 < len(page) else None
+        own = [f"before:{shape(before)}", f"after:{shape(after)}", f"mass:{min(3, 4 * held[id(around[k])] // total)}", f"beside:{min(3, 4 * len(b.text) // longest)}"]
+        own += [f"with:{x is not None and (x.path.up or x.path) is around[k]}:{side}" for side, x in (("before", before), ("after", after))]
+        out.append([named(f) for f in own])
+    return out
+
+
+def page_features(page: list[Block]) -> list[list[int]]:
+    return [block_features(b) + more for b, more in zip(page, context_features(page))]
+
+
 def path_scores(paths: list[Path], emit: np.ndarray) -> np.ndarray:
     """The summed weights of each path's features; a path adds its own to what is known of the path around it."""
     known: dict[Path, tuple[float, float]] = {}
@@ -78,6 +107,8 @@ def wraps(*openings: str) -> list[tuple[str, str]]:
 
 
 CONTENT = wraps("<article>", "<main>", "<main><article>", '<div class="content">', '<div id="content">', '<div id="main-content">', '<div class="post"><div class="entry-content">', '<section class="article-body">', '<div class="story">', '<div role="main">', '<article class="post"><div class="body">', '<div class="page"><div class="text">', '<table><tr><td class="main">', '<div id="main"><div class="article">')
+#: Wrappers that say nothing of what is in them; ``{}`` stands for any word.
+PLAIN = wraps("<div>", "<section>", '<div class="{}">', '<div id="{}">', '<div class="container"><div class="row"><div class="col">', "<div><div>", '<section class="{}">', "<table><tr><td>", '<div class="wrapper"><div class="{}">', "<center>", "<span>", '<div class="{} {}"><section>') + [("", "")]
 HEADER = wraps("<header>", '<div id="header">', '<div class="site-header">', '<div class="masthead">', '<div role="banner">', '<div class="top">', '<header class="header">')
 MENU = wraps("<nav><ul>", '<ul class="menu">', '<div class="navbar"><ul>', '<div id="nav">', '<div class="breadcrumb">', '<nav class="breadcrumbs">', '<div class="navigation">', '<div role="navigation"><ul>', '<menu>')
 SIDE = wraps("<aside>", '<div class="sidebar">', '<div id="sidebar">', '<div class="related">', '<section class="widget">', '<div class="side">', '<aside class="recommended">', '<div class="more">', '<td class="sidebar">', '<div class="popular">', '<div class="tags">', '<div class="author-bio">')
@@ -119,6 +150,9 @@ def layout(rng: random.Random, article: list[Block], around: list[str], others:
     form = lambda: inside(FORM, [f"<label>{t}</label><input>" for t in short(1)] + text(0, 1) + ["<button>Go</button>"])
     share = lambda: inside(SHARE, [f'<a href="#">{t}</a> ' for t in short(2)])
     comments = lambda: "".join(inside(COMMENTS, [f"<b>{short(1)[0]}</b>", *[f"<p>{t}</p>" for t in some(1, 3, others)]]) for _ in range(rng.randint(1, 4)))
+    def any_word() -> str:
+        return "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+
     body = []
     for k, b in enumerate(article):
         tag = b.leaf if b.leaf in ("h1", "h2", "h3", "li", "blockquote", "pre") else rng.choice(("p", "p", "p", "p", "div", "h2", "blockquote", "li") if k else ("h1", "p"))
@@ -126,7 +160,9 @@ def layout(rng: random.Random, article: list[Block], around: list[str], others:
         body.append(f"<ul><{tag}>{own}</{tag}></ul>" if tag == "li" else f"<{tag}>{own}</{tag}>")
         body.append(maybe(0.04, advert) + maybe(0.03, side) + maybe(0.02, form) + maybe(0.03, share) + maybe(0.02, notice))
     parts = [maybe(0.4, notice), inside(HEADER, [f"<div>{' '.join(short(1))}</div>", *rng.choice(([], items(1, "div")))]) if rng.random() < 0.7 else "", maybe(0.8, menu), maybe(0.4, advert), maybe(0.2, side)]
-    parts += [inside(CONTENT, [*body, maybe(0.3, share)]), maybe(0.3, advert), maybe(0.4, side), maybe(0.5, comments), maybe(0.3, form), maybe(0.2, notice), inside(FOOTER, text(1, 2) + rng.choice(([], items(1)))) if rng.random() < 0.9 else ""]
+    told, untold = rng.choice(CONTENT), rng.choice(PLAIN)
+    opening, closing = told if rng.random() < 0.3 else (re.sub(r"\{\}", lambda _: any_word(), untold[0]), untold[1])
+    parts += [opening + "".join([*body, maybe(0.3, share)]) + closing, maybe(0.3, advert), maybe(0.4, side), maybe(0.5, comments), maybe(0.3, form), maybe(0.2, notice), inside(FOOTER, text(1, 2) + rng.choice(([], items(1)))) if rng.random() < 0.9 else ""]
     return f"<html><body>{''.join(parts)}</body></html>"
 
 
@@ -135,39 +171,65 @@ INNER = frozenset(f"t:{t}" for t in "nav header footer aside form menu".split())
 INNER |= frozenset(f"n:{n}" for n in "ad ads advert advertisement adsbygoogle sponsored promo promotion cookie cookies consent gdpr notice alert paywall newsletter subscribe signup share social related recommended sidebar comment comments reply replies".split())
 
 
-def labelled(pages: list[str], layouts: int = 3, seed: int = 7) -> list[tuple[list[list[int]], list[int]]]:
-    """Features and labels of the sample's pages, each as it is and in ``layouts`` other layouts."""
+#: What no main text is in, where no page says what is.
+OUTER = INNER | frozenset(f"n:{n}" for n in "nav navbar menu navigation breadcrumb breadcrumbs header masthead footer bottom copyright banner".split())
+
+
+def marked(b: Block) -> bool:
+    """Whether the page itself says that a block is of its article."""
+    path = b.path.all()
+    return "t:article" in path and not INNER & path
+
+
+def likely(b: Block) -> bool:
+    """The same where pages do not say: headings and sentences without many links, outside what has the name of something else."""
+    return not OUTER & b.path.all() and 2 * b.link < len(b.text) and (b.leaf in ("h1", "h2", "h3") or len(b.text) >= 40)
+
+
+ARTICLE = re.compile(r"(</?)article(?=[\s>])", re.I)
+
+
+def labelled(pages: list[str], layouts: int = 5, seed: int = 7) -> list[tuple[list[list[int]], list[int]]]:
+    """Features and labels of the sample's pages, each as it is, with its article under another name, and in ``layouts`` other layouts. Where no page marks its article, the likely blocks are the labels."""
     parsed = [blocks(p) for p in pages]
-    inside = lambda path: "t:article" in path and not INNER & path
-    gold = [[int(inside(b.path.all())) for b in own] for own in parsed]
+    gold = [[int(marked(b)) for b in own] for own in parsed]
+    if not any(map(any, gold)):
+        gold = [[int(likely(b)) for b in own] for own in parsed]
     long = [b.text for own, ys in zip(parsed, gold) for b, y in zip(own, ys) if y]
     out = []
     for k, (own, ys) in enumerate(zip(parsed, gold)):
         rng = random.Random(seed * 1_000_003 + k)
-        out.append(([block_features(b) for b in own], ys))
+        out.append((page_features(own), ys))
+        name = rng.choice(("div", "div", "section", "main", "center"))
+        renamed = blocks(ARTICLE.sub(rf"\g<1>{name}", pages[k]))
+        if [b.text for b in renamed] == [b.text for b in own]:
+            out.append((page_features(renamed), ys))
         article, around = [b for b, y in zip(own, ys) if y], [b.text for b, y in zip(own, ys) if not y]
         for _ in range(layouts if article else 0):
             shown = blocks(layout(rng, article, around, rng.sample(long, min(len(long), 12))))
             y = [int(MARK in b.text) for b in shown]
             for b in shown:
                 b.text = b.text.replace(MARK, "") or " "
-            out.append(([block_features(b) for b in shown], y))
+            out.append((page_features(shown), y))
     return out
 
 
-def trained(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, layouts: int = 3, longest: int = LONGEST) -> crf.Weights:
-    """Fit on the ``sample`` pages of at most ``longest`` characters with an ``article`` element whose ids come first in a hash order; ``sample * longest`` bounds what comes to the driver."""
-    marked = pages.where(F.col(html_col).contains("<article") & (F.length(html_col) <= longest)).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(html_col).alias("html"))
-    last = marked.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # keys first, so that no task sends a sample of its own
-    rows = marked.where(F.col("h") <= F.lit(last)).orderBy("h", "html").limit(sample).collect()
-    return crf.trained(labelled([r["html"] for r in rows], layouts), FEATURES) if rows else crf.Weights(np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
+def trained(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, layouts: int = 5, longest: int = LONGEST) -> crf.Weights:
+    """Fit on the ``sample`` pages of at most ``longest`` characters with an ``article`` element whose ids come first in a hash order, or on any such pages, labelled by a rule (`likely`), where none has one; ``sample * longest`` bounds what comes to the driver."""
+    short = pages.where(F.length(html_col) <= longest).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(html_col).alias("html"))
+    for some in (short.where(F.contains(F.col("html"), F.lit("<article"))), short):
+        last = some.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # keys first, so that no task sends a sample of its own
+        rows = some.where(F.col("h") <= F.lit(last)).orderBy("h", "html").limit(sample).collect()
+        if rows:
+            return crf.trained(labelled([r["html"] for r in rows], layouts), FEATURES)
+    return crf.Weights(np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
 
 
 def main_texts(pages: list[str | None], w: crf.Weights) -> list[str]:
     parsed = [blocks(p) if p else [] for p in pages]
     lengths = np.array([len(own) for own in parsed], np.int64)
     every = [b for own in parsed for b in own]
-    scores = path_scores([b.path for b in every], w.emit) + crf.emissions(w.emit, [own_features(b) for b in every])
+    scores = path_scores([b.path for b in every], w.emit) + crf.emissions(w.emit, [own_features(b) + more for own in parsed for b, more in zip(own, context_features(own))])
     y = crf.viterbi(w, scores, lengths)
     out, at = [], 0
     for own in parsed:
@@ -181,7 +243,8 @@ def extracted(pages: DataFrame, weights: crf.Weights, id_col: str = "page_id", u
 
     Blocks labelled as content are joined by an empty line in page order; white space within a block is one space.
 
-    * a null or empty page, or one without content, has an empty text
+    * a null or empty page, or one without content, has an empty text; ties between labels fall to what is no content
+    * the weights of a table in which no page marks its article come from labels by rule, so its texts are not empty
     * markup that is cut off or does not nest is read as far as it goes; repeated rows, null ids and urls stay as they are
     * an empty table gives an empty result; columns other than these three are not read
     """
