@@ -20,11 +20,11 @@ def line_starts(tops: Column, tolerance: float) -> Column:
 
 
 def group_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """Adds ``line_no`` (from 0 on each page). A page's words meet once; its distinct tops are folded into line starts, among which each word finds its line."""
-    own = [c for c in words.columns if c not in PAGE]
-    pages = words.groupBy(*PAGE).agg(F.collect_list(F.struct(*own)).alias("_w")).withColumn("_starts", line_starts(F.array_sort(F.array_distinct(F.col("_w.top"))), tolerance))
-    at = lambda w: (F.size(F.filter("_starts", lambda s: s <= w["top"])) - 1).alias("line_no")
-    return pages.select(*PAGE, F.explode(F.transform("_w", lambda w: F.struct(*(w[c].alias(c) for c in own), at(w)))).alias("_w")).select(*PAGE, "_w.*")
+    """Adds ``line_no`` (from 0 on each page). A page's distinct tops are folded into line starts; a word's line is the last start at or above its top, found by one window over both."""
+    starts = words.groupBy(*PAGE).agg(F.array_sort(F.collect_set("top")).alias("_tops")).select(*PAGE, F.posexplode(line_starts(F.col("_tops"), tolerance)).alias("_line", "top"))
+    both = words.withColumn("_line", F.lit(None).cast("int")).unionByName(starts, allowMissingColumns=True)
+    above = Window.partitionBy(*PAGE).orderBy("top", F.col("_line").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("line_no", F.last("_line", ignorenulls=True).over(above)).where(F.col("_line").isNull()).drop("_line")
 
 
 def in_order(value: str, *keys: str, sep: str = " ") -> Column:

@@ -70,27 +70,40 @@ def _first(values: DataFrame, candidates: DataFrame, key: str, out: list[str]) -
     return values.join(best, key, "left")
 
 
+def with_carrier(rows: DataFrame, dim: DataFrame, bl: str = "bl", fallback: str = "fallback") -> DataFrame:
+    """Adds ``code, name``: by the first 4 letters, else the first key that starts with the first 3, else by name, else the fallback as it is.
+
+    Each way is an equi-join with the dimension, of which every key has one row, so the rows are not dealt anew while the dimension is small enough for Spark to broadcast it.
+    """
+    best = lambda d, key: d.groupBy(key).agg(F.min_by(F.struct("code", "name"), "ord").alias(f"_{key}v"))
+    p4, p3 = F.lower(F.substring(bl, 1, 4)), F.lower(F.substring(bl, 1, 3))
+    exact = best(dim.select(F.col("prefix").alias("_p4"), "code", "name", "ord"), "_p4")
+    begun = best(dim.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring("prefix", F.lit(1), n)))).alias("_p3"), "code", "name", "ord"), "_p3")
+    named = best(dim.select(normalize_key(F.col("name")).alias("_n"), "code", "name", "ord").where("_n <> ''"), "_n")
+    out = rows.withColumns({"_p4": p4, "_p3": F.nullif(p3, F.lit("")), "_n": normalize_key(F.col(fallback))})
+    for d, key in ((exact, "_p4"), (begun, "_p3"), (named, "_n")):
+        out = out.join(d, key, "left")
+    found = F.coalesce("__p4v", "__p3v", "__nv")
+    return out.withColumns({"code": F.coalesce(found["code"], F.lit("")), "name": F.coalesce(found["name"], F.col(fallback), F.lit(""))}).drop("_p4", "_p3", "_n", "__p4v", "__p3v", "__nv")
+
+
 def carrier(bills: DataFrame, dim: DataFrame) -> DataFrame:
-    """``bl, fallback`` -> ``code, name``: by the first 4 letters, else the first key that starts with the first 3, else by name, else the fallback as it is."""
-    keys = bills.select("bl", "fallback").distinct().withColumns({"p4": F.lower(F.substring("bl", 1, 4)), "p3": F.lower(F.substring("bl", 1, 3)), "n": normalize_key(F.col("fallback"))})
-    keys = keys.withColumn("k", F.struct("bl", "fallback"))
-    has = F.coalesce(F.col("bl"), F.lit("")) != ""
-    exact = keys.where(has).join(dim, F.col("p4") == F.col("prefix")).withColumn("priority", F.lit(0))
-    part = keys.where(has).join(dim, F.startswith(F.col("prefix"), F.col("p3"))).withColumn("priority", F.lit(1))
-    named = keys.where("n <> ''").join(dim, F.col("n") == normalize_key(F.col("name"))).withColumn("priority", F.lit(2))
-    found = exact.unionByName(part).unionByName(named)
-    out = _first(keys.select("k"), found, "k", ["code", "name"])
-    return out.select("k.bl", "k.fallback", F.coalesce("best.code", F.lit("")).alias("code"), F.coalesce("best.name", "k.fallback", F.lit("")).alias("name"))
+    """``bl, fallback`` -> their ``code, name``, see ``with_carrier``; a row for each distinct pair."""
+    return with_carrier(bills.select("bl", "fallback").distinct(), dim)
+
+
+def with_container_type(rows: DataFrame, dim: DataFrame, ctype: str = "ctype") -> DataFrame:
+    """Adds ``condit, teu``: exact, else two leading digits and S with 2 TEU for 40 and 45 and else 1, else empty and 0."""
+    key = F.replace(normalize_key(F.col(ctype)), F.lit(" "), F.lit(""))
+    size = F.regexp_extract("_key", "^([0-9]{2})", 1)
+    known = dim.select(F.col("type").alias("_key"), F.col("condit").alias("_condit"), F.col("teu").alias("_teu"))
+    condit = F.coalesce("_condit", F.when(size != "", F.concat(size, F.lit("S"))), F.lit(""))
+    teu = F.coalesce("_teu", F.when(size.isin("40", "45"), 2).when(size != "", 1).otherwise(0))
+    return rows.withColumn("_key", key).join(known, "_key", "left").withColumns({"condit": condit, "teu": teu.cast("int")}).drop("_key", "_condit", "_teu")
 
 
 def container_type(types: DataFrame, dim: DataFrame) -> DataFrame:
-    """``ctype`` -> ``condit, teu``: exact, else two leading digits and S with 2 TEU for 40 and 45 and else 1, else empty and 0."""
-    key = F.replace(normalize_key(F.col("ctype")), F.lit(" "), F.lit(""))
-    size = F.regexp_extract(key, "^([0-9]{2})", 1)
-    out = types.select("ctype").distinct().withColumns({"key": key, "size": size}).join(dim, F.col("key") == F.col("type"), "left")
-    condit = F.coalesce("condit", F.when(F.col("size") != "", F.concat("size", F.lit("S"))), F.lit(""))
-    teu = F.coalesce("teu", F.when(F.col("size").isin("40", "45"), 2).when(F.col("size") != "", 1).otherwise(0))
-    return out.select("ctype", condit.alias("condit"), teu.cast("int").alias("teu"))
+    return with_container_type(types.select("ctype").distinct(), dim)
 
 
 def port(names: DataFrame, dim: DataFrame) -> DataFrame:
@@ -103,9 +116,14 @@ def port(names: DataFrame, dim: DataFrame) -> DataFrame:
     return out.select("port", empty("code"), empty("country_code"), empty("country"), F.coalesce("best.city", "port").alias("city"))
 
 
+def with_movement(rows: DataFrame, dim: DataFrame, movement: str = "movement") -> DataFrame:
+    """Adds ``mode``, the default where the dimension does not have it."""
+    known = dim.select(F.col("key").alias("_key"), F.col("mode").alias("_mode"))
+    return rows.withColumn("_key", normalize_key(F.col(movement))).join(known, "_key", "left").withColumn("mode", F.coalesce("_mode", F.lit(DEFAULTS["mode"]))).drop("_key", "_mode")
+
+
 def movement(names: DataFrame, dim: DataFrame) -> DataFrame:
-    out = names.select("movement").distinct().join(dim, normalize_key(F.col("movement")) == F.col("key"), "left")
-    return out.select("movement", F.coalesce("mode", F.lit(DEFAULTS["mode"])).alias("mode"))
+    return with_movement(names.select("movement").distinct(), dim)
 
 
 def to_layout(records: DataFrame, dims: dict[str, DataFrame], overrides: dict[str, str] | None = None) -> DataFrame:
@@ -118,10 +136,10 @@ def to_layout(records: DataFrame, dims: dict[str, DataFrame], overrides: dict[st
         *(s(c).alias(c) for c in ("shipper", "consignee", "description", "weight", "volume", "pack_qty", "movement")), s("container_number").alias("container"), s("container_type").alias("ctype"),
         s("port_of_loading").alias("pol"), s("port_of_discharge").alias("pod"), or_(s("place_of_delivery"), s("port_of_discharge")).alias("delivery"), or_(s("place_of_acceptance"), s("port_of_loading")).alias("acceptance"), s("date_of_arrival").alias("date"),
     )
-    r = stored(r, "layout-records")  # eight look-ups read it
+    r = stored(r, "layout-records")  # the ports' names are read from it, then the rest
     ports = port(r.select(F.explode(F.array("pol", "delivery", "acceptance")).alias("port")), dims["port"])
     side = lambda name: ports.select(F.col("port").alias(name), F.struct("code", "country_code", "country", "city").alias(f"{name}_"))
-    j = r.join(carrier(r, dims["carrier"]), ["bl", "fallback"]).join(container_type(r, dims["container"]), "ctype").join(movement(r, dims["movement"]), "movement")
+    j = with_movement(with_container_type(with_carrier(r, dims["carrier"]), dims["container"]), dims["movement"])
     j = j.join(side("pol"), "pol").join(side("delivery"), "delivery").join(side("acceptance"), "acceptance")
     year, month, day = split_date(F.col("date"), MONTHS)
     e, d = F.lit(""), {k: F.lit(v) for k, v in DEFAULTS.items()}

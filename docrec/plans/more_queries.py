@@ -129,12 +129,6 @@ def reg2_feedback_append(spark, d):
     return rg.feedback_append(e).drop("ts")
 
 
-@query(f"WITH {RECORD}, g AS (SELECT doc_id, count(*) FILTER (row_no % 5 = 0) AS n_rows, count(DISTINCT container_number) AS bills FROM record GROUP BY doc_id) SELECT doc_id, n_rows, n_rows >= greatest(1, floor(bills * 0.2)) AS ok FROM g")
-def evl1_template_coverage(spark, d):
-    r = fx.records(spark, d)
-    return rg.template_coverage(r.where("row_no % 5 = 0"), r.groupBy("doc_id").agg(F.count_distinct("container_number").alias("bills")), 0.2)
-
-
 @query("SELECT l_orderkey AS doc_id, 'p' || l_linenumber AS provider, l_tax > 0.03 AS ok, l_quantity AS n_rows, l_partkey AS bonus FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_tax > 0.03 DESC, l_quantity DESC, l_partkey DESC, 'p' || l_linenumber) = 1")
 def evl3_rank_candidates(spark, d):
     (line,) = fx.tables(spark, d, "lineitem")
@@ -158,13 +152,6 @@ def snk1_export_union(spark, d):
     return sinks.drop_internal(sinks.union_all(a, b))
 
 
-@query(f"WITH {RECORD} SELECT doc_id, count(*) AS n FROM record WHERE doc_id % 2 = 0 GROUP BY doc_id")
-def snk5_select_layout_compatible(spark, d):
-    r = fx.records(spark, d)
-    kept = sinks.layout_compatible(r.where("doc_id % 2 = 0"), r.where("doc_id % 2 = 1").drop("bl_number", "vessel"))
-    return sinks.union_all(*(lk.to_layout(p, lk.dimensions(spark)) for p in kept)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {RECORD} SELECT doc_id, row_no, greatest(1, least(9, round_even((row_no + 1) / 400 * 9, 0)))::INT AS page FROM record")
 def sc9_page_estimate(spark, d):
     return fx.records(spark, d).select("doc_id", "row_no", sc.page_estimate(F.col("row_no"), F.lit(400), F.lit(9)).alias("page"))

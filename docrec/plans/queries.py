@@ -399,12 +399,6 @@ def flt1_search_rows(spark, d):
     return ql.search_rows(fx.records(spark, d), "DawnABCU", only_incomplete=True, only_edited=True).select("doc_id", "row_no")
 
 
-@query(f"WITH {RECORD} SELECT doc_id, row_no, container_number FROM record WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, row_no, container_number FROM record WHERE doc_id % 4 = 0")
-def set1_append_queue(spark, d):
-    r = fx.records(spark, d).select("doc_id", "row_no", "container_number")
-    return r.where("doc_id % 2 = 0").unionByName(r.where("doc_id % 4 = 0"))
-
-
 # look-ups and layout
 
 
@@ -510,12 +504,6 @@ def doc_texts(spark, d):
     return fx.manifest_text(spark, d).groupBy("doc_id").agg(ge.in_order("text", "page_no", sep="\n").alias("text"))
 
 
-@query(f"WITH {DOCTEXT}, f(name, sig) AS (VALUES ('alpha', ['weight', 'nation_24', 'nation_23', 'nation_9']), ('beta', ['zimu', 'nothing', 'nation_3']), ('gamma', ['nation_99'])), t AS (SELECT name, len(sig) AS n, unnest(sig) AS token FROM f), s AS (SELECT doc_id, name, n, count(*) AS found FROM doc JOIN t ON contains(upper(text), upper(token)) GROUP BY ALL) SELECT doc_id, name, found FROM s WHERE (n > 1 AND found / n >= 0.6 AND found >= 2) OR (n = 1 AND found = 1) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY found / n DESC, found DESC, name) = 1")
-def det2_detect_signature(spark, d):
-    formats = spark.createDataFrame([("alpha", ["weight", "nation_24", "nation_23", "nation_9"]), ("beta", ["zimu", "nothing", "nation_3"]), ("gamma", ["nation_99"])], "name string, signature array<string>")
-    return de.detect_signature(doc_texts(spark, d), formats, words=False)
-
-
 @query(f"WITH {DOCTEXT} SELECT doc_id, CASE WHEN contains(upper(text[:300]), 'NATION_1') OR contains(upper(text[:300]), 'MEDU000000001') THEN 'first' WHEN contains(upper(text[:300]), 'ZIMU') THEN 'second' ELSE '' END AS hint FROM doc")
 def det3_carrier_hint(spark, d):
     return doc_texts(spark, d).select("doc_id", de.carrier_hint(F.col("text"), [("first", ["NATION_1", "MEDU000000001"]), ("second", ["ZIMU"])], 300).alias("hint"))
@@ -536,14 +524,6 @@ def det5_container_marker(spark, d):
     return doc_texts(spark, d).select("doc_id", de.container_marker(text).alias("marker"))
 
 
-@query(f"WITH {BILL}, c AS (SELECT k, count(*) AS n FROM box GROUP BY k) SELECT k // 50 AS doc_id, CASE WHEN count(*) FILTER (n > 1 AND k % 3 = 0 ) > count(*) FILTER (n > 1 AND k % 3 <> 0) THEN 'per_container' ELSE 'per_bl' END AS scope FROM c JOIN bill USING (k) GROUP BY 1")
-def det6_weight_scope_vote(spark, d):
-    key = F.regexp_extract("bl_number", "([0-9]+)$", 1).cast("long")
-    text = F.when(key % 3 == 0, F.regexp_replace("text", "PKGS", "PKGS 5 KGS"))
-    texts = block_texts(spark, d).withColumn("text", F.coalesce(F.regexp_replace(text, "WEIGHT [0-9]+ KGS", ""), F.col("text")))
-    return de.weight_scope(texts)
-
-
 @query(f"WITH {BILL} SELECT k // 50 AS doc_id, count(DISTINCT bl)::INT AS bills, count(DISTINCT container)::INT AS containers FROM box JOIN bill USING (k) GROUP BY 1")
 def det7_distinct_totals(spark, d):
     return doc_texts(spark, d).select("doc_id", de.distinct_matches(F.col("text"), BL).alias("bills"), de.distinct_matches(F.col("text"), de.ISO).alias("containers"))

@@ -31,14 +31,6 @@ def src7_load_rules(spark, d):
     return r.select("doc_id", "format_name", "rule_no", "field_name", F.array_join("anchor_text", "|").alias("label"), "direction", "max_distance", "max_words", F.size("stop_at").alias("stops"), "fuzzy_threshold", "scope")
 
 
-@query("SELECT n_name AS name, 'vessel' AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'SHIP ' || n_nationkey ELSE 'VESSEL:' END AS value FROM nation UNION ALL SELECT n_name, 'voyage', 'VOYAGE:' FROM nation UNION ALL SELECT n_name, 'own', 'x' FROM nation WHERE n_nationkey % 3 = 0")
-def src8_load_parser_config(spark, d):
-    (nation,) = fx.tables(spark, d, "nation")
-    k, own = F.col("n_nationkey"), lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
-    over = nation.where(k % 2 == 0).select(F.col("n_name").alias("name"), own("vessel", F.concat(F.lit("SHIP "), k.cast("string"))).alias("o")).unionByName(nation.where(k % 3 == 0).select(F.col("n_name").alias("name"), own("own", F.lit("x")).alias("o")))
-    return ru.load_config(nation.select(F.col("n_name").alias("name")), over.select("name", "o.*"), {"vessel": "VESSEL:", "voyage": "VOYAGE:"})
-
-
 @query(f"""WITH {BILL}{FIRST}, v AS (SELECT doc_id, page_no, unnest(['shipper', 'weight', 'carrier', 'number', 'consignee']) AS field, unnest([shipper, weight::VARCHAR, bl[:4], 'B/L NO. ' || bl, consignee]) AS value FROM first_bill)
 SELECT doc_id, page_no, field, value FROM v""")
 def anc8_apply_rule_config(spark, d):
@@ -186,15 +178,6 @@ def tpl12_build_box_template(spark, d):
     return b.withColumns({c: F.round(c, 6) for c in ("bx", "by_", "bw", "bh", "dx", "dy")})
 
 
-@query(f"WITH {BILL}{FIRST} SELECT doc_id, page_no, 1 AS row, unnest(['shipper', 'number']) AS field, unnest([shipper, bl]) AS value FROM first_bill WHERE doc_id % 2 = 0")
-def tpl13_apply_template_all_pages(spark, d):
-    t = lined(spark, d)
-    stored = [("even", "shipper", 0.9, 0.9, 0.5, 0.02, "Shippre", 0.03, -0.01), ("even", "number", 0.08, 0.0, 0.5, 0.014, "", 0.0, 0.0), ("odd", "shipper", 0.0, 0.0, 1.0, 1.0, "", 0.0, 0.0)]
-    templates = spark.createDataFrame(stored, "name string, field string, bx double, by double, bw double, bh double, anchor_text string, dx double, dy double")
-    pages = t.where("doc_id % 2 = 0").select("doc_id", "page_no", F.lit("even").alias("name")).distinct()
-    return bt.apply_templates(t, dims(t), templates, pages)
-
-
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 4 = 1 THEN '1,234.5' WHEN l_quantity >= 12 THEN l_quantity::BIGINT::VARCHAR ELSE '12' END AS candidate,
 CASE WHEN l_partkey % 4 = 0 THEN NULL WHEN l_partkey % 4 = 1 THEN 'of' WHEN l_quantity >= 12 THEN 'net' ELSE 'of' END AS anchor FROM lineitem WHERE l_quantity <> 12""")
 def sc7_largest_number_nearby(spark, d):
@@ -208,7 +191,7 @@ def sc7_largest_number_nearby(spark, d):
 NUMBER = "[0-9]{1,3}(?:[ ,.][0-9]{3})*(?:[.,][0-9]{1,3})?"
 
 
-@query(f"""WITH {LINES}, r AS (SELECT {PAGE_OF}, k AS row_no, unnest(['weight', 'shipper']) AS field, unnest([weight::VARCHAR, shipper]) AS value FROM bill WHERE k % 3 = 0),
+@query(f"""WITH {LINES}, r AS (SELECT {PAGE_OF}, k AS row_no, unnest(['weight', 'shipper']) AS field, unnest([weight::VARCHAR, shipper]) AS value FROM bill),
 f AS (SELECT r.*, (SELECT min(word_no) FROM line l WHERE l.doc_id = r.doc_id AND l.page_no = r.page_no AND lower(replace(l.text, ',', '')) = lower(r.value)) AS word_no FROM r),
 a AS (SELECT DISTINCT doc_id, page_no, word_no AS anchor, (x0 + x1) / 2 AS ax, (top + bottom) / 2 AS ay FROM line),
 n AS (SELECT doc_id, page_no, anchor, text, row_number() OVER (PARTITION BY doc_id, page_no, anchor ORDER BY top, x0, word_no) AS place FROM line JOIN a USING (doc_id, page_no) WHERE (doc_id, page_no, anchor) IN (SELECT doc_id, page_no, word_no FROM f) AND abs((x0 + x1) / 2 - ax) <= 200 AND abs((top + bottom) / 2 - ay) <= 60 QUALIFY place <= 24),
@@ -216,6 +199,6 @@ w AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY doc_id, page_no, anchor OR
 c AS (SELECT doc_id, page_no, anchor, count(*)::INT AS n_nearby, max({{n: TRY_CAST(regexp_replace(replace(replace(raw, ' ', ''), ',', ''), '\\.+$', '') AS DOUBLE), v: raw, b: before}}) FILTER (raw <> '' AND TRY_CAST(regexp_replace(replace(replace(raw, ' ', ''), ',', ''), '\\.+$', '') AS DOUBLE) IS NOT NULL) AS best FROM w GROUP BY ALL)
 SELECT f.doc_id, f.page_no, row_no, field, value, word_no, n_nearby, CASE WHEN field = 'weight' THEN best.v END AS candidate, CASE WHEN field = 'weight' THEN best.b END AS candidate_anchor FROM f JOIN c ON f.doc_id = c.doc_id AND f.page_no = c.page_no AND f.word_no = c.anchor""")
 def dif2_compute_diffs(spark, d):
-    b = fx.bills(spark, d).where("k % 3 = 0")
+    b = fx.bills(spark, d)
     rows = b.select(F.floor(F.col("k") / 50).alias("doc_id"), (F.floor(F.col("k") % 50 / 10) + 1).cast("int").alias("page_no"), F.col("k").alias("row_no"), F.col("weight").cast("string").alias("weight"), "shipper", F.lit("0").alias("volume"), F.lit("").alias("notify"), F.lit("not on any page").alias("seal1"))
     return di.compute_diffs(rows, lines(spark, d)).select("doc_id", "page_no", "row_no", "field", "value", "word_no", F.size("nearby").alias("n_nearby"), "candidate", "candidate_anchor")

@@ -95,5 +95,5 @@ def test_whole_operators_equal_their_twins(spark, small):
     from docrec.plans.registry import ORACLES, QUERIES  # needs a session
     from tests.oracle import check
 
-    for name in ("det2_detect_signature_words", "det12_pack_chunks_split", "evl1_never_filled"):
+    for name in ("det2_detect_signature", "det12_pack_chunks_split", "evl1_never_filled"):
         check(QUERIES[name](spark, small), ORACLES[name], small)
