@@ -74,6 +74,8 @@ class Sets:
 
     def estimated(self, i: int, least: int, share: float) -> np.ndarray:
         """Whom set ``i`` may be similar to: of the ``k`` smallest hashes of the two sketches' union at least ``least`` are in both; ``share`` of them if the union has fewer, which then is the whole one."""
+        if not least:
+            return np.ones(len(self.sid), bool)
         own = self.sketch[i, : self.kept[i]]
         place = np.searchsorted(own, self.sketch)
         both = self.valid & (own[np.minimum(place, len(own) - 1)] == self.sketch)
@@ -190,8 +192,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * rows with equal sets are linked; a null id counts as larger than any other
     * rows that repeat an id are rows of their own, and all of them are kept if that id is their group's smallest
     * an empty table gives an empty result; columns other than id and text are not read
+    * ``agree`` 0 leaves nothing to odds: the lists are those of all values of whole sets, as many of each set's rarest as any partner must share one of, and no estimate is asked; it costs a row for about each fifth shingle
     """
-    sketch = shingled(docs, id_col, text_col, words, k)
+    exact = not agree
+    k = 1 if exact else k
+    sketch = shingled(docs, id_col, text_col, words, None if exact else k)
     rows = stored(sketch.withColumn("rid", F.monotonically_increasing_id()), "near-rows")
     classes = stored(rows.where("n > 0").groupBy("key").agg(F.min("rid").alias("first"), F.min("id").alias("least_id")), "near-classes")
     own = rows.join(classes.select(F.col("first").alias("rid")), "rid", "left_semi")
@@ -199,7 +204,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     values = own.select("key", "n", F.explode("hashes").alias("v"))
     counts = stored(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "near-counts")  # so that a hot value's join can be split
     company = values.join(counts, "v").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))
-    listed = F.when(F.col("n") < k, F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")).otherwise(k - agree + 1) - (F.least("n", F.lit(k)) - F.size("shared"))
+    listed = F.when(F.lit(exact) | (F.col("n") < k), F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")).otherwise(k - agree + 1) - (F.when(F.lit(exact), F.col("n")).otherwise(F.least("n", F.lit(k))) - F.size("shared"))
     rare = company.withColumn("listed", listed.cast("int")).where("listed > 0").select("key", F.explode(F.slice("shared", 1, F.col("listed"))).alias("s"))
     rare = stored(rare.select("key", F.col("s.v").alias("v")), "near-lists")
     lists = rare.join(rare.groupBy("v").count().where("count > 1").select("v"), "v", "left_semi")

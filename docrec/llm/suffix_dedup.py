@@ -187,7 +187,7 @@ def repeated_parts(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
             runs_, strings, inside = (np.add.reduceat(x[by], new) if len(h) else x for x in (np.ones(len(h), np.int64), n, twice.astype(np.int64)))
             count, total = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
             count[by[new]], total[by[new]] = runs_ + (inside > 0), strings  # one that repeats inside counts as a second run
-            here = mixed(h * PLACES[4] + (np.uint64(ord_[0]) if len(h) else np.uint64(0)) * PLACES[5])  # the hash, in this unit
+            here = mixed(h * PLACES[4] + np.array([ord_[0] if len(h) else 0]).astype(np.uint64) * PLACES[5])  # the hash, in this unit
             speaks = count > 0
             run = np.stack((np.where(speaks, here, h).view(np.int64), ord_, start << 32 | n, count << 32 | total), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(np.where(speaks, h, here).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * 4), pa.array(run.ravel()))], names=["key", "run"])

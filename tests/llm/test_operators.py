@@ -674,14 +674,16 @@ def test_language_counts_and_posteriors(docs):
     log_p = lambda lang, x: np.log((counts[lang][x] + 0.5) / (total[lang] + 0.5 * language_id.BUCKETS))
     got = list(zip(*language_id.scored([t for t, _ in rows[:60]], model)))
     assert model.languages == langs
-    for (t, _), (lang, score) in zip(rows[:60], got):
+    for (t, _), (lang, score, n, gain) in zip(rows[:60], got):
         grams = of(t)
+        assert n == len(grams)
         evidence = np.array([sum(log_p(x, g) for g in grams) + np.log(max(total[x], 1) / sum(total.values())) for x in langs])
         if not grams:
             assert (lang, score) == ("und", 0.0)
             continue
         odds = np.exp((evidence - evidence.max()) / np.sqrt(len(grams)))
         assert lang == langs[evidence.argmax()] and score == pytest.approx(1 / odds.sum(), abs=2e-6)
+        assert gain == pytest.approx(sum(log_p(lang, g) for g in grams) / len(grams) + np.log(language_id.BUCKETS), abs=1e-9)
 
 
 def test_language_stage_keeps_lettered_documents(spark):
@@ -693,6 +695,18 @@ def test_language_stage_keeps_lettered_documents(spark):
         assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter((k, t) for k in range(8) for t in texts if t and any(map(str.isalpha, t)))
 
 
+def test_language_stage_rejects_what_no_language_makes_likely(spark, small):
+    docs = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet")
+    junk = [(-1, "asdf qwer zxcv hjkl"), (-2, "qzx vbn wwq kjh zxq"), (-3, "Привет мир как дела сегодня"), (-4, "漢字 かな 漢字 かな")]
+    clean = [(-5, "De."), (-6, "All rights reserved."), (-7, "x"), (-8, "The thing and the other.")]
+    more = spark.createDataFrame([(k, t, None, "web", 1) for k, t in junk + clean], docs.schema).withColumn("gain", F.lit("clash"))
+    kept = language_id.identified(docs.withColumn("gain", F.lit("clash")).unionByName(more))
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert kept.columns == more.columns and kept.first()["gain"] == "clash"
+    lettered = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert ids == lettered | {k for k, _ in clean}
+
+
 def test_nothing_else_imports_the_subpackage():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for top, _, files in os.walk(os.path.join(root, "docrec")):
