@@ -63,19 +63,20 @@ def shape(b: Block | None) -> str:
 
 def context_features(page: list[Block]) -> list[list[int]]:
     """Of each block, what its page says of it: its neighbours, its length beside the longest, and the share of the page's unlinked text that the element around it has."""
-    around = [b.path.up or b.path for b in page]
+    around = [id(b.path.up or b.path) for b in page]
     free = [len(b.text) - b.link for b in page]
     held: Counter[int] = Counter()
     for up, n in zip(around, free):
-        held[id(up)] += n
+        held[up] += n
     total, longest = max(1, sum(free)), max((len(b.text) for b in page), default=1)
-    out = []
-    for k, b in enumerate(page):
-        before, after = page[k - 1] if k else None, page[k + 1] if k + 1 < len(page) else None
-        own = [f"before:{shape(before)}", f"after:{shape(after)}", f"mass:{min(3, 4 * held[id(around[k])] // total)}", f"beside:{min(3, 4 * len(b.text) // longest)}"]
-        own += [f"with:{x is not None and (x.path.up or x.path) is around[k]}:{side}" for side, x in (("before", before), ("after", after))]
-        out.append([named(f) for f in own])
-    return out
+    shapes = [shape(None), *map(shape, page), shape(None)]
+    before, after = [named(f"before:{x}") for x in shapes[:-2]], [named(f"after:{x}") for x in shapes[2:]]
+    same = [False, *(x == y for x, y in zip(around, around[1:])), False]
+    with_, mass, beside = ([named(f"{kind}:{k}") for k in range(4)] for kind in ("with", "mass", "beside"))
+    return [
+        [x, y, mass[min(3, 4 * held[up] // total)], beside[min(3, 4 * len(b.text) // longest)], with_[same[k]], with_[2 + same[k + 1]]]
+        for k, (b, up, x, y) in enumerate(zip(page, around, before, after))
+    ]
 
 
 def page_features(page: list[Block]) -> list[list[int]]:
