@@ -46,11 +46,22 @@ def blocks_by_gap(lines: DataFrame, times: float = 2.5) -> DataFrame:
     return out.select(*PAGE, "block_no", F.lit("").alias("bl_number"), "y_start", "y_end", F.lit(False).alias("carry_over"))
 
 
-def blocks_dispatch(words: DataFrame, lines: DataFrame, pattern: str, group: int = 0) -> DataFrame:
-    """Blocks by marker; documents in which no marker is found are cut by gaps."""
-    marked = blocks_by_marker(words, pattern, group)
-    rest = lines.join(marked.select("doc_id").distinct(), "doc_id", "left_anti")
-    return marked.unionByName(blocks_by_gap(rest))
+def blocks_dispatch(words: DataFrame, lines: DataFrame, pattern: str, group: int = 0, strategies: DataFrame | None = None) -> DataFrame:
+    """Blocks by each document's strategy (``doc_id, strategy``; without one, or blank: ``marker``): by marker, or by gaps where no marker is found; by ``gap``; any other by page. Without a pattern, documents by marker are cut by page."""
+    chosen = words.select("doc_id").distinct()
+    named = F.lit("marker")
+    if strategies is not None:
+        chosen = chosen.join(strategies.select("doc_id", F.lower("strategy").alias("strategy")), "doc_id", "left")
+        named = F.coalesce(F.nullif("strategy", F.lit("")), F.lit("marker"))
+    chosen = chosen.select("doc_id", F.when(named == "marker", "marker" if pattern else "page").when(named == "gap", "gap").otherwise("page").alias("strategy"))
+    of = lambda df, *names: df.join(chosen.where(F.col("strategy").isin(*names)).select("doc_id"), "doc_id", "left_semi")
+    out = blocks_by_page(of(words, "page"))
+    rest = of(lines, "gap")
+    if pattern:
+        marked = blocks_by_marker(of(words, "marker"), pattern, group)
+        out = out.unionByName(marked)
+        rest = of(lines, "gap", "marker").join(marked.select("doc_id").distinct(), "doc_id", "left_anti")
+    return out.unionByName(blocks_by_gap(rest))
 
 
 def block_words(words: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -64,10 +75,19 @@ def containers_in_text(text: Column, pattern: str = r"\b[A-Z]{4}[0-9]{7}\b") ->
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), 0), lambda m: F.upper(F.trim(m))))
 
 
-def emit_rows(blocks: DataFrame) -> DataFrame:
-    """``..., bl_number, containers, weight``: a row a container with the block's fields; one row without a container if a field is there. A weight is repeated, never divided."""
+def emit_rows(blocks: DataFrame, header: DataFrame | None = None) -> DataFrame:
+    """``..., page_no, bl_number, containers, weight``: a row a container with the block's fields; one row without a container if a field is there. A weight is repeated, never divided.
+
+    ``header`` (``doc_id`` and fields of the document) gives what a block does not have or has blank; ``page`` is the block's page.
+    """
     rows = blocks.select("*", F.explode_outer("containers").alias("container_number")).drop("containers")
-    return rows.where(F.col("container_number").isNotNull() | F.col("bl_number").isNotNull() | F.col("weight").isNotNull())
+    rows = rows.where(F.col("container_number").isNotNull() | F.col("bl_number").isNotNull() | F.col("weight").isNotNull())
+    if header is not None:
+        own = [c for c in header.columns if c != "doc_id"]
+        joined = rows.join(header.select("doc_id", *(F.col(c).alias(f"_h_{c}") for c in own)), "doc_id", "left")
+        given = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)) if c in rows.columns else F.lit(None)
+        rows = joined.withColumns({c: F.coalesce(given(c), F.col(f"_h_{c}")) for c in own}).drop(*(f"_h_{c}" for c in own))
+    return rows.withColumn("page", F.col("page_no"))
 
 
 def row_patterns(lines: DataFrame, patterns: list[tuple[str, list[str]]]) -> DataFrame:

@@ -9,15 +9,22 @@ FIELD = ["doc_id", "page_no", "field_key"]
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """A change log (``doc_id, page_no, field_key, value, ts, seq, op``) -> its state: the last write of each field, none after a clear."""
-    last = log.groupBy(*FIELD).agg(F.max_by(F.struct("value", "op"), F.struct("ts", "seq")).alias("l"))
-    return last.where("l.op <> 'clear'").select(*FIELD, "l.value")
+    """A change log (``doc_id, page_no, field_key, value, ts, seq, op`` and, where boxes are drawn, ``box``) -> its state: the last write of each field, none after a clear."""
+    kept = [c for c in ("value", "box") if c in log.columns]
+    last = log.groupBy(*FIELD).agg(F.max_by(F.struct(*kept, "op"), F.struct("ts", "seq")).alias("l"))
+    return last.where("l.op <> 'clear'").select(*FIELD, *(f"l.{c}" for c in kept))
 
 
 def overlay(fields: DataFrame, state: DataFrame) -> DataFrame:
-    """Stored values replace or add fields; ``corrected`` marks them."""
-    own = state.select(*FIELD, F.col("value").alias("stored"), F.lit(True).alias("hit"))
-    return fields.join(own, FIELD, "full_outer").select(*FIELD, F.coalesce("stored", "value").alias("value"), F.coalesce("hit", F.lit(False)).alias("corrected"))
+    """Stored values replace or add fields, with their lines; a stored box replaces the field's own, which stays where none was drawn; ``corrected`` marks them."""
+    none = F.lit(None).cast("array<int>")
+    box = lambda df: F.col("box") if "box" in df.columns else none
+    own = state.select(*FIELD, F.col("value").alias("stored"), box(state).alias("drawn"), F.lit(True).alias("hit"))
+    out = fields.select(*FIELD, "value", box(fields).alias("box")).join(own, FIELD, "full_outer")
+    hit = F.coalesce("hit", F.lit(False))
+    value = F.when(hit, F.coalesce("stored", F.lit(""))).otherwise(F.col("value"))
+    drawn = F.when(F.size("drawn") > 0, F.col("drawn"))
+    return out.select(*FIELD, value.alias("value"), F.split(value, r"\R").alias("lines"), F.coalesce(drawn, "box").alias("box"), hit.alias("corrected"))
 
 
 def update_rows(records: DataFrame, patches: DataFrame, columns: list[str], read_only: tuple[str, ...] = ()) -> DataFrame:

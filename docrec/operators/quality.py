@@ -45,11 +45,21 @@ def status_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if("user_edited").alias("edited"), F.count_if(incomplete(records.columns)).alias("incomplete"))
 
 
-def always_empty(records: DataFrame, texts: DataFrame, evidence: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Fields empty in all records of a document whose text shows words of evidence for them: ``doc_id, field``."""
-    counts = records.groupBy("doc_id").agg(*(F.count(nonblank(F.col(c))).alias(c) for c in evidence))
+#: Fields that are audited, and words of a text that speak for a value; without any, every text does.
+EVIDENCE = {
+    "bl_number": (), "container_number": (), "container_type": ("container", "20'", "40'", "20gp", "40gp", "40hc"), "weight": ("kgs", "kg ", "weight"), "pack_qty": ("pkg", "pkgs", "package", "carton", "bag", "bale"),
+    "volume": ("cbm", "m3", "volume"), "shipper": ("shipper", "shippe r"), "consignee": ("consignee",), "notify": ("notify",), "port_of_loading": ("port of loading", "port of loadi", "5a.port", "pol "),
+    "port_of_discharge": ("port of discharge", "5b.port", "pod "), "place_of_delivery": ("place of delivery", "final destination", "destination"), "seal1": ("seal", "(sn)", "sn:"),
+}
+
+
+def always_empty(records: DataFrame, texts: DataFrame, evidence: dict[str, tuple[str, ...]] = EVIDENCE) -> DataFrame:
+    """Fields empty in all records of a document whose text shows words of evidence for them: ``doc_id, field``. A column that is not there is empty, a number of 0 too; evidence is looked for in each page's text, in any case."""
+    kinds = dict(records.dtypes)
+    filled = lambda c: F.lit(False) if c not in kinds else (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "") & (F.lit(True) if kinds[c] == "string" else F.col(c) != 0)
+    counts = records.groupBy("doc_id").agg(*(F.count_if(filled(c)).alias(c) for c in evidence))
     long = counts.unpivot("doc_id", list(evidence), "field", "filled").where("filled = 0")
-    shows = lambda words: F.coalesce(*(F.when(F.contains(F.upper("text"), F.lit(w.upper())), True) for w in words), F.lit(False))
+    shows = lambda words: F.coalesce(*(F.when(F.contains(F.lower("text"), F.lit(w.lower())), True) for w in words), F.lit(not words))
     shown = texts.groupBy("doc_id").agg(*(F.bool_or(shows(words)).alias(c) for c, words in evidence.items()))
     return long.join(shown.unpivot("doc_id", list(evidence), "field", "shown").where("shown"), ["doc_id", "field"]).select("doc_id", "field")
 

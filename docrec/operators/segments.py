@@ -44,7 +44,17 @@ def normalize_ocr(text: Column) -> Column:
     return F.translate(F.aggregate(refs, text, lambda acc, r: F.regexp_replace(acc, F.concat(r, F.lit(r"\b")), fixed(r))), "\u00c6\u00da\u00b6", "'EO")
 
 
-def classify_page(text: Column, classes: dict[str, tuple[str, ...]], guarded: str = "", strong: tuple[str, ...] = ()) -> Column:
+#: The words that tell kinds of pages, and those without which few words of the first kind count less.
+PAGE_KEYWORDS = {
+    "questionnaire": ("questionnaire", "quel est", "capitaine", "equipage", "pavillon"),
+    "recap": ("recapitulation", "total feuillet", "arretee la presente"),
+    "cargo_table": ("manifeste d'entree", "expediteur", "destinataire", "de (from)", "a (to)", "shipper", "consignee"),
+    "customs": ("ministere", "republique de cote d'ivoire", "nombre de conteneur", "vrac solide"),
+}
+SURE_QUESTIONS = ("quel est", "questionnaire")
+
+
+def classify_page(text: Column, classes: dict[str, tuple[str, ...]] = PAGE_KEYWORDS, guarded: str = "questionnaire", strong: tuple[str, ...] = SURE_QUESTIONS) -> Column:
     """The class with most keywords on the page, the first of equals, ``unknown`` without any. A positive score of the guarded class loses 2 unless a strong word is there."""
     low = F.lower(text)
     scores = []

@@ -68,7 +68,7 @@ def str1_incremental_ingest(spark, d):
     return spark.read.schema("doc_id long, n long, chars long").parquet(f"{base}/out/batch=*")
 
 
-@query(f"WITH {LOG} SELECT doc_id, page_no, field_key, seq::VARCHAR AS value FROM state")
+@query(f"WITH {LOG} SELECT doc_id, page_no, field_key, seq::VARCHAR AS value, box FROM state")
 def str2_corrections_stream(spark, d):
     """The events as a log that arrives in files, out of order, a few a batch; the state after the last batch."""
     base = new_folder(spark, "corrections")
@@ -77,4 +77,4 @@ def str2_corrections_stream(spark, d):
     log.repartition(8, "seq").write.parquet(f"{base}/log")
     stream = ingest.corrections_stream(spark, f"{base}/log", schema, f"{base}/state", files_per_batch=3)
     stream.awaitTermination()
-    return ingest.current_state(spark, f"{base}/state", stream.lastProgress["batchId"], schema)
+    return ingest.current_state(spark, f"{base}/state", stream.lastProgress["batchId"], schema).withColumn("box", F.array_join("box", ","))

@@ -46,11 +46,13 @@ def seg1_normalize_ocr(spark, d):
     return orders.select("o_orderkey", sg.normalize_ocr(F.concat(F.lit("x EAIF"), F.translate(digits, "10528", "IOSZB"), F.lit(" SOLD"))).alias("text"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_name LIKE '%bolt%' AND p_name LIKE '%blue%' THEN 'cargo' WHEN p_name LIKE '%ring%' OR p_name LIKE '%red%' THEN 'form' WHEN p_name LIKE '%bolt%' THEN 'cargo' ELSE 'unknown' END AS kind FROM part")
+@query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'questionnaire' WHEN 1 THEN 'cargo_table' WHEN 2 THEN 'recap' WHEN 3 THEN 'customs' WHEN 4 THEN 'unknown' WHEN 5 THEN 'questionnaire' WHEN 6 THEN 'recap' ELSE 'questionnaire' END AS kind FROM orders""")
 def seg2_classify_page(spark, d):
-    (part,) = fx.tables(spark, d, "part")
-    low = F.upper(F.col("p_name"))
-    return part.select("p_partkey", sg.classify_page(low, {"form": ("ring", "red"), "cargo": ("bolt", "blue bolt"), "qa": ("e", "o")}, "qa", ("questionnaire",)).alias("kind"))
+    """The fixed words in order texts: alone, against each other, and with the first kind's words too few to count."""
+    texts = ["QUESTIONNAIRE du capitaine", "Capitaine, pavillon: Shipper {} consignee", "Recapitulation {}", "Ministere: vrac solide, shipper", "{} pavillon et equipage", "pavillon equipage capitaine {}", "total feuillet; destinataire", "Quel est le {}; shipper, destinataire, expediteur? equipage, capitaine"]
+    (orders,) = fx.tables(spark, d, "orders")
+    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return orders.select("o_orderkey", sg.classify_page(F.replace(text, F.lit("{}"), F.col("o_orderpriority"))).alias("kind"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'key ' || o_custkey ELSE o_orderpriority END AS value FROM orders")
