@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docrec.operators.matching import found_patterns
+
 #: Patterns of bill numbers, of containers and of the words before them, and of weights.
 BL_PATTERNS = (
     r"\bABJ\d{9}\b", r"\bMEDU\w{6,}\b", r"\bMAEU\w{6,}\b", r"\bONEY\w{6,}\b", r"\bHLCU\w{6,}\b", r"\bCMDU\w{6,}\b", r"\bCOSU\w{6,}\b",
@@ -32,11 +34,9 @@ def detect_signature(docs: DataFrame, formats: DataFrame, share: float = 0.6, wo
     spaced = lambda c: F.upper(F.regexp_replace(c, r"\s+", " "))
     signature = F.filter(F.transform("signature", lambda s: F.trim(spaced(s))), lambda s: s != "")
     tokens = formats.select("name", signature.alias("signature")).select("name", F.size("signature").alias("n"), F.explode("signature").alias("token"))
-    found = F.contains(F.col("t"), F.col("token"))
-    if words:  # other characters become spaces, so that a simple word stands between two
-        found &= ~F.regexp_like("token", F.lit("^[A-Z0-9_]+$")) | F.contains(F.col("simple"), F.concat(F.lit(" "), "token", F.lit(" ")))
-    read = docs.select("doc_id", spaced(F.col("text")).alias("t"), F.concat(F.lit(" "), F.regexp_replace(F.upper("text"), "[^A-Z0-9_]+", " "), F.lit(" ")).alias("simple"))
-    seen = read.join(tokens, found).groupBy("doc_id", "name", "n").agg(F.count("*").alias("found"))
+    simple = F.regexp_like("token", F.lit("^[A-Z0-9_]+$")) if words else F.lit(False)
+    found = found_patterns(docs.select("doc_id", spaced(F.col("text")).alias("t")), tokens.select(F.col("token").alias("pattern"), simple.alias("whole")), "t")
+    seen = found.join(tokens, found["pattern"] == tokens["token"]).groupBy("doc_id", "name", "n").agg(F.count("*").alias("found"))
     ok = seen.withColumn("ratio", F.col("found") / F.col("n")).where(((F.col("n") > 1) & (F.col("ratio") >= share) & (F.col("found") >= 2)) | ((F.col("n") == 1) & (F.col("ratio") == 1)))
     best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("ratio"), F.desc("found"), "name"))
     return ok.withColumn("r", best).where("r = 1").select("doc_id", "name", "found")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docrec.functions.scalar import normalize_key, split_date
+from docrec.operators.matching import found_patterns
 from docrec.session import stored
 
 #: Invented dimension values; a deployment brings its own, see ``load_lookups``.
@@ -110,7 +111,8 @@ def port(names: DataFrame, dim: DataFrame) -> DataFrame:
     """``port`` -> ``code, country_code, country, city``: exact, else the first key contained in the name, else the name as the city."""
     keys = names.select("port").distinct().withColumn("key_", normalize_key(F.col("port")))
     exact = keys.join(dim, F.col("key_") == F.col("key")).withColumn("priority", F.lit(0))
-    part = keys.join(dim, F.contains(F.col("key_"), F.col("key"))).withColumn("priority", F.lit(1))
+    inside = found_patterns(keys, dim.select(F.col("key").alias("pattern"), F.lit(False).alias("whole")), "key_")
+    part = inside.join(dim, F.col("pattern") == F.col("key")).drop("pattern").withColumn("key_", F.lit(None).cast("string")).withColumn("priority", F.lit(1))
     out = _first(keys.select("port"), exact.unionByName(part), "port", ["code", "country_code", "country", "city"])
     empty = lambda c: F.coalesce(F.col(f"best.{c}"), F.lit("")).alias(c)
     return out.select("port", empty("code"), empty("country_code"), empty("country"), F.coalesce("best.city", "port").alias("city"))
