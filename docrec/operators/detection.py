@@ -26,6 +26,17 @@ def distinct_matches(text: Column, pattern: str) -> Column:
     return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0)))
 
 
+def number_sketches(docs: DataFrame, pattern: str, *keys: str, lg_k: int = 14) -> DataFrame:
+    """``text`` and ``keys`` -> a sketch of the distinct matches for each group, a few KB whatever its size, to be stored and merged."""
+    found = docs.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), 0))).alias("number"))
+    return found.groupBy(*keys).agg(F.hll_sketch_agg("number", F.lit(lg_k)).alias("sketch"))
+
+
+def merged_totals(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Estimates of the distinct matches of all groups that ``keys`` bring together; at 2^14 registers the standard error is 0.8 %."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
 def detect_signature(docs: DataFrame, formats: DataFrame, share: float = 0.6, words: bool = True) -> DataFrame:
     """``doc_id, text`` and ``name, signature`` -> the format of which the largest share of signature words is found (then the largest number): at least ``share`` and two, or the only one.
 

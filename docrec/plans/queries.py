@@ -544,6 +544,18 @@ def det7_distinct_totals(spark, d):
     return doc_texts(spark, d).select("doc_id", de.distinct_matches(F.col("text"), BL).alias("bills"), de.distinct_matches(F.col("text"), de.ISO).alias("containers"))
 
 
+@query(f"WITH {BILL}, c AS (SELECT k // 50 % 7 AS day, container FROM box JOIN bill USING (k)) SELECT day, count(DISTINCT container) AS containers, true AS close FROM c GROUP BY day UNION ALL SELECT NULL, count(DISTINCT container), true FROM c")
+def det7_corpus_totals(spark, d):
+    """Containers a day and in all: exact, and whether the estimate of stored sketches (merged, for all days) is within 5 %."""
+    texts = doc_texts(spark, d).withColumn("day", F.col("doc_id") % 7)
+    sketches = de.number_sketches(texts, de.ISO, "day")
+    found = texts.select("day", F.explode(F.regexp_extract_all("text", F.lit(de.ISO), 0)).alias("number"))
+    exact = found.groupBy("day").agg(F.count_distinct("number").alias("containers")).unionByName(found.agg(F.count_distinct("number").alias("containers")).withColumn("day", F.lit(None).cast("long")))
+    near = de.merged_totals(sketches, "day").unionByName(de.merged_totals(sketches).withColumn("day", F.lit(None).cast("long")))
+    both = exact.join(near.withColumnRenamed("day", "_day"), F.col("day").eqNullSafe(F.col("_day")))
+    return both.select(F.col("day").cast("long").alias("day"), "containers", (F.abs(F.col("estimate") - F.col("containers")) <= 0.05 * F.col("containers")).alias("close"))
+
+
 @query(f"WITH {TEXT} SELECT doc_id, coalesce(min(page_no) FILTER (regexp_matches(text, 'MEDU[0-9]+[13579]1')), 1) AS page_no FROM page GROUP BY doc_id")
 def det11_first_cargo_page(spark, d):
     return de.first_cargo_page(fx.manifest_text(spark, d), "MEDU[0-9]+[13579]1")

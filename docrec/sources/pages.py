@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHAR_W, LINE_H = 6.0, 12.0
@@ -56,13 +56,31 @@ def ingest_tokens(raw: DataFrame, least: float = 30.0) -> DataFrame:
     return typed.where((F.col("text") != "") & (F.col("conf") >= least))
 
 
+def identity(content: Column) -> Column:
+    """12 hex digits of the MD5 of a content."""
+    return F.substring(F.md5(content.cast("binary")), 1, 12)
+
+
 def inventory(files: DataFrame) -> DataFrame:
-    """``path, content`` -> one row per content: identity (12 hex digits of its MD5), first path and copies; only document types."""
+    """``path, content`` -> one row per content: identity, first path and copies; only document types."""
     kind = F.lower(F.substring_index("path", ".", -1))
-    known = files.where(kind.isin(*EXTENSIONS)).withColumn("ident", F.substring(F.md5(F.col("content").cast("binary")), 1, 12))
+    known = files.where(kind.isin(*EXTENSIONS)).withColumn("ident", identity(F.col("content")))
     return known.groupBy("ident").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
 
 
+def inventory_files(spark: SparkSession, folder: str, seen: DataFrame | None = None) -> DataFrame:
+    """The documents in a folder and those below it: ``ident, path, copies, bytes, modified`` (the latest of the copies).
+
+    Contents are hashed where they are read and go no further; only files with a name of a document type are opened. ``seen``
+    (``ident``) leaves out what an earlier inventory has; an empty file has no content and is left out.
+    """
+    glob = "*.{" + ",".join(x for e in EXTENSIONS for x in (e, e.upper(), e.capitalize())) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    hashed = files.select("path", identity(F.col("content")).alias("ident"), "length", "modificationTime")
+    out = hashed.groupBy("ident").agg(F.min("path").alias("path"), F.count("*").alias("copies"), F.any_value("length").alias("bytes"), F.max("modificationTime").alias("modified"))
+    return out if seen is None else out.join(seen.select("ident").distinct(), "ident", "left_anti")
+
+
 def is_scanned(text: Column) -> Column:
     """Fewer than 200 characters of text."""
     return F.length(F.trim(F.coalesce(text, F.lit("")))) < 200
