@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docrec.operators.geometry import derive_geometry
+from docrec.operators.geometry import derive_geometry, meet
 from docrec.sources.pages import PAGE
 
 
@@ -16,10 +16,10 @@ def blocks_by_marker(words: DataFrame, pattern: str, group: int = 0) -> DataFram
     marks = words.where(F.regexp_like("text", F.lit(f"(?i){pattern}"))).select(*PAGE, "top", "x0", "word_no", number.alias("bl_number")).where("bl_number <> ''")
     on_page = Window.partitionBy(*PAGE).orderBy("top", "x0", "word_no")
     cut = marks.withColumn("next", F.lead("top").over(on_page)).withColumn("block_no", F.row_number().over(on_page) - 1)
-    every = pages.join(cut, list(PAGE), "left")
-    before = Window.partitionBy("doc_id").orderBy("page_no", "block_no").rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.last("bl_number", ignorenulls=True).over(before)
-    out = every.withColumn("carried", carried).where("bl_number IS NOT NULL OR carried IS NOT NULL")
+    ends = marks.groupBy(*PAGE).agg(F.max_by("bl_number", F.struct("top", "x0", "word_no")).alias("_end"))
+    before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)  # a row a page
+    carried = pages.join(ends, list(PAGE), "left").withColumn("carried", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    out = carried.join(cut, list(PAGE), "left").where("bl_number IS NOT NULL OR carried IS NOT NULL")
     own = F.col("bl_number").isNotNull()
     return out.select(
         *PAGE, F.coalesce("block_no", F.lit(0)).alias("block_no"), F.coalesce("bl_number", "carried").alias("bl_number"),
@@ -66,8 +66,7 @@ def blocks_dispatch(words: DataFrame, lines: DataFrame, pattern: str, group: int
 
 def block_words(words: DataFrame, blocks: DataFrame) -> DataFrame:
     """Words whose centre lies within a block, 1 above and below included."""
-    hit = F.col("cy").between(F.col("y_start") - 1, F.col("y_end") + 1)
-    return derive_geometry(words).join(blocks, list(PAGE)).where(hit)
+    return meet(derive_geometry(words), blocks, F.col("cy"), F.col("y_start") - 1, F.col("y_end") + 1)
 
 
 def containers_in_text(text: Column, pattern: str = r"\b[A-Z]{4}[0-9]{7}\b") -> Column:

@@ -57,16 +57,30 @@ def value_after_label(text: Column, label: str) -> Column:
     return F.when(at > 0, F.trim(F.substring(text, at + len(label), F.length(text))))
 
 
+def meet(words: DataFrame, ranges: DataFrame, y: Column, low: Column, high: Column, band: float = 50.0) -> DataFrame:
+    """Words of a page with the ranges (boxes, blocks, surroundings of anchors) of the page that hold their ``y``; ``low`` and ``high`` are of ``ranges``.
+
+    Both meet by band of ``band`` points, a range in each band that it touches within the page, so a page costs its words in the same bands
+    as a range, not all words times all ranges. Columns of both sides are kept; a range without a bound meets nothing.
+    """
+    place = words.withColumn("_band", F.floor(y / band))
+    pages = place.groupBy(*PAGE).agg(F.min("_band").alias("_first"), F.max("_band").alias("_last"))
+    first, last = F.greatest(F.floor(low / band), F.col("_first")), F.least(F.floor(high / band), F.col("_last"))
+    touched = ranges.withColumns({"_low": low, "_high": high}).where(F.col("_low").isNotNull() & F.col("_high").isNotNull()).join(pages, list(PAGE))
+    touched = touched.withColumn("_band", F.explode(F.when(first <= last, F.sequence(first, last)))).drop("_first", "_last")
+    return place.join(touched, [*PAGE, "_band"]).where(y.between(F.col("_low"), F.col("_high"))).drop("_band", "_low", "_high")
+
+
 def words_in_box(words: DataFrame, boxes: DataFrame) -> DataFrame:
     """``boxes (doc_id, page_no, box, bx0, btop, bx1, bbottom)`` -> text of the words whose centre lies in each, by (top, x0)."""
-    hit = derive_geometry(words).join(boxes, list(PAGE)).where(F.col("cx").between(F.col("bx0"), F.col("bx1")) & F.col("cy").between(F.col("btop"), F.col("bbottom")))
+    hit = meet(derive_geometry(words), boxes, F.col("cy"), F.col("btop"), F.col("bbottom")).where(F.col("cx").between(F.col("bx0"), F.col("bx1")))
     return hit.groupBy(*PAGE, "box").agg(in_order("text", "top", "x0", "word_no").alias("text"), F.count("*").alias("n_words"))
 
 
 def tokens_in_box(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
     """The same over OCR tokens: grouped by their line, lines by least y, line ends between."""
     cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
-    hit = tokens.join(boxes, list(PAGE)).where(cx.between(F.col("bx0"), F.col("bx1")) & cy.between(F.col("btop"), F.col("bbottom")))
+    hit = meet(tokens, boxes, cy, F.col("btop"), F.col("bbottom")).where(cx.between(F.col("bx0"), F.col("bx1")))
     lines = hit.groupBy(*PAGE, "box", "line_id").agg(in_order("text", "x", "token_no").alias("text"), F.min("y").alias("y"))
     return lines.groupBy(*PAGE, "box").agg(in_order("text", "y", "line_id", sep="\n").alias("text"))
 
@@ -77,6 +91,6 @@ def merge_boxes(words: DataFrame, *keys: str) -> DataFrame:
 
 def nearby_words(anchors: DataFrame, words: DataFrame, dy: float = 60.0, dx: float = 200.0, most: int = 24) -> DataFrame:
     """``anchors (doc_id, page_no, anchor, acx, acy)`` -> the first words around each, by (top, x0), with coordinates rounded to 0.1."""
-    near = derive_geometry(words).join(anchors, list(PAGE)).where((F.abs(F.col("cy") - F.col("acy")) <= dy) & (F.abs(F.col("cx") - F.col("acx")) <= dx))
+    near = meet(derive_geometry(words), anchors, F.col("cy"), F.col("acy") - dy - 1, F.col("acy") + dy + 1).where((F.abs(F.col("cy") - F.col("acy")) <= dy) & (F.abs(F.col("cx") - F.col("acx")) <= dx))
     place = F.row_number().over(Window.partitionBy(*PAGE, "anchor").orderBy("top", "x0", "word_no"))
     return near.withColumn("place", place).where(F.col("place") <= most).select(*PAGE, "anchor", "place", "text", F.round("x0", 1).alias("x0"), F.round("top", 1).alias("top"))
