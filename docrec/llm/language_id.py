@@ -76,8 +76,8 @@ def held_out(id_col: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def trained(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS, smoothing: float = 0.5) -> Model:
-    """Fit on every row of ``docs`` with a text and a language. ``buckets x languages`` counts come to the driver."""
+def trained(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS, smoothing: float = 0.5, most: int = 1000) -> Model:
+    """Fit on every row of ``docs`` with a text and a language. ``buckets x languages`` counts come to the driver, so more than ``most`` languages, as a column that holds something else has them, are an error."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[str, np.ndarray] = {}
@@ -94,6 +94,8 @@ def trained(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buc
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k), pa.array(got[k])], names=["lang", "bucket", "n"])
 
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    if labelled.select("lang").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"{lang_col} has more than {most} values")
     counted = labelled.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counted.toPandas()
     languages = sorted(rows["lang"].unique(), key=lambda x: x.encode())

@@ -635,6 +635,8 @@ def test_language_id(docs, odd, empty):
     few = {(r["doc_id"], r["lang_pred"]) for r in language_id.predicted(odd, model).collect()}
     assert {(3, "und"), (4, "und"), (5, "und"), (9, "und")} <= few
     assert language_id.predicted(empty, model).count() == 0
+    with pytest.raises(ValueError, match="more than 1 values"):
+        language_id.trained(train, most=1)
     none = language_id.trained(empty)
     assert {r["lang_pred"] for r in language_id.predicted(odd, none).collect()} == {"und"}
 
