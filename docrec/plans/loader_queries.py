@@ -50,7 +50,7 @@ def det6_weight_scope_vote(spark, d):
     unit = F.element_at(F.array(*(F.lit(u) for u, _ in UNITS)), (k % len(UNITS) + 1).cast("int"))
     each = F.element_at(F.array(*(F.lit(e) for _, e in UNITS)), (k % len(UNITS) + 1).cast("int"))
     boxes = lineitem.select("l_orderkey", "l_linenumber").distinct()
-    line = F.concat(F.lit("ABCU"), F.lpad((k * 8 + F.col("l_linenumber")).cast("string"), 7, "0"), F.when(each, F.concat(F.lit(" "), unit)).otherwise(""))
+    line = F.concat(F.lit("ABCU"), F.lpad(((k * 8 + F.col("l_linenumber")) % 10**7).cast("string"), 7, "0"), F.when(each, F.concat(F.lit(" "), unit)).otherwise(""))
     blocks = boxes.groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("lines")).select(F.floor(k / 50).alias("doc_id"), F.concat("lines", F.when(each, "").otherwise(F.concat(F.lit("\ntotal "), unit))).alias("text"))
     return de.weight_scope(blocks)
 
