@@ -69,9 +69,10 @@ def block_words(words: DataFrame, blocks: DataFrame) -> DataFrame:
     return meet(derive_geometry(words), blocks, F.col("cy"), F.col("y_start") - 1, F.col("y_end") + 1)
 
 
-def containers_in_text(text: Column, pattern: str = r"\b[A-Z]{4}[0-9]{7}\b") -> Column:
-    """All matches, upper-case, distinct, in the order they are first seen."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), 0), lambda m: F.upper(F.trim(m))))
+def containers_in_text(text: Column, pattern: str = r"\b[A-Z]{4}[0-9]{7}\b", repeated: bool = False) -> Column:
+    """All matches, upper-case, in the order they are first seen; distinct, or with ``repeated`` as often as they stand there."""
+    every = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), 0), lambda m: F.upper(F.trim(m)))
+    return every if repeated else F.array_distinct(every)
 
 
 def emit_rows(blocks: DataFrame, header: DataFrame | None = None) -> DataFrame:
