@@ -23,6 +23,6 @@ def shifted(spark, small, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["agg1_group_by_bl", "det6_weight_scope_vote", "det9_fingerprint", "row1_containers_in_block"])
+@pytest.mark.parametrize("name", ["agg1_group_by_bl", "det6_weight_scope_vote", "det9_fingerprint", "row1_containers_in_block", "row2_emit_rows"])
 def test_query_equals_its_oracle_with_large_keys(spark, shifted, name):
     check(QUERIES[name](spark, shifted), ORACLES[name], shifted)
