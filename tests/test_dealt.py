@@ -18,3 +18,11 @@ def test_tasks_follow_the_line_items(spark, small, monkeypatch, table):
     after = table(spark, small)
     assert placed(after) == -(-items // 500) > placed(before)
     assert sorted(map(str, after.collect())) == sorted(map(str, before.collect()))
+
+
+def test_carrier_words_are_made_where_their_page_is(spark, small):
+    """Nothing but what a page is made of is shuffled: grouping words by page needs no exchange of words."""
+    words = fx.carrier_words(spark, small)
+    plan = words.groupBy("doc_id", "page_no").count()._jdf.queryExecution().executedPlan().toString()
+    made = plan.index("posexplode")
+    assert "Exchange" not in plan[:made] and "Exchange" in plan[made:]
