@@ -33,18 +33,19 @@ def find_phrase(lines: DataFrame, label: str, first: bool = True) -> DataFrame:
 
 
 def similar_words(words: DataFrame, label: str, threshold: float) -> DataFrame:
-    """Distinct word texts whose similarity to a label reaches ``threshold``. Lengths bound the similarity, so most words are never compared."""
-    target, n = F.lit(label.upper()), len(label)
-    texts = words.select(F.upper("text").alias("t")).distinct()
-    close = 200 * F.least(F.length("t"), F.lit(n)) / (F.length("t") + n) >= threshold
-    return texts.where(close & (ratio_bound(F.col("t"), target) >= threshold)).withColumn("score", fuzz_ratio(F.col("t"), target)).where(F.col("score") >= threshold)
+    """The first word of each distinct text of a page whose similarity to a label reaches ``threshold``, with its ``score``. Lengths and characters bound the similarity, so most words are never compared, and nothing leaves its page."""
+    target, n, t = F.lit(label.upper()), len(label), F.upper("text")
+    close = 200 * F.least(F.length(t), F.lit(n)) / (F.length(t) + n) >= threshold
+    box = F.struct("word_no", *(F.col(c).alias(a) for c, a in zip(("x0", "top", "x1", "bottom"), ANCHOR)))
+    first = words.where(close & (ratio_bound(t, target) >= threshold)).groupBy(*PAGE, t.alias("t")).agg(F.min_by(box, "word_no").alias("a"))
+    return first.withColumn("score", fuzz_ratio(F.col("t"), target)).where(F.col("score") >= threshold).select(*PAGE, "t", "score", "a.*")
 
 
 def find_label_fuzzy(words: DataFrame, label: str, threshold: float = 85.0) -> DataFrame:
     """The most similar word of each page, the first of equals."""
-    hits = words.join(similar_words(words, label, threshold), F.upper("text") == F.col("t"))
-    best = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("score"), "word_no"))
-    return hits.withColumn("r", best).where("r = 1").select(*PAGE, "word_no", "score", *(F.col(c).alias(a) for c, a in zip(("x0", "top", "x1", "bottom"), ANCHOR)))
+    found = similar_words(words, label, threshold)
+    best = found.groupBy(*PAGE).agg(F.min_by(F.struct("word_no", "score", *ANCHOR), F.struct(-F.col("score"), "word_no")).alias("b"))
+    return best.select(*PAGE, "b.*")
 
 
 def cascade(*found: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def _join(hits: DataFrame, most: int) -> DataFrame:
 def _open(words: DataFrame, anchors: DataFrame, blocked: tuple[str, ...]) -> DataFrame:
     own = derive_geometry(words)
     own = own.where(~F.upper("text").isin(*blocked)) if blocked else own
-    return own.join(anchors.select(*PAGE, *ANCHOR), list(PAGE))
+    return own.join(anchors.select(*PAGE, *ANCHOR).hint("shuffle_hash"), list(PAGE))
 
 
 def value_below(words: DataFrame, anchors: DataFrame, max_dy: float = 25.0, tolerance: float = 40.0, most: int = 6, blocked: tuple[str, ...] = ()) -> DataFrame:

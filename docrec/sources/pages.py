@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docrec.sources.spelled import spelled
+
 CHAR_W, LINE_H = 6.0, 12.0
 PAGE = ("doc_id", "page_no")
 #: File types that are read as documents.
@@ -17,33 +22,22 @@ def split_pages(docs: DataFrame, marker: str = r"=== PAGE \d+ ===\n?") -> DataFr
     return parts.select("doc_id", (F.col("pos") + 1).alias("page_no"), "text")
 
 
-def running_sums(values: Column, block: int = 512) -> Column:
-    """``values (array<int>)``, a column -> the sum of each element and those before it. Blocks of elements are summed each for itself and carried on, so that a long array costs little more a value than a short one."""
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / block), F.lit(0)).cast("int")), lambda k: F.slice(values, k * block + 1, block))
-
-    def carry(acc: Column, own: Column) -> Column:
-        run = F.aggregate(own, F.array(acc["total"]), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x))
-        return F.struct(F.element_at(run, -1).alias("total"), F.array_append(acc["parts"], F.slice(run, F.lit(2), F.size(own))).alias("parts"))
-
-    start = F.struct(F.lit(0).alias("total"), F.expr("cast(array() as array<array<int>>)").alias("parts"))
-    return F.flatten(F.aggregate(blocks, start, carry)["parts"])
+def spelled_words(texts: pa.Array) -> pa.Array:
+    return spelled(texts)
 
 
-def words_from_text(pages: DataFrame) -> DataFrame:
+def words_from_text(pages: DataFrame, deal: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Words with made-up coordinates: x is the character offset times 6, y the line number times 12, height 11.
 
-    Offsets and word numbers are running sums inside the arrays of a page's lines and a line's tokens, so nothing is shuffled.
+    Words are found in the texts of an Arrow batch together; no word is an object of its own. ``deal`` deals the pages with the
+    arrays of their words to tasks (by page), so that what follows page by page needs no other shuffle and makes no word again.
     """
-    lines = pages.select(*PAGE, F.split("text", r"\R").alias("lines")).withColumn("n", F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
-    numbered = lines.select(*PAGE, F.posexplode(F.arrays_zip(F.col("lines").alias("line"), running_sums(F.col("n")).alias("upto"), F.col("n").alias("n"))).alias("line_no", "l"))
-    tokens = numbered.where("l.n > 0").select(*PAGE, "line_no", (F.col("l.upto") - F.col("l.n")).alias("before"), F.regexp_extract_all(F.col("l.line"), F.lit(r"\s*\S+"), 0).alias("tokens"))
-    sized = tokens.withColumn("sizes", F.transform("tokens", lambda t: F.length(t)))
-    placed = sized.select(*PAGE, "line_no", "before", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), running_sums(F.col("sizes")).alias("end"))).alias("pos", "t"))
-    text = F.ltrim(F.translate("t.token", "\t\f\v", "   "))
-    top, end = F.col("line_no") * LINE_H, F.col("t.end")
-    return placed.select(
-        *PAGE, (F.col("before") + F.col("pos")).alias("word_no"), text.alias("text"),
-        ((end - F.length(text)) * CHAR_W).alias("x0"), top.alias("top"), (end * CHAR_W).alias("x1"), (top + LINE_H - 1).alias("bottom"),
+    cut = F.arrow_udf(spelled_words, "array<struct<text string, at int, n int, line_no int>>")
+    spelt = pages.select(*PAGE, cut(F.col("text")).alias("words"))
+    found = (deal(spelt) if deal else spelt).select(*PAGE, F.posexplode("words").alias("word_no", "w"))
+    at, top = F.col("w.at"), F.col("w.line_no") * LINE_H
+    return found.select(
+        *PAGE, "word_no", F.col("w.text").alias("text"), (at * CHAR_W).alias("x0"), top.alias("top"), ((at + F.col("w.n")) * CHAR_W).alias("x1"), (top + LINE_H - 1).alias("bottom"),
     )
 
 
