@@ -136,6 +136,8 @@ def largest_number(field: Column, nearby: Column) -> Column:
     number = r"[0-9]{1,3}(?:[ ,.][0-9]{3})*(?:[.,][0-9]{1,3})?"
     raw = lambda w: F.regexp_extract(w["text"], f"^(?:{number})$|{number}", 0)
     read = lambda t: F.regexp_replace(F.regexp_replace(t, "[ ,]", ""), r"\.+$", "").try_cast("double")
-    numbers = F.transform(nearby, lambda w, i: F.struct(read(raw(w)).alias("n"), raw(w).alias("value"), F.coalesce(F.get(nearby, i - 1)["text"], F.lit("")).alias("anchor")))
+    # the pattern is looked for once a word
+    found = F.filter(F.transform(nearby, lambda w, i: F.struct(raw(w).alias("value"), F.coalesce(F.get(nearby, i - 1)["text"], F.lit("")).alias("anchor"))), lambda w: w["value"] != "")
+    numbers = F.transform(found, lambda w: F.struct(read(w["value"]).alias("n"), w["value"].alias("value"), w["anchor"].alias("anchor")))
     best = F.array_max(F.filter(numbers, lambda s: s["n"].isNotNull()))
     return F.when(field.isin("weight", "volume", "pack_qty") & best.isNotNull(), F.struct(best["value"].alias("value"), best["anchor"].alias("anchor")))
