@@ -48,20 +48,23 @@ def blocks_by_gap(lines: DataFrame, times: float = 2.5) -> DataFrame:
 
 def blocks_dispatch(words: DataFrame, lines: DataFrame, pattern: str, group: int = 0, strategies: DataFrame | None = None) -> DataFrame:
     """Blocks by each document's strategy (``doc_id, strategy``; without one, or blank: ``marker``): by marker, or by gaps where no marker is found; by ``gap``; any other by page. Without a pattern, documents by marker are cut by page."""
-    chosen = words.select("doc_id").distinct()
+    paged = blocks_by_page(words)
+    chosen = paged.select("doc_id").distinct()
     named = F.lit("marker")
     if strategies is not None:
         chosen = chosen.join(strategies.select("doc_id", F.lower("strategy").alias("strategy")), "doc_id", "left")
         named = F.coalesce(F.nullif("strategy", F.lit("")), F.lit("marker"))
     chosen = chosen.select("doc_id", F.when(named == "marker", "marker" if pattern else "page").when(named == "gap", "gap").otherwise("page").alias("strategy"))
-    of = lambda df, *names: df.join(chosen.where(F.col("strategy").isin(*names)).select("doc_id"), "doc_id", "left_semi")
-    out = blocks_by_page(of(words, "page"))
-    rest = of(lines, "gap")
-    if pattern:
-        marked = blocks_by_marker(of(words, "marker"), pattern, group)
-        out = out.unionByName(marked)
-        rest = of(lines, "gap", "marker").join(marked.select("doc_id").distinct(), "doc_id", "left_anti")
-    return out.unionByName(blocks_by_gap(rest))
+    # what is kept of a document is chosen from its blocks, and by a join that Spark does not move below them: words and lines stay with their page
+    of = lambda blocks, *names: blocks.join(chosen.where(F.col("strategy").isin(*names)).select("doc_id").distinct(), "doc_id")
+    out = of(paged, "page")
+    gaps = blocks_by_gap(lines)
+    if not pattern:
+        return out.unionByName(of(gaps, "gap"))
+    marked = of(blocks_by_marker(words, pattern, group), "marker")
+    found = marked.select("doc_id").distinct().withColumn("_found", F.lit(True))
+    rest = of(gaps, "gap", "marker").join(found, "doc_id", "left").where(F.col("_found").isNull()).drop("_found")
+    return out.unionByName(marked).unionByName(rest)
 
 
 def block_words(words: DataFrame, blocks: DataFrame) -> DataFrame:
