@@ -2,41 +2,73 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fields of the whole response.
 HEADER = ("vessel", "voyage", "date_of_arrival", "shipowner")
-#: Whole strings, one that is cut short, the marks that matter, and what is between them.
-TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|"[^"\\]*+(?:\\.[^"\\]*+)*+\\?$|[{}\],]|[^"{}\],]++'
+#: The next mark that counts between the items of an array and within an object, or the end. Strings are passed over; one may be cut short at the end.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\Z)'
+BETWEEN, WITHIN = (re.compile(rf'(?:[^"{marks}]++|{STRING})*+([{marks}]|\Z)', re.S) for marks in (r"{}\],", "{}"))
+#: Fixed value: bytes of texts that reach the walk together.
+MOST = 1 << 21
+OBJECTS = "array<struct<index:int,object:string>>"
 
 
 def unfenced(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(raw, r"^\s*```[a-zA-Z]*\s*", ""), r"\s*```\s*$", ""))
 
 
+def objects_in(text: str) -> list[dict]:
+    """The objects of ``array_objects``."""
+    depth = index = at = 0
+    start, found = -1, []
+    while True:
+        m = (WITHIN if depth else BETWEEN).match(text, at)
+        mark, at = m[1], m.end()
+        if mark == "{":
+            if depth == 0:
+                start = at - 1
+            depth += 1
+        elif mark == "}":
+            depth -= 1
+            if depth == 0 and start >= 0:
+                found.append({"index": index, "object": text[start:at]})
+                start = -1
+        elif depth == 0 and mark == ",":
+            index += 1
+        else:  # the array's own bracket, or the end
+            return found
+
+
+def objects_of_texts(texts: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct({"index": pa.int32(), "object": pa.string()}))
+    # an Arrow array a few texts, so that no more of them are Python's at a time
+    return pa.chunked_array([pa.array([None if t is None else objects_in(t) for t in some.to_pylist()], kind) for some in few(texts)], kind).combine_chunks()
+
+
+def few(texts: pa.Array, most: int = MOST) -> Iterator[pa.Array]:
+    """Slices of about ``most`` bytes, one text at least."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(ends.searchsorted((ends[start - 1] if start else 0) + most, "right")))
+        yield texts.slice(start, end - start)
+        start = end
+
+
 def array_objects(text: Column) -> Column:
     """``index, object``: the texts of the objects that are items of an array, of which ``text`` holds what follows its bracket, and their places among all items.
 
-    One fold over the tokens with the depth of braces: nested objects, braces in strings and what is no object cost nothing, and
+    One walk over the marks with the depth of braces: nested objects, braces in strings and what is no object cost nothing, and
     an object that is cut short is left out. Braces that close nothing count, as depth below zero.
     """
-    none = F.lit("")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("index"), F.lit(False).alias("over"), F.lit(False).alias("open"), none.alias("text"), F.expr("cast(array() as array<struct<index:int,object:string>>)").alias("found"))
-
-    def step(s: Column, token: Column) -> Column:
-        opens, closes = token == "{", token == "}"
-        begins = opens & (s["depth"] == 0)
-        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        ends = closes & (depth == 0) & s["open"]
-        held = F.when(begins, token).when(s["open"], F.concat(s["text"], token)).otherwise(none)
-        moved = F.struct(
-            depth.alias("depth"), (s["index"] + F.when((token == ",") & (s["depth"] == 0), 1).otherwise(0)).alias("index"), ((token == "]") & (s["depth"] == 0)).alias("over"), (begins | (s["open"] & ~ends)).alias("open"),
-            F.when(ends, none).otherwise(held).alias("text"), F.when(ends, F.array_append(s["found"], F.struct(s["index"].alias("index"), held.alias("object")))).otherwise(s["found"]).alias("found"),
-        )
-        return F.when(s["over"], s).otherwise(moved)
-
-    return F.aggregate(F.regexp_extract_all(text, F.lit("(?s)" + TOKEN), 0), start, step)["found"]
+    return F.arrow_udf(objects_of_texts, OBJECTS)(text)
 
 
 def fields(text: Column) -> Column:
@@ -44,10 +76,9 @@ def fields(text: Column) -> Column:
     return F.when(F.startswith(F.ltrim(text), F.lit("{")), F.from_json(text, "map<string,string>"))
 
 
-def whole_rows(value: Column) -> Column:
-    """Rows of an array that is whole: objects only, each with its place among all items."""
-    objects = F.transform(array_objects(F.substring(F.ltrim(value), F.lit(2), F.length(value))), lambda o: F.struct((o["index"] + 1).alias("place"), fields(o["object"]).alias("fields")))
-    return F.when(F.startswith(F.ltrim(value), F.lit("[")), F.filter(objects, lambda o: o["fields"].isNotNull())).otherwise(F.expr("cast(array() as array<struct<place:int,fields:map<string,string>>>)"))
+def inside_array(value: Column) -> Column:
+    """What follows the bracket of an array; null for what is no array."""
+    return F.when(F.startswith(F.ltrim(value), F.lit("[")), F.substring(F.ltrim(value), F.lit(2), F.length(value)))
 
 
 def parse_response(raw: Column) -> Column:
@@ -57,24 +88,50 @@ def parse_response(raw: Column) -> Column:
     * of a text cut short the header fields are found by pattern and every whole object of the first ``rows`` array is taken; a row that does not parse is left out, and places count the rows that are left
     * null where nothing is found: no object, no field and no row
     """
-    text = unfenced(raw)
+    return rows_of(read_response(raw))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once, however often ``f`` reads it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def read_response(raw: Column) -> Column:
+    """What ``rows_of`` reads: the object in a response (``o``), or that there is none and what can be salvaged (``left``), and the text inside the array that holds its rows (``items``)."""
     top = ", ".join(f"`{c}` string" for c in (*HEADER, "rows"))
+    none = F.lit(None).cast(f"struct<{top}>")
+    is_whole = lambda t: F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull()
+
+    def items(s: Column) -> Column:
+        text, behind = s["text"], F.substring(s["text"], F.locate('"rows"', s["text"]), F.length(s["text"]))
+        tail = F.when((F.locate('"rows"', text) > 0) & (F.locate("[", behind) > 0), F.substring(behind, F.locate("[", behind) + 1, F.length(text))).otherwise("")
+        field = lambda n: F.when(F.regexp_like(text, F.lit(rf'"{n}"\s*:\s*"[^"]*"')), F.regexp_extract(text, rf'"{n}"\s*:\s*"([^"]*)"', 1))
+        left = s["o"].isNull() & s["no_other"]
+        found = F.when(left, F.struct(*(field(c).alias(c) for c in HEADER)))
+        return F.struct(s["o"].alias("o"), found.alias("left"), F.when(s["o"].isNotNull(), inside_array(s["o"]["rows"])).when(left, tail).alias("items"))
+
+    # a whole text that is no object has no rows
+    one = lambda text: F.struct(text.alias("text"), F.try_parse_json(text).isNull().alias("no_other"))
+    braced = lambda s: F.when(s["no_other"], F.regexp_extract(s["text"], r"(?s)(\{.*\})", 1))
+    other = lambda s: let(braced(s), lambda t: F.when(is_whole(t), F.from_json(t, f"struct<{top}>")))
+    own = lambda s: F.when(F.startswith(s["text"], F.lit("{")) & ~s["no_other"], F.from_json(s["text"], f"struct<{top}>")).otherwise(F.when(s["no_other"], other(s)).otherwise(none))
+    return let(let(let(unfenced(raw), one), lambda s: F.struct(s["text"].alias("text"), s["no_other"].alias("no_other"), own(s).alias("o"))), items)
+
+
+def rows_of(r: Column) -> Column:
+    """``header, rows`` from what ``read_response`` found; one array is walked, whichever holds the rows."""
+    objects = F.coalesce(array_objects(r["items"]), F.expr(f"cast(array() as {OBJECTS})"))
+    # objects only, each with its place among all items, or among the rows that are left of a text cut short
+    every = F.filter(F.transform(objects, lambda o: F.struct((o["index"] + 1).alias("place"), fields(o["object"]).alias("fields"))), lambda o: o["fields"].isNotNull())
 
-    def whole(t: Column) -> Column:
-        o = F.from_json(t, f"struct<{top}>")
-        found = F.struct(F.struct(*(o[c].alias(c) for c in HEADER)).alias("header"), whole_rows(F.coalesce(o["rows"], F.lit(""))).alias("rows"))
-        return F.when(F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull(), found)
+    def result(s: Column) -> Column:
+        own, left, rows = s["r"]["o"], s["r"]["left"], s["rows"]
+        header = lambda o: F.struct(*(o[c].alias(c) for c in HEADER)).alias("header")
+        some = F.coalesce(*(left[c] for c in HEADER)).isNotNull() | (F.size(rows) > 0)
+        again = F.transform(rows, lambda o, i: F.struct((i + 1).alias("place"), o["fields"].alias("fields")))
+        return F.when(own.isNotNull(), F.struct(header(own), rows.alias("rows"))).when(left.isNotNull() & some, F.struct(header(left), again.alias("rows")))
 
-    braced = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    behind = F.substring(text, F.locate('"rows"', text), F.length(text))
-    tail = F.when((F.locate('"rows"', text) > 0) & (F.locate("[", behind) > 0), F.substring(behind, F.locate("[", behind) + 1, F.length(text))).otherwise("")
-    parsed = F.filter(F.transform(array_objects(tail), lambda o: fields(o["object"])), lambda f: f.isNotNull())
-    rows = F.transform(parsed, lambda f, i: F.struct((i + 1).alias("place"), f.alias("fields")))
-    field = lambda n: F.when(F.regexp_like(text, F.lit(rf'"{n}"\s*:\s*"[^"]*"')), F.regexp_extract(text, rf'"{n}"\s*:\s*"([^"]*)"', 1))
-    salvaged = F.struct(F.struct(*(field(c).alias(c) for c in HEADER)).alias("header"), rows.alias("rows"))
-    some = F.coalesce(*(salvaged["header"][c] for c in HEADER)).isNotNull() | (F.size(salvaged["rows"]) > 0)
-    no_other = F.try_parse_json(text).isNull()  # a whole text that is no object has no rows
-    return F.coalesce(whole(text), F.when(no_other, F.coalesce(whole(braced), F.when(some, salvaged))))
+    return let(F.struct(r.alias("r"), every.alias("rows")), result)
 
 
 def flatten_rows(responses: DataFrame) -> DataFrame:
@@ -83,7 +140,8 @@ def flatten_rows(responses: DataFrame) -> DataFrame:
     The number of its split is its own, or its place from 1; its page its own, as a number or a text of one, or 0; header fields are
     its own, or the response's. A value that is no number where one is needed is null in the column and as it stands in ``fields``.
     """
-    parsed = responses.select("doc_id", "chunk_no", parse_response(F.col("raw")).alias("r"))
+    read = responses.select("doc_id", "chunk_no", read_response(F.col("raw")).alias("read"))
+    parsed = read.select("doc_id", "chunk_no", rows_of(F.col("read")).alias("r"))
     rows = parsed.select("doc_id", "chunk_no", "r.header", F.inline("r.rows"))
     own = lambda c: F.map_contains_key("fields", c)
     number = lambda c, other: F.when(own(c), F.col("fields")[c].try_cast("int")).otherwise(other)
