@@ -5,6 +5,7 @@ import re
 from docrec.operators import blocks as bk
 from docrec.operators import carrier as ca
 from docrec.plans import queries as qu
+from docrec.plans import rule_queries as rq
 
 from .test_carrier import BILL, HEADERS, WORDS, page, spread
 from .test_page_local import words_move
@@ -46,3 +47,8 @@ def test_records_of_pages_with_repeated_headers(spark):
     headers = [(1, 1, "DAWN", "1", None, "Oslo", "Bonn", "", None)] * 2 + [(None, 1, "NONE", "9", None, "Rome", None, None, None)]
     got = run_records(spark, words, headers).collect()
     assert sorted((r["doc_id"], r["page"], r["vessel"] or "", r["port_of_loading"] or "") for r in got) == [(1, 1, "DAWN", "Oslo")] * 4 + [(1, 2, "DAWN", "Oslo")] * 2 + [(2, 1, "", "")]
+
+
+def test_words_around_a_value_stay_with_their_page(spark, small):
+    text = rq.dif2_compute_diffs(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*word_no#", text)
