@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docrec.sources.spelled import few
+
 #: Fields of the whole response.
 HEADER = ("vessel", "voyage", "date_of_arrival", "shipowner")
 #: The next mark that counts between the items of an array and within an object, or the end. Strings are passed over; one may be cut short at the end.
 STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\Z)'
 BETWEEN, WITHIN = (re.compile(rf'(?:[^"{marks}]++|{STRING})*+([{marks}]|\Z)', re.S) for marks in (r"{}\],", "{}"))
-#: Fixed value: bytes of texts that reach the walk together.
-MOST = 1 << 21
 OBJECTS = "array<struct<index:int,object:string>>"
 
 
@@ -52,16 +51,6 @@ def objects_of_texts(texts: pa.Array) -> pa.Array:
     return pa.chunked_array([pa.array([None if t is None else objects_in(t) for t in some.to_pylist()], kind) for some in few(texts)], kind).combine_chunks()
 
 
-def few(texts: pa.Array, most: int = MOST) -> Iterator[pa.Array]:
-    """Slices of about ``most`` bytes, one text at least."""
-    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
-    start = 0
-    while start < len(texts):
-        end = max(start + 1, int(ends.searchsorted((ends[start - 1] if start else 0) + most, "right")))
-        yield texts.slice(start, end - start)
-        start = end
-
-
 def array_objects(text: Column) -> Column:
     """``index, object``: the texts of the objects that are items of an array, of which ``text`` holds what follows its bracket, and their places among all items.
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrec.sources.spelled import spelled
+from docrec.sources.spelled import few, spelled, spelled_rows
 
 CHAR_W, LINE_H = 6.0, 12.0
 PAGE = ("doc_id", "page_no")
@@ -23,21 +23,25 @@ def split_pages(docs: DataFrame, marker: str = r"=== PAGE \d+ ===\n?") -> DataFr
 
 
 def spelled_words(texts: pa.Array) -> pa.Array:
-    return spelled(texts)
+    return pa.concat_arrays([spelled(some) for some in few(texts)] or [spelled(texts)])
 
 
 def words_from_text(pages: DataFrame, deal: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Words with made-up coordinates: x is the character offset times 6, y the line number times 12, height 11.
 
-    Words are found in the texts of an Arrow batch together; no word is an object of its own. ``deal`` deals the pages with the
-    arrays of their words to tasks (by page), so that what follows page by page needs no other shuffle and makes no word again.
+    Words are found in a few texts together; no word is an object of its own. ``deal`` deals the pages with the arrays of their
+    words to tasks (by page), so that what follows page by page needs no other shuffle and makes no word again; without it
+    words leave Python as they are found, so that no task holds those of more than a few texts.
     """
-    cut = F.arrow_udf(spelled_words, "array<struct<text string, at int, n int, line_no int>>")
-    spelt = pages.select(*PAGE, cut(F.col("text")).alias("words"))
-    found = (deal(spelt) if deal else spelt).select(*PAGE, F.posexplode("words").alias("word_no", "w"))
-    at, top = F.col("w.at"), F.col("w.line_no") * LINE_H
+    if deal:
+        cut = F.arrow_udf(spelled_words, "array<struct<text string, at int, n int, line_no int>>")
+        found = deal(pages.select(*PAGE, cut(F.col("text")).alias("words"))).select(*PAGE, F.posexplode("words").alias("word_no", "w")).select(*PAGE, "word_no", "w.*")
+    else:
+        keys = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in PAGE)
+        found = pages.select(*PAGE, "text").mapInArrow(spelled_rows, f"{keys}, word_no int, text string, at int, n int, line_no int")
+    at, top = F.col("at"), F.col("line_no") * LINE_H
     return found.select(
-        *PAGE, "word_no", F.col("w.text").alias("text"), (at * CHAR_W).alias("x0"), top.alias("top"), ((at + F.col("w.n")) * CHAR_W).alias("x1"), (top + LINE_H - 1).alias("bottom"),
+        *PAGE, "word_no", "text", (at * CHAR_W).alias("x0"), top.alias("top"), ((at + F.col("n")) * CHAR_W).alias("x1"), (top + LINE_H - 1).alias("bottom"),
     )
 
 

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Of each byte: 0 part of a word, 1 white space, 2 white space that ends a line.
 KIND = np.zeros(256, np.uint8)
 KIND[[9, 32]], KIND[[10, 11, 12, 13]] = 1, 2
 
 
+#: Fixed value: bytes of texts that are looked at together; what that takes besides is some twenty times as much.
+MOST = 1 << 21
+
+
+def few(texts: pa.Array, most: int = MOST) -> Iterator[pa.Array]:
+    """Slices of about ``most`` bytes, one text at least."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(ends.searchsorted((ends[start - 1] if start else 0) + most, "right")))
+        yield texts.slice(start, end - start)
+        start = end
+
+
 def kinds(b: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """``KIND`` of the bytes of texts that stand one behind the other; of a line end of several bytes the last one counts, the others are white space. ``ends``: where texts end."""
     kind = KIND[b]
@@ -55,3 +72,17 @@ def spelled(texts: pa.Array) -> pa.Array:
     whole = lambda v: pa.array(v.astype(np.int32))
     words = pa.StructArray.from_arrays([text, whole(at), whole(n), whole(before - before_page)], names=["text", "at", "n", "line_no"])
     return pa.ListArray.from_arrays(whole(np.searchsorted(starts, off)), words)
+
+
+def spelled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of keys and, last, a text -> the keys of each word, its number in its text and what ``spelled`` tells of it, a few texts at a time."""
+    for batch in batches:
+        start = 0
+        for texts in few(batch.column(batch.num_columns - 1)):
+            found = spelled(texts)
+            words, first = found.flatten(), found.offsets.to_numpy()
+            of = np.repeat(np.arange(len(texts)), np.diff(first))
+            keys = [c.slice(start, len(texts)).take(pa.array(of)) for c in batch.columns[:-1]]
+            number = pa.array((np.arange(len(words)) - first[:-1][of]).astype(np.int32))
+            start += len(texts)
+            yield pa.RecordBatch.from_arrays([*keys, number, *words.flatten()], names=[*batch.schema.names[:-1], "word_no", *(f.name for f in words.type)])
